@@ -5,20 +5,118 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import simhash_dedup
+from tidewater.llm import decontaminate, exact_dedup, language, line_dedup, packing, quality, simhash_dedup, token_output, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n"))))
+    return found.withColumn("n_lines_left", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.labelled_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_output.encode_and_read(spark, _table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.pages_to_warc(spark, _table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    f.__name__: f
+    for f in (op1_line_dedup, op2_url_filter, op3_token_output, op4_simhash_near_dedup, op5_quality_classifier, op6_language_id, op7_exact_dedup, op8_best_fit_packing, op9_decontamination, op10_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _url_sql(training: url_filter.Training = url_filter.Training()) -> str:
+    """Rules, training and scoring of op2 in DuckDB; the rounds of training are a recursive query."""
+    d, k = training.buckets, training.gram
+    rows = ", ".join(f"('{host}', '{path}', {label})" for host, path, label in url_filter.labelled_rows())
+    grams = lambda s: f"list_distinct([({' + '.join(f'ascii(substr({s}, i + {j}, 1)) * {31 ** (k - 1 - j)}' for j in range(k))}) % {d} FOR i IN range(1, length({s}) - {k - 2})])"
+    rules = ", ".join(f"('{v}', '{t}')" for v, t in url_filter.RULES)
+    return f"""
+WITH RECURSIVE
+labelled(host, path, y) AS (VALUES {rows}),
+x AS (SELECT row_number() OVER () AS id, y::DOUBLE AS y, '^' || host || '|' || path || '$' AS s FROM labelled),
+feature AS (SELECT id, unnest({grams('s')}) AS b FROM x UNION ALL SELECT id, {d} FROM x),
+gd(round, w) AS (
+  SELECT 0, [0.0::DOUBLE FOR i IN range(0, {d + 1})]
+  UNION ALL
+  SELECT g.round + 1, [g.w[i + 1] - {training.rate}::DOUBLE * coalesce(m.step[i], 0) FOR i IN range(0, {d + 1})]
+  FROM gd g, (
+    SELECT map(list(b), list(g)) AS step FROM (
+      SELECT f.b, sum(e.err) / (SELECT count(*) FROM x) AS g
+      FROM feature f JOIN (
+        SELECT x.id, 1 / (1 + exp(-sum(gd.w[feature.b + 1]))) - any_value(x.y) AS err
+        FROM x JOIN feature USING (id), gd GROUP BY x.id) e USING (id)
+      GROUP BY f.b)) m
+  WHERE g.round < {training.rounds}),
+model AS (SELECT w FROM gd WHERE round = {training.rounds}),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rule(verdict, text) AS (VALUES {rules}),
+fit AS (
+  SELECT s.page_id, arg_max(rule.text, length(rule.text)) AS rule, arg_max(rule.verdict, length(rule.text)) AS verdict
+  FROM split s JOIN rule ON (s.host = split_part(rule.text, '/', 1) OR ends_with(s.host, '.' || split_part(rule.text, '/', 1))) AND starts_with(s.path, substr(rule.text, instr(rule.text, '/')))
+  GROUP BY s.page_id),
+scored AS (
+  SELECT page_id, host, path, w[{d + 1}] + coalesce(list_sum([w[b + 1] FOR b IN {grams("('^' || host || '|' || path || '$')")}]), 0) AS total FROM split, model)
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, CASE WHEN s.total >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM scored s LEFT JOIN fit f USING (page_id)"""
+
+
+_EXACT_SQL = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": _url_sql(), "op7_exact_dedup": _EXACT_SQL, "op10_warc": _WARC_SQL}
