@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import byte_view, slices
+from tidewater.llm.common import byte_view, mix64, slices
 
 #: Byte classes that line features count.
 _KINDS = {
@@ -26,7 +26,10 @@ _KINDS = {
 _CLASS = np.zeros((256, len(_KINDS)), dtype=np.uint8)
 for _k, _bytes in enumerate(_KINDS.values()):
     _CLASS[_bytes, _k] = 1
-_N_OWN = 10
+#: A value for each byte, whose sum tells words apart well enough to see repeats.
+_SIGN = mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(20)
+_SIGN[[0x20, 0x0A, 0x09]] = 0
+_N_OWN = 11
 #: Own features of a line, those of the lines before and after it, and a constant.
 N_FEATURES = 3 * _N_OWN + 1
 
@@ -75,9 +78,17 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         ends_word[:-1] = (_CLASS[raw[:-1], 5] == 1) & space_at[1:]
     lone = np.add.reduceat(lone, starts) if size else np.zeros(0)
     ends_word = np.add.reduceat(ends_word, starts) if size else np.zeros(0)
+    # Words that repeat the word before them.
+    again = np.zeros(len(starts))
+    first_byte = np.flatnonzero(~space_at & np.append(True, space_at[:-1])) if size else np.zeros(0, np.int64)
+    if len(first_byte):
+        sign = np.add.reduceat(_SIGN[raw], first_byte)
+        line = np.searchsorted(starts, first_byte, side="right") - 1
+        same = (sign[1:] == sign[:-1]) & (line[1:] == line[:-1])
+        again = np.bincount(line[1:][same], minlength=len(starts))
     own = np.column_stack([
         np.minimum(np.log1p(length) / 8, 2), upper / np.maximum(letter, 1), letter / base, digit / base, symbol / base,
-        np.minimum(letter / words / 10, 3), stop / words, lone / words, ends_word / words, (length < 2).astype(np.float64),
+        np.minimum(letter / words / 10, 3), stop / words, lone / words, ends_word / words, again / words, (length < 2).astype(np.float64),
     ]) if size else np.zeros((0, _N_OWN))
     n_docs = len(offsets) - 1
     lines = np.bincount(doc, minlength=n_docs)
@@ -136,7 +147,7 @@ def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, training: T
     weights, transitions = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     y = np.repeat(labels, lines)
     share = np.repeat(1 / lines, lines)  # every document counts alike, however long
-    balance = np.where(y == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) * share
+    balance = share
     inner = np.ones(len(y), dtype=bool)
     inner[np.cumsum(lines) - 1] = False
     at = np.flatnonzero(inner)
