@@ -22,8 +22,9 @@ from tidewater.llm.files import new_file, old_file
 from tidewater.llm.tokens import with_end, word_tokenizer
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, vocabulary: int) -> pa.Schema:
+    """Ids take two bytes where the vocabulary allows it, masks a bit."""
+    return pa.schema([("input_ids", pa.list_(pa.uint16() if vocabulary <= 1 << 16 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -32,8 +33,9 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", p
 class SequenceWriter:
     """Appends ids to a shard, holding one batch of sequences at most."""
 
-    def __init__(self, sink: pa.NativeFile, length: int, per_batch: int):
-        self.schema = sequence_schema(length)
+    def __init__(self, sink: pa.NativeFile, length: int, per_batch: int, vocabulary: int):
+        self.schema = sequence_schema(length, vocabulary)
+        self.kind = self.schema.field("input_ids").type.value_type.to_pandas_dtype()
         self.out = pa.ipc.new_file(sink, self.schema)
         self.length, self.room = length, length * per_batch
         self.held: list[np.ndarray] = []
@@ -44,17 +46,17 @@ class SequenceWriter:
         self.total += len(ids)
         while len(ids):
             part, ids = ids[: self.room - self.n_held], ids[self.room - self.n_held :]
-            self.held.append(part)
+            self.held.append(part.astype(self.kind))
             self.n_held += len(part)
             if self.n_held == self.room:
                 self._flush()
 
     def _flush(self) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         padded = -(-len(ids) // self.length) * self.length
         if padded:
-            values, mask = np.zeros(padded, np.uint32), np.zeros(padded, np.uint8)
-            values[: len(ids)], mask[: len(ids)] = ids, 1
+            values, mask = np.zeros(padded, self.kind), np.zeros(padded, bool)
+            values[: len(ids)], mask[: len(ids)] = ids, True
             self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(values), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.held, self.n_held = [], 0
 
@@ -71,13 +73,11 @@ class SequenceReader:
         self.length = self.file.schema.field("input_ids").type.list_size
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
-    def _values(self, column: int, i: int) -> np.ndarray:
-        lists = self.file.get_batch(i // self.per_batch).column(column)
-        at = (i % self.per_batch + lists.offset) * self.length
-        return lists.values.to_numpy(zero_copy_only=True)[at : at + self.length]
-
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return self._values(0, i), self._values(1, i)
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``i``, both views of the file."""
+        batch, at = self.file.get_batch(i // self.per_batch), i % self.per_batch * self.length
+        ids, mask = (batch.column(c).values.slice(at, self.length) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self, first: int, n: int) -> np.ndarray:
         """Ids [first, first + n) of the shard."""
@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         first_doc = None
         n_docs = 0
         with new_file(folder, ".arrow") as (sink, name), new_file(folder, ".docs.arrow") as (index_sink, index_name):
-            writer = SequenceWriter(sink, length, per_batch)
+            writer = SequenceWriter(sink, length, per_batch, tokenizer.tokenizer.get_vocab_size())
             index = pa.ipc.new_file(index_sink, INDEX)
             for batch in batches:
                 for part in slices(batch, "text"):
