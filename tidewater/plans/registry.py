@@ -1,10 +1,6 @@
 """All queries of the library, by name, and their DuckDB twins."""
 
-from __future__ import annotations
+from tidewater.plans import ais  # noqa: F401
+from tidewater.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
