@@ -93,16 +93,66 @@ LINES_SQL = """line AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+# Accounts that the reports store: leaves of all sections, and one total that then wins over its sum.
+STORED_ACCOUNTS = (1, 2, 3, 5, 7, 9, 10, 12, 14, 18, 21, 22, 26, 30, 31, 34, 36, 38, 40, 44, 58, 49, 6)
+
+
 def account_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaf accounts of annual reports: company, year, account number 1 to 7, value."""
+    """Stored accounts of annual reports: company, year, account, value."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    grouped = o.join(li, o.o_orderkey == li.l_orderkey).groupBy(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("year"), F.col("l_linenumber").alias("account"))
+    joined = o.join(li, o.o_orderkey == li.l_orderkey).filter(F.col("l_linenumber") <= 6)
+    grouped = joined.groupBy(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("year"), _pick(F.col("l_partkey") % len(STORED_ACCOUNTS), STORED_ACCOUNTS).alias("account"))
     return grouped.agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
 
 
-ACCOUNTS_SQL = """account AS (
-  SELECT o_custkey AS company_id, year(o_orderdate) AS year, l_linenumber AS account, round(sum(l_extendedprice), 2) AS value
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"""
+ACCOUNTS_SQL = f"""account AS (
+  SELECT o_custkey AS company_id, year(o_orderdate) AS year, (ARRAY{list(STORED_ACCOUNTS)})[l_partkey % {len(STORED_ACCOUNTS)} + 1] AS account, round(sum(l_extendedprice), 2) AS value
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 6 GROUP BY ALL)"""
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies from ``customer``: currency, country, labels as comma-separated text; some names are marked as old."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return c.select(
+        key.alias("company_id"), F.when(key % 17 == 0, F.concat("c_name", F.lit(" (OLD)"))).otherwise(F.col("c_name")).alias("name"), _pick(key % 4, ("DKK", "NOK", "ISK", "EUR")).alias("currency"),
+        _pick(key % 3, ("FO", "NO", "IS")).alias("country"), F.when(key % 9 != 0, F.concat(F.lower("c_mktsegment"), F.lit(", "), _pick(key % 3, ("PELAGIC", " Trawl", "longline ")))).alias("labels"),
+    )
+
+
+COMPANIES_SQL = """company AS (
+  SELECT c_custkey AS company_id, CASE WHEN c_custkey % 17 = 0 THEN c_name || ' (OLD)' ELSE c_name END AS name, (ARRAY['DKK', 'NOK', 'ISK', 'EUR'])[c_custkey % 4 + 1] AS currency,
+    (ARRAY['FO', 'NO', 'IS'])[c_custkey % 3 + 1] AS country, CASE WHEN c_custkey % 9 <> 0 THEN lower(c_mktsegment) || ', ' || (ARRAY['PELAGIC', ' Trawl', 'longline '])[c_custkey % 3 + 1] END AS labels
+  FROM customer)"""
+
+
+def rates(spark: SparkSession) -> DataFrame:
+    """Euro rates by year; one currency is unknown before 1995."""
+    years = spark.range(1990, 2030).select(F.col("id").cast("int").alias("year"))
+    rows = F.array(*[F.struct(F.lit(q).alias("quote"), F.lit(r).alias("base"), F.lit(d).alias("step")) for q, r, d in (("DKK", 7.5, 0.01), ("NOK", 9.0, 0.05), ("ISK", 120.0, 1.0), ("EUR", 1.0, 0.0))])
+    return years.select("year", F.inline(rows)).filter("quote <> 'ISK' OR year >= 1995").select("year", "quote", (F.col("base") + F.col("step") * (F.col("year") - 1990)).alias("rate"))
+
+
+RATES_SQL = """rate AS (
+  SELECT year::INTEGER AS year, quote, base + step * (year - 1990) AS rate
+  FROM range(1990, 2030) AS y(year), (VALUES ('DKK', 7.5e0, 0.01e0), ('NOK', 9e0, 0.05e0), ('ISK', 120e0, 1e0), ('EUR', 1e0, 0e0)) AS q(quote, base, step) WHERE quote <> 'ISK' OR year >= 1995)"""
+
+
+def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vessel directory from ``customer``: shared names, marks with zeros and punctuation, an active and a retired fleet."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return c.select(
+        key.alias("id"), F.concat(F.lit("Vessel "), (key % 700).cast("string"), F.when(key % 5 == 0, " R-12").otherwise("")).alias("name"),
+        F.when(key % 3 != 0, F.concat(F.lit("R-0"), (key % 900).cast("string"))).alias("registration_number"), F.concat(F.lit("H "), (key % 300).cast("string")).alias("harbour_number"),
+        F.when(key % 4 == 0, F.concat(F.lit("CS"), key.cast("string"))).alias("call_sign"), F.lit(None).cast("string").alias("mmsi"), F.when(key % 6 == 0, 2).otherwise(1).alias("status_id"),
+    )
+
+
+DIRECTORY_SQL = """directory AS (
+  SELECT c_custkey AS id, 'Vessel ' || (c_custkey % 700) || CASE WHEN c_custkey % 5 = 0 THEN ' R-12' ELSE '' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN 'R-0' || (c_custkey % 900) END AS registration_number,
+    'H ' || (c_custkey % 300) AS harbour_number, CASE WHEN c_custkey % 4 = 0 THEN 'CS' || c_custkey END AS call_sign, NULL::VARCHAR AS mmsi, CASE WHEN c_custkey % 6 = 0 THEN 2 ELSE 1 END AS status_id
+  FROM customer)"""
 
 
 def closures(spark: SparkSession, sf_dir: str) -> DataFrame:
