@@ -1,6 +1,6 @@
 """All queries of the library, by name, and their DuckDB twins."""
 
-from tidewater.plans import ais, catch, finance  # noqa: F401
+from tidewater.plans import ais, catch, finance, places  # noqa: F401
 from tidewater.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

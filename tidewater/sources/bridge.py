@@ -199,14 +199,14 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return c.select(
         key.alias("case_id"), F.col("c_name").alias("title"), _pick(key % 3, ("NO", "FO", "IS")).alias("region"),
-        _pick(key % 5, ("unread", "under_review", "awaiting_geometry", "awaiting_regulatory", "approved")).alias("admin_status"), _pick(key * 7 % 4, ("critical", "high", "normal", "low")).alias("urgency"),
+        _pick(key % 5, ("unread", "under_review", "awaiting_geometry", "awaiting_regulatory", "approved")).alias("admin_status"), _pick(key * 7 % 4, ("critical", "high", "medium", "low")).alias("urgency"),
         F.when(key % 4 != 0, key % 13).alias("assignee"), (key % 2 == 0).alias("is_read"), F.when(key % 6 == 0, key % 40).alias("snoozed_until"), (key * 11 % 365).alias("updated_day"),
     )
 
 
 CASES_SQL = """cases AS (
   SELECT c_custkey AS case_id, c_name AS title, (ARRAY['NO', 'FO', 'IS'])[c_custkey % 3 + 1] AS region,
-    (ARRAY['unread', 'under_review', 'awaiting_geometry', 'awaiting_regulatory', 'approved'])[c_custkey % 5 + 1] AS admin_status, (ARRAY['critical', 'high', 'normal', 'low'])[c_custkey * 7 % 4 + 1] AS urgency,
+    (ARRAY['unread', 'under_review', 'awaiting_geometry', 'awaiting_regulatory', 'approved'])[c_custkey % 5 + 1] AS admin_status, (ARRAY['critical', 'high', 'medium', 'low'])[c_custkey * 7 % 4 + 1] AS urgency,
     CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 13 END AS assignee, c_custkey % 2 = 0 AS is_read, CASE WHEN c_custkey % 6 = 0 THEN c_custkey % 40 END AS snoozed_until, c_custkey * 11 % 365 AS updated_day
   FROM customer)"""
 
