@@ -21,13 +21,18 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=np.uint64)
+@functools.lru_cache(maxsize=4)
+def _table(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, dtype=np.uint64)
     out[1:] = np.uint64(base)
     return np.cumprod(out)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64, from a table that is kept by powers of two."""
+    return _table(base, 1 << max(n - 1, 1).bit_length())[:n]
+
+
 @dataclass
 class Lines:
     """The trimmed lines of a run of texts, as ranges of code points, with sums from which the hash of any range follows."""

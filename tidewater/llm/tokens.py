@@ -37,7 +37,7 @@ def _byte_letters() -> list[str]:
 class WordTokenizer:
     """``encode`` gives the ids that the tokenizer at ``path`` gives for each text, without special tokens."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
