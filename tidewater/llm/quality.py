@@ -69,18 +69,18 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     words = space + 1
     base = np.maximum(length, 1)
     space_at = np.isin(raw, (0x20, 0x0A, 0x09))
-    # A word of one or two marks alone, such as "|", stands between spaces.
-    lone = np.zeros(size, dtype=np.int64)
-    if size > 2:
-        lone[1:-1] = space_at[:-2] & (_CLASS[raw[1:-1], 5] == 1) & space_at[2:]
-    ends_word = np.zeros(size, dtype=np.int64)
-    if size > 1:
-        ends_word[:-1] = (_CLASS[raw[:-1], 5] == 1) & space_at[1:]
+    # Both ends of a document count as space, so that its neighbours in the buffer have no part in its features.
+    before_space, after_space = np.append(True, space_at[:-1])[:size], np.append(space_at[1:], True)[-size:] if size else space_at
+    before_space[offsets[:-1][offsets[:-1] < size]] = True
+    after_space[offsets[1:][offsets[1:] > 0] - 1] = True
+    mark_at = _CLASS[raw, 5] == 1
+    # A mark alone, such as "|", stands between spaces.
+    lone, ends_word = (before_space & mark_at & after_space).astype(np.int64), (mark_at & after_space).astype(np.int64)
     lone = np.add.reduceat(lone, starts) if size else np.zeros(0)
     ends_word = np.add.reduceat(ends_word, starts) if size else np.zeros(0)
     # Words that repeat the word before them.
     again = np.zeros(len(starts))
-    first_byte = np.flatnonzero(~space_at & np.append(True, space_at[:-1])) if size else np.zeros(0, np.int64)
+    first_byte = np.flatnonzero(~space_at & before_space)
     if len(first_byte):
         sign = np.add.reduceat(_SIGN[raw], first_byte)
         line = np.searchsorted(starts, first_byte, side="right") - 1
