@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewater.operators.positions import is_fishing, replace_by_key
 
 
-def tail(fixes: DataFrame, watermark: str = "5 minutes") -> DataFrame:
-    """Each fix once, though reads overlap: repeats of a source id within the watermark of ingest time go."""
-    return fixes.withWatermark("ingest_time", watermark).dropDuplicatesWithinWatermark(["source_id"])
+def tail(fixes: DataFrame, watermark: str = "5 minutes", on: str = "ingest_time") -> DataFrame:
+    """Each fix once, though reads overlap: repeats of a source id within the watermark go. For a rollup after it, deduplicate ``on`` event time."""
+    return fixes.withWatermark(on, watermark).dropDuplicatesWithinWatermark(["source_id"])
 
 
 def write_replacing(fixes: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -29,9 +29,10 @@ def read_replaced(spark, path: str) -> DataFrame:
     return replace_by_key(spark.read.parquet(path), ["vessel_id", "event_time", "source_id"], "ingest_time")
 
 
-def hourly(fixes: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Fixes by vessel and hour of event time."""
-    return fixes.withWatermark("event_time", watermark).groupBy("vessel_id", F.window("event_time", "1 hour")).agg(F.count("*").alias("fixes"), F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"))
+def hourly(fixes: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
+    """Fixes by vessel and hour of event time; no ``watermark`` where the input has one on event time."""
+    timed = fixes.withWatermark("event_time", watermark) if watermark else fixes
+    return timed.groupBy("vessel_id", F.window("event_time", "1 hour")).agg(F.count("*").alias("fixes"), F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"))
 
 
 def sessions(fixes: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
