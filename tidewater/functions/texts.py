@@ -75,6 +75,23 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def html_markdown(html: Column) -> Column:
+    """Headings, list items, bold text and paragraphs as Markdown; other tags go."""
+    out = html
+    for n in range(1, 7):
+        out = F.regexp_replace(out, rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", "\n" + "#" * n + " $1\n")
+    for tag, text in ((r"<li[^>]*>(.*?)</li>", "\n- $1"), (r"<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>", "**$1**"), (r"<br\s*/?>|</p>|</div>|</ul>", "\n"), (r"<[^>]*>", "")):
+        out = F.regexp_replace(out, "(?is)" + tag, text)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", ""))
+
+
+def definition(html: Column, label: str) -> Column:
+    """Value of a label in a definition list: the machine time if the cell has one, else its text; none is null."""
+    cell = F.regexp_extract(html, rf"(?is)<dt[^>]*>\s*{label}\s*</dt>\s*<dd[^>]*>(.*?)</dd>", 1)
+    time = F.regexp_extract(cell, r"""(?i)<time[^>]+datetime=["']([^"']+)["']""", 1)
+    return F.nullif(F.when(time != "", time).otherwise(html_text(cell)), F.lit(""))
+
+
 def whole_word(text: Column, word: Column) -> Column:
     """Whether a word stands in a text with no letter or figure next to an end that is itself a letter or figure."""
     quoted = F.concat(F.lit(r"\Q"), word, F.lit(r"\E"))
