@@ -87,13 +87,13 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def learn(docs: DataFrame, training: Training = Training(), held_out_remainder: int = 1, folds: int = 3) -> Model:
-    """Count words and n-grams in a bounded sample of each language, taken by a hash of the text."""
+    """Count words and n-grams in a bounded sample of each language, taken by a hash of the row, so that copies of one text do not come in together."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != held_out_remainder, F.lit(False)))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], {}, [{} for _ in range(training.longest)], np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, training.documents / n) * (1 << 20)))])
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
     longest = training.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
