@@ -158,3 +158,16 @@ def test_requests():
         with pytest.raises(params.RequestError) as e:
             call()
         assert e.value.code == code
+
+
+def test_geodesic_distance(spark):
+    """Flinders Peak to Buninyong, and a degree of latitude at the pole and at the equator."""
+    rows = [(-37.951033, 144.424868, -37.652821, 143.926496, 54.972), (89.0, 0.0, 90.0, 0.0, 111.694), (0.0, 0.0, 1.0, 0.0, 110.574), (5.0, 5.0, 5.0, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, km double")
+    assert df.filter(F.abs(areas.geodesic_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")) - F.col("km")) > 0.002).count() == 0
+
+
+def test_ring_problems(spark):
+    rings = [(None, "empty"), ([(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (0.0, 0.0)], None), ([(0.0, 0.0), (0.0, 4.0), (4.0, 4.0)], "ring is not closed"), ([(0.0, 0.0), (0.0, 4.0), (0.0, 0.0)], "too few points"), ([(0.0, 0.0), (4.0, 4.0), (0.0, 4.0), (4.0, 0.0), (0.0, 0.0)], "self-intersection"), ([(99.0, 0.0), (0.0, 4.0), (4.0, 4.0), (99.0, 0.0)], "coordinate out of range")]
+    df = spark.createDataFrame(rings, "r array<struct<lat:double,lon:double>>, want string")
+    assert [r.got for r in df.select(areas.ring_problems(F.col("r")).alias("got")).collect()] == [w for _, w in rings]

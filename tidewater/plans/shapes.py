@@ -163,3 +163,74 @@ def fn_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.aggregate("all", F.lit(b""), lambda a, p: F.concat(a, p["data"]))
     return good.filter(F.sha2(joined, 256) == F.col("whole")).select("doc_id", "parts", "whole")
 
+
+
+@query("txt_07", "SELECT s_suppkey AS id, chr((97 + s_suppkey % 3)::INTEGER) AS name, 3 AS n_points, CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 0 END AS orphans, s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AS drawable, round(61 + s_suppkey % 50 / 60e0, 6) AS first_lat FROM supplier")
+def txt_07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of statutes, vertex by vertex; some have a latitude too many, some an item that merely looks like a vertex."""
+    k = F.col("s_suppkey")
+    item = lambda i, text: F.concat(F.lit(f"- **{i})** "), text, F.lit("\n"))
+    first = F.format_string("61°%d' N 7°0' V", (k % 50).cast("int"))
+    alone = F.when(k % 4 == 0, item("d", F.lit("63°0' N 64°0' N"))).otherwise("")
+    unread = F.when(k % 5 == 0, item("e", F.lit("63°99' N 8°10' V"))).otherwise("")
+    body = F.concat(F.lit("### § 1 Økini\n**Stk. 1.** Øki "), F.substring(F.lit("abc"), (k % 3 + 1).cast("int"), F.lit(1)), F.lit(" er friðað\n"), item("a", first), item("b", F.lit("62º0,5´ N 8°0' V;")), item("c", F.lit("62°30' N 6°59' V")), alone, unread, F.lit("### § 2 Annað\n"), item("a", F.lit("Skip við longri enn 15 m")))
+    rings = A.statute_areas(B.table(spark, sf_dir, "supplier").select(k.alias("id"), body.alias("body")), "id")
+    return rings.select("id", "name", F.size("points").alias("n_points"), "orphans", "drawable", F.round(F.get("points", F.lit(0))["lat"], 6).alias("first_lat"))
+
+
+@query("geo_15", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ring is not closed' WHEN 2 THEN 'ring is not closed' ELSE 'ring is not closed' END AS problem FROM supplier")
+def geo_15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rings(spark, sf_dir).select("id", A.ring_problems(F.col("ring")).alias("problem"))
+
+
+@query("geo_08")
+def geo_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features within 300 km on the ellipsoid; held by unit tests against published distances."""
+    near = B.features(spark, sf_dir).withColumn("km", A.geodesic_km(F.lit(60.0), F.lit(1.0), F.col("lat"), F.col("lon")))
+    return near.filter("km <= 300").select("feature_id", F.round("km", 3).alias("km"))
+
+
+@query("wf_09", "SELECT doc_id, CASE WHEN length(text) < 40 THEN 'quote' WHEN doc_id % 5 = 0 THEN 'foreign reference' WHEN doc_id % 7 = 0 THEN 'repeated id' END AS violation FROM documents")
+def wf_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape state against its text: quotes are the text at their span, ids do not repeat, references stay inside."""
+    d = F.col("doc_id")
+    state = B.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.struct(F.lit(11).alias("start"), F.lit(30).alias("n"), F.substring("text", 11, 30).alias("quote")).alias("span"),
+        F.when(d % 7 == 0, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("ids"), F.when(d % 5 == 0, F.array(F.lit(9))).otherwise(F.array(F.lit(1))).alias("refers"),
+    )
+    quoted = (F.length("span.quote") == F.col("span.n")) & (F.substring(F.col("text"), F.col("span.start"), F.col("span.n")) == F.col("span.quote"))
+    violation = F.when(~quoted, "quote").when(F.size(F.array_except("refers", "ids")) > 0, "foreign reference").when(F.size(F.array_distinct("ids")) != F.size("ids"), "repeated id")
+    return state.select("doc_id", violation.alias("violation"))
+
+
+@query("wf_12", "SELECT o_custkey AS case_id, count(*) AS n, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS manifest FROM orders GROUP BY 1")
+def wf_12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of all parts of a snapshot, in the order of their ids."""
+    o = B.table(spark, sf_dir, "orders")
+    parts = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    text = F.array_join(F.transform("parts", lambda p: F.concat(p["o_orderkey"].cast("string"), F.lit(":"), p["o_orderstatus"])), ",")
+    return o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count("*").alias("n"), parts.alias("parts")).select("case_id", "n", F.sha2(text, 256).alias("manifest"))
+
+
+@query("wf_13", "WITH RECURSIVE c AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 <> 0 THEN s_suppkey - 1 END AS before FROM supplier), w(id, link, depth) AS (SELECT id, before, 0 FROM c UNION ALL SELECT w.id, c.before, w.depth + 1 FROM w JOIN c ON c.id = w.link) SELECT id, max(depth)::BIGINT AS depth FROM w GROUP BY id")
+def wf_13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many predecessors a command has, by doubling: each step joins every command's pointer with that of the one it points at."""
+    k = F.col("s_suppkey")
+    chain = B.table(spark, sf_dir, "supplier").select(k.alias("id"), F.when(k % 10 != 0, k - 1).alias("at"))
+    known = chain.select("id")
+    # A pointer to a command that is not there ends the chain; a cycle ends with the doublings.
+    chain = chain.join(known.withColumnRenamed("id", "at").withColumn("there", F.lit(True)), "at", "left").select("id", F.when(F.col("there"), F.col("at")).alias("at"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
+    for _ in range(5):
+        ahead = chain.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
+        chain = chain.join(ahead, "at", "left").select("id", F.col("further").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    return chain.select("id", "depth")
+
+
+@query("wf_11", "SELECT coalesce(a.p_partkey, b.p_partkey) AS id, CASE WHEN a.p_partkey IS NULL THEN 'unnumbered' WHEN b.p_partkey IS NULL THEN 'no polygon' WHEN a.p_size % 2 = 0 THEN 'bound' ELSE 'other source' END AS state FROM (SELECT * FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) b USING (p_partkey)")
+def wf_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Official polygons bound to the paragraphs of a text: only where both are there and the source is the stated one."""
+    p = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    paragraphs = p.filter("id % 3 <> 0").select("id", F.when(F.col("p_size") % 2 == 0, "s").otherwise("t").alias("source"))
+    polygons = p.filter("id % 5 <> 0").select("id", F.lit("s").alias("polygon_source"))
+    state = F.when(F.col("source").isNull(), "unnumbered").when(F.col("polygon_source").isNull(), "no polygon").when(F.col("source") == F.col("polygon_source"), "bound").otherwise("other source")
+    return paragraphs.join(polygons, "id", "full").select("id", state.alias("state"))
