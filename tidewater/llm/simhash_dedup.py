@@ -215,8 +215,11 @@ def hex16(col: str) -> Column:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents that name their component: one of each group of near-duplicates (the smallest ``doc_id``), all columns of ``docs``.
 
-    Rows that repeat a ``doc_id`` count as one document; one of them stays.
+    Rows that repeat a ``doc_id``, and rows without one, count as one document each; one of its rows stays.
     """
     found = near_duplicates(docs, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash-kept")
+    # The join and the removal of repeats share one shuffle by doc_id, which a null-safe join would not.
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    unnamed = docs.filter("doc_id IS NULL").join(kept.filter("doc_id IS NULL"), F.lit(True), "left_semi").limit(1)
+    return named.unionByName(unnamed)
