@@ -23,11 +23,11 @@ _SPLIT = r"[^\p{L}]+"
 class Training:
     """``documents`` bounds the sample of each language; ``words`` and ``grams`` bound the tables of the model."""
 
-    documents: int = 2000
+    documents: int = 1000
     words: int = 50_000
     grams: int = 50_000
     least_count: int = 3
-    longest: int = 5
+    longest: int = 4
     smoothing: float = 0.5
 
 
@@ -36,12 +36,13 @@ class Model:
     """Log frequencies by language of known words, and of the character n-grams of each length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, from 1
-    default: np.ndarray
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, tuple[float, ...]]
+    grams: list[dict[str, tuple[float, ...]]]  # by length, from 1
+    default: tuple[float, ...]
+    known: dict[str, int] = field(default_factory=dict)
+    rows: list[tuple[float, ...]] = field(default_factory=list)
 
-    def word_scores(self, word: str) -> np.ndarray:
+    def word_scores(self, word: str) -> tuple[float, ...]:
         """Log frequency of a word in each language.
 
         A word that the table lacks falls back to the longest n-grams of which it has any known ones; their mean
@@ -54,18 +55,22 @@ class Model:
         for n in range(len(self.grams), 0, -1):
             table = self.grams[n - 1]
             text = word if n == 1 else marked
-            seen = [table[g] for g in (text[i : i + n] for i in range(len(text) - n + 1)) if g in table]
+            seen = [s for i in range(len(text) - n + 1) if (s := table.get(text[i : i + n])) is not None]
             if seen:
-                return np.mean(seen, axis=0)
+                k = len(seen)
+                return tuple([sum(c) / k for c in zip(*seen, strict=True)])
         return self.default
 
     def score_words(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 300_000:
+        if len(self.known) > 500_000:
             self.known.clear()
+            self.rows.clear()
+        known, rows = self.known, self.rows
         for w in words:
-            if w not in self.known:
-                self.known[w] = self.word_scores(w)
-        return np.array([self.known[w] for w in words]).reshape(-1, len(self.languages))
+            if w not in known:
+                known[w] = len(rows)
+                rows.append(self.word_scores(w))
+        return np.array([rows[known[w]] for w in words], dtype=np.float64).reshape(-1, len(self.languages))
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -91,25 +96,29 @@ def learn(docs: DataFrame, training: Training = Training(), held_out_remainder:
     labelled = docs.filter(F.col("lang").isNotNull() & F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != held_out_remainder, F.lit(False)))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], {}, [{} for _ in range(training.longest)], np.zeros(0))
+        return Model([], {}, [{} for _ in range(training.longest)], ())
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, training.documents / n) * (1 << 20)))])
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
     longest = training.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int, str], int] = defaultdict(int)
+        # Words first, so that the n-grams of each distinct word of a task are cut once.
+        by_word: dict[tuple[str, str], int] = defaultdict(int)
         for batch in batches:
             for part in slices(batch, "text"):
                 words, n = words_of(part.column("text"))
                 langs = np.repeat(np.array(part.column("lang").to_pylist(), dtype=object), n)
                 for lang in set(langs.tolist()):
-                    for w, c in ((x["values"], x["counts"]) for x in words.filter(pa.array(langs == lang)).value_counts().to_pylist()):
-                        counts[lang, 0, w] += c
-                        marked = f"^{w}$"
-                        for k in range(1, longest + 1):
-                            text = w if k == 1 else marked
-                            for i in range(len(text) - k + 1):
-                                counts[lang, k, text[i : i + k]] += c
+                    for x in words.filter(pa.array(langs == lang)).value_counts().to_pylist():
+                        by_word[lang, x["values"]] += x["counts"]
+        counts: dict[tuple[str, int, str], int] = defaultdict(int)
+        for (lang, w), c in by_word.items():
+            counts[lang, 0, w] = c
+            marked = f"^{w}$"
+            for k in range(1, longest + 1):
+                text = w if k == 1 else marked
+                for i in range(len(text) - k + 1):
+                    counts[lang, k, text[i : i + k]] += c
         rows = list(counts.items())
         for at in range(0, len(rows), 100_000):
             some = rows[at : at + 100_000]
@@ -121,12 +130,12 @@ def learn(docs: DataFrame, training: Training = Training(), held_out_remainder:
     found = [items.filter(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(training.grams if kind else training.words).collect() for kind in range(longest + 1)]
     languages = sorted(sizes)
 
-    def table(rows) -> dict[str, np.ndarray]:
+    def table(rows) -> dict[str, tuple[float, ...]]:
         sums = {lang: sum(r["by_lang"].get(lang, 0) for r in rows) for lang in languages}
         size = len(rows) + 1
-        return {r["item"]: np.array([math.log((r["by_lang"].get(lang, 0) + training.smoothing) / (sums[lang] + training.smoothing * size)) for lang in languages]) for r in rows}
+        return {r["item"]: tuple([math.log((r["by_lang"].get(lang, 0) + training.smoothing) / (sums[lang] + training.smoothing * size)) for lang in languages]) for r in rows}
 
-    return Model(languages, table(found[0]), [table(found[k]) for k in range(1, longest + 1)], np.zeros(len(languages)))
+    return Model(languages, table(found[0]), [table(found[k]) for k in range(1, longest + 1)], (0.0,) * len(languages))
 
 
 def identify(docs: DataFrame, training: Training = Training(), model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,8 +147,11 @@ def identify(docs: DataFrame, training: Training = Training(), model: Model | No
     """
     model = model or learn(docs, training)
     languages = pa.array([*model.languages, "und"], pa.string())
+    # Bounded by the training's table sizes; a worker loads it once and keeps the scores of the words that it has met.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 words, n = words_of(part.column("text"))

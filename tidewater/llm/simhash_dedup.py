@@ -135,6 +135,9 @@ def links(distinct: DataFrame, max_bits: int = 4, n_pivots: int = 16, bucket_lim
     A bucket over ``bucket_limit`` is cut by masks over its remaining bits, as often as needed; its rows
     never meet in one task. Inside a bucket the pivot table discards pairs and the survivors are verified.
     """
+    if bucket_limit < 1 << (max_bits + 1):
+        # A larger bucket has more free bits than runs to cut them into, so every cut makes it smaller.
+        raise ValueError(f"bucket_limit must be at least {1 << (max_bits + 1)}")
     refs = pivots(n_pivots)
     masks = [_signed(m) for m in block_masks(choose_blocks(distinct.count(), max_bits), max_bits)]
     keyed = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
