@@ -39,7 +39,6 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Fingerprints of documents whose ``counts`` hashes stand in a row: a bit is 1 if set in over half of them."""
     sums = np.zeros((len(counts), 64), dtype=np.int64)
-    ends = np.cumsum(counts)
     owner = np.repeat(np.arange(len(counts)), counts)
     for at in range(0, len(hashes), _BLOCK):
         block = np.ascontiguousarray(hashes[at : at + _BLOCK])
@@ -47,7 +46,6 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1)
         sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    del ends
     return np.packbits((2 * sums > counts[:, None]).astype(np.uint8), axis=1).reshape(-1).view("<u8")
 
 
