@@ -87,6 +87,21 @@ def test_language_backs_off_and_gives_und(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_language_takes_five_grams_before_shorter_ones(spark):
+    """The unseen word shares one run of five letters with a German word and many shorter runs with English words."""
+    train = [(i, "abcde", "de") for i in range(12)] + [(i, "zabcd zbcde qabcd qbcde rabcd rbcde", "en") for i in range(100, 112)]
+    docs = spark.createDataFrame([*train, (1000, "xabcdex", None)], "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert "abcde" in model.grams[4] and "xabcdex" not in model.words
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, model=model).collect()}[1000] == "de"
+
+
+def test_language_sample_takes_up_to_two_thousand_documents(spark):
+    """Each word stands in three documents, as few as the model asks for: all words are known if all documents are taken."""
+    docs = spark.range(1800).selectExpr("id AS doc_id", "translate(string(id % 600), '0123456789', 'abcdefghij') AS text", "'en' AS lang")
+    assert len(language.learn(docs, held_out_remainder=-1).words) == 600
+
+
 def test_words_of_matches_regex():
     texts = ["Ab-cd  éF\n", None, "", "x1y", " ñ", "12"]
     import regex

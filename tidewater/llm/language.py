@@ -23,11 +23,11 @@ _SPLIT = r"[^\p{L}]+"
 class Training:
     """``documents`` bounds the sample of each language; ``words`` and ``grams`` bound the tables of the model."""
 
-    documents: int = 1000
+    documents: int = 2000
     words: int = 50_000
     grams: int = 50_000
     least_count: int = 3
-    longest: int = 4
+    longest: int = 5
     smoothing: float = 0.5
 
 
