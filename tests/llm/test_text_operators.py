@@ -92,6 +92,19 @@ def test_keep_one(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_keep_one_tells_rows_of_null_and_repeated_ids_apart(spark):
+    a, b, c, d = "same text here now please", "other words are in this one", "a third text of its own words", "nothing in common with any above"
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, d), (7, d), (1, c), (5, None), (5, "")]
+    kept = simhash_dedup.keep_one(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    # One row of each text: the smallest id; a null id only where no row has one.
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, a), (2, b), (1, c), (7, d), (5, "")])
+    distinct = [f"word{i} stands with item{i * 7} and thing{i * 13} alone" for i in range(30)]
+    for ids in ([None] * 30, [4] * 30, [None, 4] * 15):
+        found = simhash_dedup.keep_one(documents(spark, distinct, ids).union(documents(spark, distinct, ids))).collect()
+        group = {r.fp: r.root for r in simhash_dedup._rooted(simhash_dedup.fingerprints(documents(spark, distinct)), 4, 16, 1024).collect()}
+        assert len(found) == len(set(group.values())) and len({r.text for r in found}) == len(found)
+
+
 def test_exact_dedup(spark):
     texts = ["a", "b", "a", None, "", "a ", "b", "é"]
     index = exact_dedup.fresh_index(spark, buckets=4)

@@ -50,7 +50,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` (the fingerprint's 64 bits as a signed integer)."""
+    """One row per document: its id under the name ``doc_id``, ``fp`` (the fingerprint's 64 bits as a signed integer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,26 +201,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any row but never name one unless all ids of the component are null. Other columns are not read.
     """
     marks = materialize(fingerprints(docs, id_col, text_col, words, seed), "simhash-fp")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), max_bits, n_pivots, bucket_limit))
-    rooted = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    rooted = _rooted(marks, max_bits, n_pivots, bucket_limit)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-named")
     return marks.join(named, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def _rooted(marks: DataFrame, max_bits: int, n_pivots: int, bucket_limit: int) -> DataFrame:
+    """One row per fingerprint of ``marks``: ``fp``, ``least`` (its smallest ``doc_id``), ``root`` (names its component)."""
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = connected_components(links(distinct.select("fp"), max_bits, n_pivots, bucket_limit))
+    return materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def hex16(col: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(col))), 16, "0")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their component: one of each group of near-duplicates (the smallest ``doc_id``), all columns of ``docs``.
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Equal for rows of the same id and text only, and never null: a null differs from every id, and from an empty text."""
+    digest = F.coalesce(F.sha2(F.col(text_col).cast("string"), 256), F.lpad(F.lit(""), 64, "-"))
+    return F.concat(digest, F.coalesce(F.concat(F.lit(" "), F.col(id_col).cast("string")), F.lit("")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, max_bits: int = 4, n_pivots: int = 16, bucket_limit: int = 1024) -> DataFrame:
+    """One row of each group of near-duplicates, all columns of ``docs``.
 
-    Rows that repeat a ``doc_id``, and rows without one, count as one document each; one of its rows stays.
+    Groups are those of ``near_duplicates``. The row with the smallest id stays, rows without an id coming last; among
+    rows of one id the text's digest decides. Ids may be null or repeated: rows are told apart by id and text.
     """
-    found = near_duplicates(docs, **options)
-    kept = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash-kept")
-    # The join and the removal of repeats share one shuffle by doc_id, which a null-safe join would not.
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id IS NULL").join(kept.filter("doc_id IS NULL"), F.lit(True), "left_semi").limit(1)
-    return named.unionByName(unnamed)
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"))
+    marks = materialize(fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", words, seed), "simhash-fp")
+    kept = _rooted(marks, max_bits, n_pivots, bucket_limit).groupBy("root").agg(F.min("least").alias("least"))
+    kept = materialize(kept.select(F.col("least.key").alias("__row_key")), "simhash-kept")
+    # The key is never null, so the join and the removal of repeated rows share one shuffle.
+    return docs.withColumn("__row_key", _row_key(id_col, text_col)).join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
