@@ -78,11 +78,44 @@ def test_simhash_cuts_large_buckets(spark):
 def test_pivot_filter_drops_no_link():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    near = fps ^ np.uint64(0b1011)
-    both = np.unique(np.concatenate([fps, near]))
-    a, b = simhash_dedup.local_links(both, simhash_dedup.pivots(16), 4)
+    both = np.unique(np.concatenate([fps, fps ^ np.uint64(0b1011)]))
+    table = simhash_dedup.pivot_table(both, simhash_dedup.pivots(16))
+    a, b = simhash_dedup.bucket_links(both, table, np.full(len(both), len(both)), 4)
     linked = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert {frozenset((int(x), int(y))) for x, y in zip(fps, near, strict=True)} <= linked
+    assert {frozenset((int(x), int(x) ^ 0b1011)) for x in fps} <= linked
+
+
+def test_references_are_far_from_each_other():
+    refs = simhash_dedup.pivots(63)
+    assert {(a ^ b).bit_count() for a, b in itertools.combinations(refs.tolist(), 2)} == {32}
+
+
+def test_pivot_table_discards_most_candidates(spark):
+    """Of the pairs that share a mask's bits on sf0.01, the table discards nearly all that are no links, and no link."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in simhash_dedup.fingerprints(docs).collect()], dtype=np.int64).view(np.uint64))
+    table = simhash_dedup.pivot_table(fps, simhash_dedup.pivots(16))
+    seen = kept = linked = 0
+    for mask in simhash_dedup.block_masks(simhash_dedup.choose_blocks(len(fps), 4), 4):
+        order = np.argsort(fps & np.uint64(mask), kind="stable")
+        keys = fps[order] & np.uint64(mask)
+        i, j = (np.array(x, dtype=np.int64) for x in zip(*[(order[a], order[b]) for a, b in itertools.combinations(range(len(fps)), 2) if keys[a] == keys[b]], strict=True)) if len(np.unique(keys)) < len(keys) else (np.zeros(0, np.int64),) * 2
+        at = simhash_dedup.may_link(table, i, j, 4)
+        links = np.bitwise_count(fps[i] ^ fps[j]) <= 4
+        assert set(np.flatnonzero(links)) <= set(at.tolist())
+        seen, kept, linked = seen + len(i), kept + len(at), linked + int(links.sum())
+    assert seen - linked > 50 and kept - linked <= 0.1 * (seen - linked)
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_simhash_null_and_repeated_ids_and_clashing_columns(spark, words):
+    texts = ["a b c d e f", "A b c d e f", "other words in this one", None, ""]
+    docs = documents(spark, texts, [None, 7, 7, None, 3]).withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("mask", F.lit(0))
+    found = sorted((r.fingerprint, r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash_dedup.near_duplicates(docs, words=words).collect())
+    assert [x[3] for x in found if x[0] == "0" * 16] == [3, 3] and len(found) == 5
+    assert {x[3] for x in found} == {3, 7}
+    assert simhash_dedup.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash_dedup.keep_one(docs.limit(0)).columns == docs.columns
 
 
 def test_keep_one(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,18 +17,28 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Folder of a local session that names none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+    """The folder all executors share, as a URI: ``spark.checkpoint.dir``.
 
-    In local mode, where it may be unset, a temporary folder is set for the session;
-    on a cluster a missing setting is an error.
+    A path without a scheme is one of Spark's default file system. In local mode, where the setting may be
+    missing, a temporary folder serves; on a cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        if not context.master.startswith("local") or "cluster" in context.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-tidewater-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = context.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidewater-")
+        found = _LOCAL[app]
+    if "://" not in found and not found.startswith("file:"):
+        default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        found = default.rstrip("/") + "/" + found.lstrip("/") if default.rstrip("/") != "file:" else "file://" + os.path.abspath(found)
     return found.rstrip("/")
 
 

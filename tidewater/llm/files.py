@@ -11,7 +11,10 @@ from pyarrow import fs
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """``folder`` is a URI, as ``common.shared_dir`` gives it: a bare path could mean another file system to Spark."""
+    if ":/" not in folder:
+        raise ValueError(f"not a URI: {folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 @contextmanager

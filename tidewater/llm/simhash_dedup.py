@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import materialize, mix64, slices
+from tidewater.llm.common import gather, materialize, slices
 from tidewater.llm.components import connected_components
 
 #: A-Z to a-z, byte by byte.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BLOCK = 1 << 18
+#: Pairs that are looked up in the distance table at once.
+_PAIRS = 1 << 20
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
@@ -63,9 +65,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())]))
 
 
-def pivots(n: int, seed: int = 7) -> np.ndarray:
-    """Reference fingerprints: pseudo-random 64-bit words, the same on every machine."""
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+def pivots(n: int = 16) -> np.ndarray:
+    """Reference fingerprints: Walsh words (bit ``b`` of word ``i`` is the parity of ``i & b``).
+
+    Any two of them differ in 32 bits, so the distances of a chance fingerprint to them are uncorrelated, and each
+    reference discards its own share of chance pairs.
+    """
+    if not 0 < n < 64:
+        raise ValueError("between 1 and 63 references")
+    index = (37 * np.arange(1, n + 1)) % 64
+    parity = np.bitwise_count(index[:, None] & np.arange(64)[None, :]) & 1
+    return np.packbits(parity.astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -73,6 +83,26 @@ def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
+def with_distances(distinct: DataFrame, n_pivots: int) -> DataFrame:
+    """``fp`` and ``distances``: a byte for each reference, computed once for each fingerprint."""
+    refs = pivots(n_pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column("fp").to_numpy().view(np.uint64), refs)
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([row.tobytes() for row in table], pa.binary())], ["fp", "distances"])
+
+    return distinct.select("fp").mapInArrow(run, "fp long, distances binary")
+
+
+def may_link(table: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
+    """Positions of the pairs whose distances to every reference differ by ``max_bits`` at most; no others can be linked."""
+    at = np.arange(len(left))
+    for column in table.T:
+        at = at[np.abs(column[left[at]] - column[right[at]]) <= max_bits]
+    return at
+
+
 def block_masks(blocks: int, max_bits: int) -> list[int]:
     """Masks of all choices of ``blocks - max_bits`` of ``blocks`` runs of bits.
 
@@ -84,13 +114,13 @@ def block_masks(blocks: int, max_bits: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(runs, blocks - max_bits)]
 
 
-def choose_blocks(n: int, max_bits: int) -> int:
-    """How many runs of bits make the fewest rows and expected chance candidates for ``n`` fingerprints."""
+def choose_blocks(n: int, max_bits: int, pair_cost: float = 0.02) -> int:
+    """How many runs of bits make the least work for ``n`` fingerprints: a row for each mask, and a look at the table for each chance pair."""
 
     def cost(blocks: int) -> float:
         keys = math.comb(blocks, max_bits)
         agreed = 64 * (blocks - max_bits) / blocks
-        return keys * (1 + n / 2**agreed)
+        return keys * (1 + pair_cost * n / 2**agreed)
 
     return min(range(max_bits + 1, max_bits + 9), key=cost)
 
@@ -99,96 +129,106 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def local_links(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the groups of distinct fingerprints ``fps`` (at most size - 1 of them).
+def finer_masks(mask: int, max_bits: int) -> list[int]:
+    """Masks that agree on one more run of the bits that ``mask`` leaves free: ``max_bits`` differing bits leave a run untouched."""
+    free = [i for i in range(64) if not (mask >> i) & 1]
+    runs = [free[len(free) * i // (max_bits + 1) : len(free) * (i + 1) // (max_bits + 1)] for i in range(max_bits + 1)]
+    return [_signed((mask & (1 << 64) - 1) | sum(1 << i for i in run)) for run in runs]
+
+
+def bucket_links(fps: np.ndarray, table: np.ndarray, ends: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the groups in buckets of distinct fingerprints that stand in a row; ``ends`` has each row's end of bucket.
 
-    A pair whose pivot distances differ by more than ``max_bits`` somewhere cannot be linked; the others are verified.
+    Pairs of a bucket are looked up in the distance table, about a million at a time; what it does not discard is
+    verified, and a link between groups that are linked already is left out.
     """
-    n = len(fps)
-    if n == 2:
-        near = int(np.bitwise_count(fps[0] ^ fps[1])) <= max_bits
-        return fps[:1][[near]], fps[1:][[near]]
-    table = pivot_table(fps, refs)
-    group = np.arange(n)
+    partners = ends - np.arange(len(fps)) - 1
+    total = np.cumsum(partners)
+    group: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := group.get(x, x)) != x:
+            group[x] = group.get(up, up)
+            x = up
+        return x
+
     left, right = [], []
-    for i in range(n - 1):
-        rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-        for j in range(len(refs)):
-            if len(rest) < 16:
-                break
-            rest = rest[np.abs(table[rest, j] - table[i, j]) <= max_bits]
-        rest = rest[np.bitwise_count(fps[rest] ^ fps[i]) <= max_bits]
-        for k in rest.tolist():
-            if group[k] != group[i]:
-                left.append(fps[i])
-                right.append(fps[k])
-                group[group == group[k]] = group[i]
+    start = 0
+    while start < len(fps):
+        stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + _PAIRS, side="right")), start + 1)
+        n = partners[start:stop]
+        i = np.repeat(np.arange(start, stop), n)
+        j = gather(np.arange(start, stop) + 1, n)
+        at = may_link(table, i, j, max_bits)
+        i, j = fps[i[at]], fps[j[at]]
+        near = np.bitwise_count(i ^ j) <= max_bits
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                group[x] = y
+                left.append(a)
+                right.append(b)
+        start = stop
     return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
 
 
 def links(distinct: DataFrame, max_bits: int = 4, n_pivots: int = 16, bucket_limit: int = 1024) -> DataFrame:
     """Distinct fingerprints ``fp`` -> links ``a``, ``b`` that connect every group linked at ``max_bits`` or fewer bits.
 
-    Candidates agree on the bits of some mask (their distances to references that differ only there are then equal, too).
-    A bucket over ``bucket_limit`` is cut by masks over its remaining bits, as often as needed; its rows
-    never meet in one task. Inside a bucket the pivot table discards pairs and the survivors are verified.
+    The pivot table (distances to ``n_pivots`` references) is computed once for each fingerprint and travels with it. Pairs
+    meet in buckets that agree on the bits of some mask; the table's largest coordinate difference discards
+    nearly all chance pairs of a bucket, and survivors are verified. A bucket over ``bucket_limit`` is cut by masks over its
+    remaining bits, as often as needed, so its rows never meet in one task.
     """
     if bucket_limit < 1 << (max_bits + 1):
         # A larger bucket has more free bits than runs to cut them into, so every cut makes it smaller.
         raise ValueError(f"bucket_limit must be at least {1 << (max_bits + 1)}")
-    refs = pivots(n_pivots)
-    masks = [_signed(m) for m in block_masks(choose_blocks(distinct.count(), max_bits), max_bits)]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    spark = distinct.sparkSession
+    marks = materialize(with_distances(distinct, n_pivots), "simhash-pivots")
+    masks = [_signed(m) for m in block_masks(choose_blocks(marks.count(), max_bits), max_bits)]
+    keyed = marks.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
     keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     found: DataFrame | None = None
     while True:
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"))
         big = materialize(sizes.filter(F.col("n") > bucket_limit), "simhash-big")
-        some_big = bool(big.take(1))
-        small = keyed.join(big, ["mask", "key"], "left_anti") if some_big else keyed
-        part = _bucket_links(small, refs, max_bits)
+        # One for each mask at most, whatever the number of buckets.
+        big_masks = [r["mask"] for r in big.select("mask").distinct().collect()]
+        small = keyed.join(big, ["mask", "key"], "left_anti") if big_masks else keyed
+        part = _bucket_links(small, n_pivots, max_bits)
         found = part if found is None else found.unionByName(part)
-        if not some_big:
+        if not big_masks:
             return found
-        # The differing bits of a pair lie outside the mask: cut what is left into max_bits + 1 runs, one of which is untouched.
-        cut = F.udf(_finer(max_bits), T.ArrayType(T.LongType()))
-        finer = big.select("mask").distinct().withColumn("more", cut("mask"))
-        keyed = keyed.join(big.select("mask", "key"), ["mask", "key"], "left_semi").join(finer, "mask").select("fp", F.explode("more").alias("mask"))
-        keyed = materialize(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "simhash-keys")
-
-
-def _finer(max_bits: int):
-    def masks(mask: int) -> list[int]:
-        free = [i for i in range(64) if not (mask >> i) & 1]
-        runs = [free[len(free) * i // (max_bits + 1) : len(free) * (i + 1) // (max_bits + 1)] for i in range(max_bits + 1)]
-        return [_signed((mask & (1 << 64) - 1) | sum(1 << i for i in run)) for run in runs]
+        finer = spark.createDataFrame([(m, finer_masks(m, max_bits)) for m in big_masks], "mask long, more array<long>")
+        keyed = keyed.join(big.select("mask", "key"), ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask").select("fp", "distances", F.explode("more").alias("mask"))
+        keyed = materialize(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).dropDuplicates(["mask", "fp"]), "simhash-keys")
 
-    return masks
 
-
-def _bucket_links(keyed: DataFrame, refs: np.ndarray, max_bits: int) -> DataFrame:
+def _bucket_links(keyed: DataFrame, n_pivots: int, max_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), dtype=np.int64)
-
-        def close(rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(rows))
-            out = [local_links(np.unique(rows[s:e, 2]).view(np.uint64), refs, max_bits) for s, e in zip(starts, ends, strict=True) if e - s > 1]
-            a = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.uint64)
-            b = np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.uint64)
+        held, held_table = np.zeros((0, 3), dtype=np.int64), np.zeros((0, n_pivots), dtype=np.int8)
+
+        def close(n: int) -> pa.RecordBatch:
+            rows = held[:n]
+            starts = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))) if n else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, n))
+            a, b = bucket_links(np.ascontiguousarray(rows[:, 2]).view(np.uint64), held_table[:n], np.repeat(starts + sizes, sizes), max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("mask", "key", "fp")]) if batch.num_rows else np.zeros((0, 3), np.int64)
-            held = np.concatenate([held, rows])
-            if len(held):
-                last = int(np.flatnonzero((held[:, :2] == held[-1, :2]).all(axis=1))[0])
-                if last:
-                    yield close(held[:last])
-                    held = held[last:]
-        yield close(held)
-
-    return keyed.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            held = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in ("mask", "key", "fp")])])
+            table = np.frombuffer(b"".join(batch.column("distances").to_pylist()), dtype=np.int8).reshape(-1, n_pivots)
+            held_table = np.concatenate([held_table, table])
+            # The last bucket may go on in the next batch.
+            last = int(np.flatnonzero((held[:, :2] == held[-1, :2]).all(axis=1))[0])
+            if last:
+                yield close(last)
+                held, held_table = held[last:], held_table[last:]
+        yield close(len(held))
+
+    return keyed.select("mask", "key", "fp", "distances").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, max_bits: int = 4, n_pivots: int = 16, bucket_limit: int = 1024) -> DataFrame:
