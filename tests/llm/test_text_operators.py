@@ -138,26 +138,40 @@ def test_keep_one_tells_rows_of_null_and_repeated_ids_apart(spark):
         assert len(found) == len(set(group.values())) and len({r.text for r in found}) == len(found)
 
 
-def test_exact_dedup(spark):
-    texts = ["a", "b", "a", None, "", "a ", "b", "é"]
-    index = exact_dedup.fresh_index(spark, buckets=4)
-    found = {r.doc_id: r for r in exact_dedup.exact_duplicates(documents(spark, texts), index).collect()}
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup(spark, batches):
+    texts = ["a", "b", "a", None, "", "a ", "b", "é", "x" * 200_000, "x" * 200_000]
+    index = exact_dedup.new_index(spark, 100)
+    found = {r.doc_id: r for r in exact_dedup.exact_duplicates(documents(spark, texts), index, batches=batches).collect()}
     for i, t in enumerate(texts):
         same = [k for k, u in enumerate(texts) if (u or "") == (t or "")]
         assert (found[i].keep_id, found[i].group_size, found[i].kept) == (max(same), len(same), i == max(same))
         assert found[i].text_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
-    later = {r.doc_id: r for r in exact_dedup.exact_duplicates(documents(spark, ["b", "new", "new"], [10, 11, 12]), index).collect()}
-    assert {i: r.kept for i, r in later.items()} == {10: False, 11: False, 12: True}
-    assert later[10].keep_id is None
+    # A later call, with the index opened anew: what it holds stays, whatever the new ids are.
+    index.close()
+    index = exact_dedup.DigestIndex(spark, index.path, index.buckets)
+    later = {r.doc_id: r for r in exact_dedup.exact_duplicates(documents(spark, ["b", "new", "new"], [10, 11, 12]), index, batches=batches).collect()}
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in later.items()} == {10: (6, 1, False), 11: (12, 2, False), 12: (12, 2, True)}
     assert index.read().count() == len({t or "" for t in texts}) + 1
+    assert index.compact(index.path + "-compact").read().exceptAll(index.read()).count() == 0
 
 
-def test_exact_dedup_plan_has_no_shuffle_of_the_index(spark):
-    index = exact_dedup.fresh_index(spark, buckets=4)
+def test_exact_dedup_null_and_repeated_ids(spark):
+    docs = documents(spark, ["a", "a", "b", "b", "c", "c", None], [None, 3, None, None, 5, 5, 4]).withColumn("digest", F.lit("clash")).withColumn("keep_id", F.lit(0))
+    found = sorted(((r.text_sha256, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, exact_dedup.new_index(spark, 10)).collect()), key=repr)
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("a", "b", "c", "")}
+    want = [(sha["a"], None, 3, 2, False), (sha["a"], 3, 3, 2, True), *[(sha["b"], None, None, 2, True)] * 2, *[(sha["c"], 5, 5, 2, True)] * 2, (sha[""], 4, 4, 1, True)]
+    assert found == sorted(want, key=repr)
+    assert exact_dedup.exact_duplicates(docs.limit(0), exact_dedup.new_index(spark, 0)).count() == 0
+
+
+def test_exact_dedup_meets_an_index_with_rows_and_does_not_shuffle_it(spark):
+    index = exact_dedup.new_index(spark, 10)
     exact_dedup.exact_duplicates(documents(spark, ["a", "b"]), index).count()
-    new = spark.createDataFrame([(bytearray(b"x"),)], "digest binary")
-    plan = new.hint("merge").join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    new = spark.createDataFrame([(bytearray(b"x"), 1)], "digest binary, keep_id long")
+    plan = index.lacking(new)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert index.read().count() == 2
 
 
 def levenshtein_within_one(a, b):

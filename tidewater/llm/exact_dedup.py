@@ -6,60 +6,96 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewater.llm.common import materialize, whole_text
-
-INDEX_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType())])
+from tidewater.llm.common import materialize, new_path, whole_text
 
 
 class DigestIndex:
-    """A table of the digests seen so far, bucketed and sorted by digest.
+    """Digests seen so far, in files at ``path`` that are bucketed and sorted by digest.
 
-    ``add`` takes a batch of new documents, finds the digests that the index lacks by a sort-merge
-    anti-join (the index side needs no shuffle) and appends them. Earlier batches win over later ones;
-    inside a batch the largest id stays.
+    ``add`` takes a batch of new digests, finds those that the index lacks by a sort-merge anti-join (the index side needs
+    no shuffle) and appends them. Earlier batches win over later ones. The index outlives the session: opening it again
+    at the same path, with the same number of buckets, goes on where it ended. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def _append(self, groups: DataFrame) -> None:
-        groups.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table)
+    def close(self) -> None:
+        """Forget the session's table; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def lacking(self, groups: DataFrame) -> DataFrame:
+        """The rows of ``groups`` whose digest the index lacks."""
+        return groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def add(self, digests: DataFrame) -> DataFrame:
-        """``doc_id``, ``digest`` of a batch -> ``digest``, ``keep_id``, ``group_size``, ``new`` per distinct digest; appends the new ones.
+    def add(self, groups: DataFrame) -> DataFrame:
+        """Distinct ``digest`` with ``keep_id`` of a batch; appends the new ones and returns them.
 
-        ``keep_id`` is null where the index had the digest already: no row of the batch stays.
+        Rows are dealt by digest into as many tasks as there are buckets, so a batch adds one sorted file to each bucket.
         """
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        if not self.spark.catalog.tableExists(self.table):
-            self._append(self.spark.createDataFrame([], INDEX_SCHEMA))
-        groups = materialize(groups, "digest-groups")
-        fresh = materialize(groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti"), "digest-new")
-        self._append(fresh.select("digest", "keep_id", "group_size"))
-        old = groups.join(fresh.select("digest"), "digest", "left_anti").select("digest", F.lit(None).cast("long").alias("keep_id"), "group_size", F.lit(False).alias("new"))
-        return materialize(fresh.select("digest", "keep_id", "group_size", F.lit(True).alias("new")).unionByName(old), "digest-batch")
+        fresh = materialize(self.lacking(groups).select("digest", "keep_id"), "digest-new")
+        fresh.repartition(self.buckets, "digest").write.insertInto(self.table)
+        self.spark.catalog.refreshTable(self.table)
+        return fresh
+
+    def compact(self, path: str) -> DigestIndex:
+        """The same index at a new path, with one file in each bucket."""
+        other = DigestIndex(self.spark, path, self.buckets)
+        self.read().repartition(self.buckets, "digest").write.insertInto(other.table)
+        self.spark.catalog.refreshTable(other.table)
+        return other
+
+
+def buckets_for(rows: int, rows_per_bucket: int = 4_000_000) -> int:
+    """Buckets for an index that is expected to hold ``rows`` digests: a power of two, 8 at least."""
+    return max(8, 1 << max(rows // rows_per_bucket, 1).bit_length())
+
+
+def id_batches(digests: DataFrame, batches: int) -> list[DataFrame]:
+    """``digests`` in ``batches`` ranges of ``doc_id``, largest ids first; rows without an id come in the last one."""
+    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None or batches < 2:
+        return [digests]
+    edges = [high - (high - low) * i // batches for i in range(1, batches)]
+    within = lambda below, above: (F.lit(True) if below is None else F.col("doc_id") <= below) & (F.lit(True) if above is None else F.col("doc_id") > above)
+    bounds = [None, *edges]
+    parts = [digests.filter(within(bounds[i], bounds[i + 1])) for i in range(len(bounds) - 1)]
+    return [*parts, digests.filter(F.col("doc_id").isNull() | within(bounds[-1], None))]
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    Texts are equal when identical; null counts as empty. The row with the largest id of a group stays, unless
-    the index held its text before (then ``keep_id`` is null and no row stays). A null id stays only where all ids of the
-    group are null, and then every such row does. Rows that repeat an id and its text are all kept or all dropped.
-    Only the digest of a text is shuffled; other columns are not read.
+    The rows enter the index in ``batches`` ranges of their ids, largest first, so that the largest id of equal texts is the
+    one that the index keeps. Texts are equal when identical; null counts as empty. ``keep_id`` is the id of the
+    row that stays; if the index held the text before this call, it is that earlier row's and no row of ``docs`` stays.
+    ``group_size`` counts the rows of ``docs``. A null id stays only where all ids of the group are null, and then every such row
+    does. Rows that repeat an id and its text are all kept or all dropped. Only digests are shuffled; other columns are not read.
     """
-    digests = materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest")), "digests")
-    batch = index.add(digests)
+    digests = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest")), "digests")
+    groups = added = None
+    for batch in id_batches(digests, batches):
+        counts = materialize(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "digest-groups")
+        fresh = index.add(counts)
+        groups = counts if groups is None else groups.unionByName(counts)
+        added = fresh if added is None else added.unionByName(fresh)
+    sizes = groups.groupBy("digest").agg(F.sum("n").alias("group_size"))
+    own = added.select("digest", F.lit(True).alias("new"))
+    # The index has every digest of the call now; its side of the join needs no shuffle.
+    kept_ids = sizes.hint("merge").join(index.read().hint("merge"), "digest").join(own, "digest", "left")
+    settled = materialize(kept_ids.select("digest", "keep_id", "group_size", F.coalesce("new", F.lit(False)).alias("new")), "digest-settled")
     # A hot digest is split by the adaptive skew join: both sides are read from files and shuffled here.
-    found = digests.join(batch, "digest")
+    found = digests.join(settled, "digest")
     kept = F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
+def new_index(spark: SparkSession, expected_rows: int) -> DigestIndex:
+    """An empty index in the shared folder."""
+    return DigestIndex(spark, new_path(spark, "digest-index"), buckets_for(expected_rows))

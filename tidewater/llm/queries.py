@@ -51,7 +51,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    docs = _table(spark, sf_dir, "documents")
+    index = exact_dedup.new_index(spark, docs.count())
+    found = exact_dedup.exact_duplicates(docs, index)
+    index.close()
+    return found
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
