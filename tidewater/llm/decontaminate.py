@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewater.llm.common import mix64, slices
+from tidewater.llm.common import materialize, mix64, slices
 
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -111,118 +109,114 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
     return found
 
 
-@dataclass(frozen=True)
-class Block:
-    """A part of the benchmark that is sent to all tasks."""
-
-    items: list[tuple[int, np.ndarray]]
-    seeds: dict[int, list[int]]
-    hashes: np.ndarray
-
-
-def benchmark_blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_bytes`` of text, read one after the other. Items without a word match nothing."""
-    known: dict[bytes, int] = {}
-
-    def block(items: list[tuple[int, np.ndarray]]) -> Block:
-        seeds: dict[int, list[int]] = defaultdict(list)
-        for k, (_, tokens) in enumerate(items):
-            for h in set(window_hashes(tokens, min(least, len(tokens))).tolist()):
-                seeds[h].append(k)
-        return Block(items, dict(seeds), np.sort(np.fromiter(seeds, dtype=np.uint64, count=len(seeds))))
-
-    items, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        tokens = codes(words_of(row["text"].encode("utf-8", "surrogatepass")), known)
-        if len(tokens):
-            items.append((row["item_id"], tokens))
-            size += len(row["text"])
-            if size >= block_bytes:
-                yield block(items)
-                items, size = [], 0
-    if items:
-        yield block(items)
-
-
-def _short_seed_sizes(block: Block, least: int) -> list[int]:
-    return sorted({min(least, len(t)) for _, t in block.items})
-
-
-def document_matches(tokens: np.ndarray, block: Block, sizes: list[int], least: int, threshold: float) -> list[tuple[int, float, int]]:
-    """``(item, coverage, number of tiles)`` of the items that a document covers to ``threshold``."""
-    hits: dict[int, int] = defaultdict(int)
-    for size in sizes:
-        hashes = np.unique(window_hashes(tokens, size))
-        for h in hashes[np.isin(hashes, block.hashes, assume_unique=True)].tolist():
-            for k in block.seeds.get(h, ()):
-                hits[k] += 1
-    out = []
-    for k, n in sorted(hits.items()):
-        item_id, item = block.items[k]
-        size = min(least, len(item))
-        # n distinct shared seeds cover n x size tokens at most, unless the item repeats itself.
-        distinct = len(np.unique(window_hashes(item, size)))
-        repeats = len(item) - size + 1 - distinct
-        if (n + repeats) * size < threshold * len(item):
-            continue
-        runs = tiles(tokens, item, size)
-        coverage = sum(r[2] for r in runs) / len(item)
-        if coverage >= threshold:
-            out.append((item_id, coverage, len(runs)))
-    return out
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, coverage, n_tiles``: a row for each document and benchmark item that it gives away.
+def seed_table(seeds: DataFrame, log2_bits: int) -> np.ndarray:
+    """A bit for each hash in column ``seed``, in a table of fixed size; gathered in pages of words by Spark."""
+    bit = F.col("seed").bitwiseAND(F.lit((1 << log2_bits) - 1))
+    words = seeds.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
+    pages = words.groupBy(F.shiftright("word", 12).alias("page")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    table = np.zeros(1 << (log2_bits - 6), dtype=np.int64)
+    for row in pages.toLocalIterator():
+        table[[w["word"] for w in row["words"]]] = [w["bits"] for w in row["words"]]
+    return table.view(np.uint64)
 
-    A document gives an item away if tiles of ``least`` or more common words (fewer for shorter items: the whole item) cover ``threshold``
-    of the item's words, in whatever order. The benchmark is joined block by block on shared seeds of ``least`` words, so each block is
-    bounded and documents are never shuffled. Null and empty texts, and items without a word, match nothing; repeated rows and
-    repeated items give a row each.
-    """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType())])
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in benchmark_blocks(benchmark, least, block_bytes):
-        out = out.unionByName(source.mapInArrow(_matcher(docs, block, least, threshold), schema))
-    return out
 
+def item_seeds(benchmark: DataFrame, least: int) -> DataFrame:
+    """``item, size, repeats, seeds``: each distinct text of the benchmark with ``least`` or more words, and its distinct seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for part in slices(batch, "item"):
+                tokens = [codes(words_of(t), known) for t in part.column("item").cast(pa.binary()).to_pylist()]
+                windows = [window_hashes(t, least) for t in tokens]
+                seeds = [np.unique(w) for w in windows]
+                repeats = [len(w) - len(u) for w, u in zip(windows, seeds, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item"), pa.array([len(t) for t in tokens], pa.int32()), pa.array(repeats, pa.int32()), pa.array([u.view(np.int64) for u in seeds], pa.list_(pa.int64()))], ["item", "size", "repeats", "seeds"]
+                )
+
+    texts = benchmark.select(F.col("text").cast("string").alias("item")).filter("item is not null").distinct()
+    return texts.mapInArrow(run, "item string, size int, repeats int, seeds array<long>").filter(F.col("size") >= least)
 
-def _matcher(docs: DataFrame, block: Block, least: int, threshold: float):
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+def seeded_texts(texts: DataFrame, table: np.ndarray, least: int) -> DataFrame:
+    """``key, text, hits``: the rows of ``texts`` with any seed whose bit is set, and those seeds."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = shared.value, {}
-        sizes = _short_seed_sizes(block, least)
+        bits, known = shared.value, {}
+        mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows, owner = [], []
-                for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
-                    found = document_matches(codes(words_of(text), known), block, sizes, least, threshold) if text else []
-                    rows += found
-                    owner += [i] * len(found)
-                item, coverage, n = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(item, pa.int64()), pa.array(coverage, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "coverage", "n_tiles"])
-
-    return run
+                hits = []
+                for text in part.column("text").cast(pa.binary()).to_pylist():
+                    hashes = window_hashes(codes(words_of(text), known), least) if text else np.zeros(0, np.uint64)
+                    at = hashes & mask
+                    found = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+                    hits.append(np.unique(hashes[found != 0]).view(np.int64))
+                some = pa.array([len(h) > 0 for h in hits], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("text"), pa.array(hits, pa.list_(pa.int64()))], ["key", "text", "hits"]).filter(some)
 
+    return texts.select("key", "text").mapInArrow(run, "key string, text string, hits array<long>")
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` that give no benchmark item away, all columns kept."""
-    for block in benchmark_blocks(benchmark, least, block_bytes):
-        docs = docs.mapInArrow(_cleaner(docs, block, least, threshold), docs.schema)
-    return docs
 
+def covered(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float, log2_bits: int) -> DataFrame:
+    """``key, item, coverage, n_tiles`` for the distinct texts of ``key, text`` that cover an item to ``threshold``.
 
-def _cleaner(docs: DataFrame, block: Block, least: int, threshold: float):
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    Seeds of both sides are joined in Spark. The bit table only keeps seeds that no item has out of the shuffle; the join drops
+    what it lets through. A pair has to share enough seeds for its coverage before it is tiled.
+    """
+    items = materialize(item_seeds(benchmark, least).withColumn("item_key", F.sha2("item", 256)), "benchmark-seeds")
+    table = seed_table(items.select(F.explode("seeds").alias("seed")), log2_bits)
+    found = materialize(seeded_texts(texts, table, least).dropDuplicates(["key"]), "seeded-texts")
+    by_item = items.select("item_key", "size", "repeats", F.explode("seeds").alias("seed"))
+    pairs = found.select("key", F.explode("hits").alias("seed")).join(by_item, "seed").groupBy("key", "item_key").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("repeats").alias("repeats"))
+    # ``shared`` distinct seeds cover shared x least words at most, unless the item repeats itself.
+    pairs = materialize(pairs.filter((F.col("shared") + F.col("repeats")) * least >= threshold * F.col("size")).select("key", "item_key"), "seed-pairs")
+    both = pairs.join(items.select("item_key", "item"), "item_key").join(found.select("key", "text"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = shared.value, {}
-        sizes = _short_seed_sizes(block, least)
+        known: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                clean = [not (text and document_matches(codes(words_of(text), known), block, sizes, least, threshold)) for text in part.column("text").cast(pa.binary()).to_pylist()]
-                yield part.filter(pa.array(clean, pa.bool_()))
+                at, coverage, n = [], [], []
+                texts, items = (part.column(c).cast(pa.binary()).to_pylist() for c in ("text", "item"))
+                for i, (text, item) in enumerate(zip(texts, items, strict=True)):
+                    item = codes(words_of(item), known)
+                    runs = tiles(codes(words_of(text), known), item, least)
+                    share = sum(r[2] for r in runs) / len(item)
+                    if share >= threshold:
+                        at.append(i)
+                        coverage.append(share)
+                        n.append(len(runs))
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("key").take(rows), part.column("item").take(rows), pa.array(coverage, pa.float64()), pa.array(n, pa.int32())], ["key", "item", "coverage", "n_tiles"])
+
+    return both.select("key", "item", "text").mapInArrow(run, "key string, item string, coverage double, n_tiles int")
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Texts that are equal have one key, so that copies are seeded and tiled once."""
+    return docs.select(F.sha2(F.col(text_col).cast("string"), 256).alias("key"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
 
-    return run
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, log2_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, coverage, n_tiles``: a row for each document and benchmark item that it gives away.
+
+    A document gives an item away if tiles of ``least`` or more common words cover ``threshold`` of the item's words, in whatever
+    order. Candidates share seeds of ``least`` words; only seeds, and the texts of documents with any, are shuffled. Null and empty
+    texts match nothing, and neither do items of fewer than ``least`` words: such short runs occur in clean documents, too.
+    Repeated rows and repeated items give a row each. Other columns are not read.
+    """
+    found = materialize(covered(_keyed(docs, text_col), benchmark, least, threshold, log2_bits), "covered-items")
+    named = found.join(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")), "item").select("key", "item_id", "coverage", "n_tiles")
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col).cast("string"), 256).alias("key"))
+    return ids.join(named, "key").select("doc_id", "item_id", "coverage", "n_tiles")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, log2_bits: int = 26) -> DataFrame:
+    """The rows of ``docs`` that give no benchmark item away, by the rule of ``matches``; all columns kept."""
+    found = materialize(covered(_keyed(docs, "text"), benchmark, least, threshold, log2_bits).select("key").distinct(), "contaminated")
+    # The planner broadcasts the keys where their files are small, and sorts both sides where they are not.
+    own = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+    return docs.join(found.withColumnRenamed("key", "__contaminated"), own == F.col("__contaminated"), "left_anti")
