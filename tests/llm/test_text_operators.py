@@ -211,13 +211,13 @@ def edited(rng, line):
     return rng.choice([line[:i] + line[i + 1 :], line[:i] + "Z" + line[i:], line[:i] + "Q" + line[i + 1 :], line[:i] + "QQ" + line[i:]])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "least"), [(1, 0), (2, 12)])
+def test_line_dedup_matches_brute_force(spark, seed, least):
     rng = random.Random(seed)
     base = [words(rng, rng.randint(1, 7)) for _ in range(25)] + ["", "  ", "ab", "ac", "ñandú " * 5, "aaaaaaaaaaaaaaaaaaaaaaa"]
     texts = ODD + ["\n".join(rng.choice([x, x, " " + x + "\t", edited(rng, x) if x else x]) for x in rng.choices(base, k=rng.randint(1, 8))) for _ in range(60)]
-    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts), least_chars=12, log2_bits=16).collect()}
-    assert found == brute_lines(texts, 12)
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts), least_chars=least, log2_bits=16).collect()}
+    assert found == brute_lines(texts, least)
 
 
 def test_line_dedup_keeps_columns_and_repeated_rows(spark):
@@ -228,6 +228,14 @@ def test_line_dedup_keeps_columns_and_repeated_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_null_ids(spark):
+    """Rows without an id come first, in the order of a hash of their texts; one of two such rows keeps the line."""
+    docs = documents(spark, ["one line of text", "one line of text!\nown", "one line of text", None, ""], [None, None, 1, None, 2])
+    found = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()), key=repr)
+    assert len(found) == 5 and (1, "") in found and (2, "") in found and (None, None) in found
+    assert sum("one line" in (t or "") for _, t in found) == 1 and sum("own" in (t or "") for _, t in found) == 1
+
+
 def brute_tiles(text, item, least):
     marked_t, marked_i, found = set(), set(), []
     while True:

@@ -178,7 +178,7 @@ def _near_lines(lines: DataFrame) -> DataFrame:
     return checked.select("h1", "h2").distinct()
 
 
-def kept_places(docs: DataFrame, least_chars: int = 20, log2_bits: int = 26) -> DataFrame:
+def kept_places(docs: DataFrame, least_chars: int = 0, log2_bits: int = 26) -> DataFrame:
     """``doc_id``, ``version`` (a hash of the text) and the sorted ``places`` of the lines that stay, for documents with any."""
     source = docs.select("doc_id", whole_text().alias("text")).withColumn("version", F.xxhash64("text"))
     bits = _shared_bits(source, least_chars, log2_bits)
@@ -188,13 +188,13 @@ def kept_places(docs: DataFrame, least_chars: int = 20, log2_bits: int = 26) ->
     return kept.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 20, log2_bits: int = 26) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 0, log2_bits: int = 26) -> DataFrame:
     """``docs`` with the lines removed from ``text`` that occur before, exactly or up to one edit; one row per row.
 
     Lines are what ``\\n`` separates, compared without white space at their ends. The order is that of ``doc_id`` (null first), of a
     hash of the text among rows that share an id, and of the lines in a text. A line goes if an earlier line, kept or not, is
-    equal, or if both have ``least_chars`` characters and differ by at most one inserted, deleted or replaced character. Blank lines
-    stay. Rows with the same id and text count as one and come out alike. A null text stays null, and a text may become
+    equal, or if they differ by at most one inserted, deleted or replaced character (and both have ``least_chars`` characters, where a
+    caller wants short lines such as "Step 1" and "Step 2" apart; by default all lines are compared). Blank lines stay. Rows with the same id and text count as one and come out alike. A null text stays null, and a text may become
     empty; all columns are kept. The table of shared half keys (2**log2_bits bits) only saves work: what it wrongly lets through is verified.
     """
     kept = kept_places(docs, least_chars, log2_bits).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("places").alias("_places"))
