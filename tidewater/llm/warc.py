@@ -7,6 +7,7 @@ the file's first record states. Both formats are read and written one gzip membe
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -134,8 +135,13 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "2024
     return materialize(rows.mapInArrow(run, "file string, n long"), "arc-manifest")
 
 
+def _tasks(manifest: DataFrame) -> int:
+    """A task for each file, up to a bound."""
+    return max(1, min(manifest.count(), 10_000))
+
+
 def _spread(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition(max(1, min(manifest.count(), 10_000)), "file")
+    return manifest.repartition(_tasks(manifest), "file")
 
 
 RECORDS = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("at", T.LongType()), ("page_id", T.LongType()), ("url", T.StringType()), ("date", T.StringType()), ("payload_bytes", T.LongType()), ("digest", T.BinaryType()))])
@@ -196,7 +202,7 @@ def convert_record(r: ArcRecord, file: str, at: int, original: dict | None) -> b
     fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest)]
     if original is None:
         return warc_record([("WARC-Type", "response"), *fields, ("WARC-Block-Digest", "sha256:" + hashlib.sha256(r.body).hexdigest())], r.body)
-    refers = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(original["file"], original["at"])), ("WARC-Refers-To-Target-URI", original["url"]), ("WARC-Refers-To-Date", warc_date(original["date"])), ("WARC-X-Refers-To-Page", str(original["page_id"])), ("WARC-X-Payload-Length", str(len(payload))), ("WARC-Truncated", "length")]
+    refers = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(original["file"], original["at"])), ("WARC-Refers-To-Target-URI", original["url"]), ("WARC-Refers-To-Date", warc_date(original["date"])), ("WARC-X-Refers-To-Page", str(original["page_id"])), ("WARC-X-Payload-Length", str(len(payload)))]
     return warc_record([("WARC-Type", "revisit"), *fields, *refers, ("WARC-Block-Digest", "sha256:" + hashlib.sha256(header).hexdigest())], header)
 
 
@@ -216,52 +222,29 @@ def convert(manifest: DataFrame, arc_folder: str, warc_folder: str, least_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come file by file, and by place inside a file; place -1 opens the file.
-        arc = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["at"] < 0:
-                    if arc:
-                        yield arc.close()
-                    arc = _Conversion(arc_folder, warc_folder, row["file"])
-                else:
-                    arc.upto(row["at"], row["first"])
-        if arc:
-            yield arc.close()
-
-    return materialize(todo.repartition("file").sortWithinPartitions("file", "at").mapInArrow(run, "file string, n long"), "warc-manifest")
-
-
-class _Conversion:
-    """One ARC file under conversion: records are copied up to the next revisit."""
-
-    def __init__(self, arc_folder: str, warc_folder: str, file: str):
-        self.file = file
-        self._source, self._sink = old_file(arc_folder, file), new_file(warc_folder, ".warc.gz")
-        self.records = read_arc(self._source.__enter__())
-        self.out, self.name = self._sink.__enter__()
-        self.n = 0
-
-    def _write(self, at: int, r: ArcRecord, original: dict | None) -> None:
-        if r.url.startswith("filedesc://"):
-            about = f"software: tidewater\r\nformat: WARC File Format 1.1\r\nconverted-from: {self.file}\r\n".encode()
-            data = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(self.file, at)), ("WARC-Date", warc_date(r.date)), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], about)
-        else:
-            data = convert_record(r, self.file, at, original)
-        self.out.write(gzip_member(data))
-        self.n += 1
-
-    def upto(self, place: int, original: dict) -> None:
-        for at, r in self.records:
-            self._write(at, r, original if at == place else None)
-            if at == place:
-                return
-
-    def close(self) -> pa.RecordBatch:
-        for at, r in self.records:
-            self._write(at, r, None)
-        self._source.__exit__(None, None, None)
-        self._sink.__exit__(None, None, None)
-        return pa.RecordBatch.from_pydict({"file": [self.name], "n": [self.n]})
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for file, group in itertools.groupby(rows, key=lambda row: row["file"]):
+            with old_file(arc_folder, file) as source, new_file(warc_folder, ".warc.gz") as (out, name):
+                n = 0
+                todo = ((row["at"], row["first"]) for row in group if row["at"] >= 0)
+                place, original = next(todo, (-1, None))
+                for at, r in read_arc(source):
+                    repeats = at == place
+                    out.write(gzip_member(_converted(r, file, at, name, original if repeats else None)))
+                    if repeats:
+                        place, original = next(todo, (-1, None))
+                    n += 1
+            yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]})
+
+    spread = todo.repartition(_tasks(manifest), "file").sortWithinPartitions("file", "at")
+    return materialize(spread.mapInArrow(run, "file string, n long"), "warc-manifest")
+
+
+def _converted(r: ArcRecord, file: str, at: int, name: str, original: dict | None) -> bytes:
+    if not r.url.startswith("filedesc://"):
+        return convert_record(r, file, at, original)
+    about = f"software: tidewater\r\nformat: WARC File Format 1.1\r\nconverted-from: {file}\r\n".encode()
+    return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(file, at)), ("WARC-Date", warc_date(r.date)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], about)
 
 
 def parse_warc_record(data: bytes) -> tuple[dict[str, str], bytes]:
