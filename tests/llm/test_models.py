@@ -37,6 +37,48 @@ def test_quality_odd_texts(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_quality_ties_extra_columns_and_long_documents(spark):
+    """A text at the threshold is good; long documents are learned from, too; columns of other names and types change nothing."""
+    bad, good = "!!! ### ***\n" * 900, "A plain line of words that says a thing.\n" * 900
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    assert np.abs(model.weights).sum() > 1
+    rows = quality.judge(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)
+    clash = docs.withColumns({"score": F.lit("x"), "quality": F.lit(5), "features": F.lit(1), "turn": F.lit(2)})
+    assert sorted(quality.judge(clash, labels).collect()) == sorted(rows)
+    at = rows[0].score
+    assert quality.keep_good(docs.filter(F.col("doc_id") == rows[0].doc_id), model, at).count() == 1
+    assert quality.keep_good(clash, model).columns == clash.columns
+
+
+def test_document_scores_are_length_weighted_marginals():
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)))
+    features, length, lines = quality.line_features(*byte_view(pa.array(["one\ntwo words\n\nTHREE!", "", "x" * 50])))
+    got, at = quality.document_scores(model, features, length, lines), 0
+    for k, n in enumerate(lines):
+        scores = features[at : at + n] @ model.weights
+        total, by_line = 0.0, np.zeros(n)
+        for path in itertools.product((0, 1), repeat=int(n)):
+            w = math.exp(sum(scores[i, s] for i, s in enumerate(path)) + sum(model.transitions[a, b] for a, b in itertools.pairwise(path)))
+            total += w
+            by_line += w * np.array(path)
+        weight = length[at : at + n] + 1
+        assert math.isclose(got[k], float((by_line / total * weight).sum() / weight.sum()))
+        at += n
+
+
+def test_line_features_by_hand():
+    features, length, lines = quality.line_features(*byte_view(pa.array(["AB cd 12.\nx | |\n"])))
+    assert lines.tolist() == [2] and length.tolist() == [10, 6]
+    own = features[:, : quality._N_OWN]
+    assert np.allclose(own[0, 1:5], [0.5, 0.4, 0.2, 0.0]) and math.isclose(own[0, 0], math.log1p(10) / 8)
+    assert np.allclose(own[1, [4, 7, 9]], [2 / 6, 2 / 3, 1 / 3])  # three words
+    assert np.allclose(features[0, 2 * quality._N_OWN : 3 * quality._N_OWN], own[1]) and np.allclose(features[1, quality._N_OWN : 2 * quality._N_OWN], own[0])
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     lines = np.array([3, 1, 5, 2])

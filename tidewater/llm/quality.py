@@ -176,23 +176,23 @@ def document_scores(model: Model, features: np.ndarray, length: np.ndarray, line
 def learn(docs: DataFrame, labels: DataFrame, training: Training = Training(), held_out_remainder: int = 2, folds: int = 4) -> Model:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    The sample has about ``training.documents`` documents at most, spread by a hash of the text, and of a longer document only whole
-    ones with up to ``training.lines`` lines take part. Only line features of the sample reach the driver.
+    The sample has ``training.documents`` documents at most, spread by a hash of id and text; of a document with more than
+    ``training.lines`` lines, so many that stand in a row, from a place that the hash names, take part (with the features that they have in
+    the whole text). Only line features of the sample reach the driver.
     """
     known = labels.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != held_out_remainder).filter("quality in (0, 1)").select("doc_id", "quality").distinct()
-    total = known.count()
-    # Twice the share, as long documents fall out; the limit below is the bound.
-    share = min(1.0, 2 * training.documents / max(total, 1))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.join(chosen, "doc_id").select(F.xxhash64("doc_id", "text").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), "quality").filter(F.length(F.regexp_replace("text", "[^\n]", "")) < training.lines)
+    # Labels of the whole table are ranked by a hash; twice the bound, as some ids may have no document. So many rows may be broadcast.
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(2 * training.documents))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.xxhash64("doc_id", "text").alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets = byte_view(part.column("text"))
                 features, _, lines = line_features(raw, offsets)
-                ends = np.cumsum(lines)
-                flat = [features[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, lines, strict=True)]
+                some = np.minimum(lines, training.lines)
+                first = np.cumsum(lines) - lines + part.column("turn").to_numpy() % (lines - some + 1)
+                flat = [features[a : a + n].astype("<f4").tobytes() for a, n in zip(first, some, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("quality").cast(pa.int32()), pa.array(flat, pa.binary())], ["turn", "quality", "features"])
 
     found = rows.mapInArrow(run, "turn long, quality int, features binary").orderBy("turn").limit(training.documents).collect()
