@@ -138,6 +138,62 @@ def test_language_takes_five_grams_before_shorter_ones(spark):
     assert {r.doc_id: r.lang_pred for r in language.identify(docs, model=model).collect()}[1000] == "de"
 
 
+def brute_language(train, texts, longest=5, least=2, smoothing=0.5):
+    """Counts, back-off and scoring in plain Python, from the description alone."""
+    import regex
+
+    counts, langs = {}, sorted({lang for _, lang in train})
+    for text, lang in train:
+        for w in regex.findall(r"\p{L}+", (text or "").lower()):
+            items = [(0, w)] + [(k, s[i : i + k]) for k in range(1, longest + 1) for s in [w if k == 1 else f"^{w}$"] for i in range(len(s) - k + 1)]
+            for item in items:
+                counts.setdefault(item, dict.fromkeys(langs, 0))[lang] += 1
+    known = {i: c for i, c in counts.items() if sum(c.values()) >= least}
+    total = {(k, lang): sum(c[lang] for (kind, _), c in known.items() if kind == k) for k in range(longest + 1) for lang in langs}
+    size = {k: sum(kind == k for kind, _ in known) + 1 for k in range(longest + 1)}
+    log = lambda item: [math.log((known[item][lang] + smoothing) / (total[item[0], lang] + smoothing * size[item[0]])) for lang in langs]
+
+    def word(w):
+        if (0, w) in known:
+            return log((0, w))
+        for k in range(longest, 0, -1):
+            s = w if k == 1 else f"^{w}$"
+            seen = [log((k, s[i : i + k])) for i in range(len(s) - k + 1) if (k, s[i : i + k]) in known]
+            if seen:
+                return [sum(c) / len(seen) for c in zip(*seen, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        found = [word(w) for w in regex.findall(r"\p{L}+", (text or "").lower())]
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(c) / len(found) for c in zip(*found, strict=True)]
+        best = max(range(len(langs)), key=lambda i: (mean[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(m - mean[best]) for m in mean)))
+    return out
+
+
+def test_language_matches_brute_force(spark):
+    rng = random.Random(8)
+    pools = {"en": "the house red thing other than sailing", "de": "der große haus über nacht anders segel", "da": "det røde hus andet end sejl natten"}
+    train = [(" ".join(rng.choices(pools[lang].split(), k=rng.randint(1, 9))), lang) for _ in range(40) for lang in pools]
+    odd = [None, "", "12 ?!", "hous", "zzz", "Ærø ROTE thing", "the det der", "segeln " * 30_000, "qqq the", "x"]
+    texts = [t for t, _ in train] + odd
+    docs = spark.createDataFrame([(i, t, train[i][1] if i < len(train) else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    docs = docs.withColumns({"score": F.lit("clash"), "lang_pred": F.lit(1), "item": F.lit("x"), "n": F.lit(2)})
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model=language.learn(docs, held_out_remainder=-1)).collect()}
+    want = brute_language(train, texts)
+    assert [found[i][0] for i in range(len(texts))] == [w[0] for w in want]
+    assert np.allclose([found[i][1] for i in range(len(texts))], [w[1] for w in want])
+
+
+def test_language_ties_go_to_the_first(spark):
+    docs = spark.createDataFrame([(i, "same words", lang) for i, lang in enumerate(["no", "fo"] * 20)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(docs, model=language.learn(docs, held_out_remainder=-1)).collect()} == {"fo"}
+
+
 def test_language_sample_takes_up_to_two_thousand_documents(spark):
     """Each word stands in three documents, as few as the model asks for: all words are known if all documents are taken."""
     docs = spark.range(1800).selectExpr("id AS doc_id", "translate(string(id % 600), '0123456789', 'abcdefghij') AS text", "'en' AS lang")
@@ -193,6 +249,27 @@ def test_url_model_separates_its_labels(spark):
     assert p.filter((F.col("p") >= 0.5).cast("int") != F.col("label")).count() == 0
 
 
+def test_url_model_on_names_that_its_table_lacks(spark):
+    blocked = "casino-royal cheap-loans sex-cams bets-online free-pills spam-ads porn-tube win-slots poker-bets click-farm gambling-site hot-xxx".split()
+    allowed = "bookshop dentist zoo city-hall recipes orchestra physics poetry bicycle archive charity botany".split()
+    assert not {*blocked, *allowed} & {*url_filter.BLOCKED_NAMES, *url_filter.ALLOWED_NAMES}
+    rows = [(f"{p}{n}.{d}", path, int(n in blocked)) for n in blocked + allowed for p in ("", "www.", "shop.") for d in ("example.com", "example.net", "mysite.info") for path in ("/en/7", "/a/b.html")]
+    weights = url_filter.train(url_filter.labelled_urls(spark), url_filter.Training())
+    p = spark.createDataFrame(rows, "host string, path string, label int").withColumn("p", url_filter.score(F.col("host"), F.col("path"), weights, url_filter.Training()))
+    right = {r["label"]: r["share"] for r in p.groupBy("label").agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("label")).cast("int")).alias("share")).collect()}
+    assert right[0] >= 0.75 and right[1] >= 0.75
+
+
+def test_url_edge_cases(spark):
+    """Empty table, repeated rows, a very long URL, columns of the names that the operator makes."""
+    long = "http://host.example/" + "a/" * 50_000
+    pages = spark.createDataFrame([(1, long, 7, "x"), (1, long, 7, "x"), (2, None, 8, "y"), (None, "HTTP://A.ORG", 9, "z")], "page_id long, url string, host int, verdict string")
+    found = url_filter.judge(pages, url_filter.labelled_urls(spark)).collect()
+    assert len(found) == 4 and {r.verdict for r in found} <= {"allow", "block"}
+    assert {(r.host, r.path) for r in found} == {("host.example", long[19:]), ("", ""), ("a.org", "")}
+    assert url_filter.judge(pages.limit(0), url_filter.labelled_urls(spark)).count() == 0
+
+
 def test_url_plan_has_no_python(spark):
     plan = queries.op2_url_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
