@@ -21,12 +21,10 @@ _SPLIT = r"[^\p{L}]+"
 
 @dataclass(frozen=True)
 class Training:
-    """``documents`` bounds the sample of each language; ``words`` and ``grams`` bound the tables of the model."""
+    """``documents`` bounds the sample of each language, and so the model; what occurs ``least_count`` times in the sample is known."""
 
     documents: int = 2000
-    words: int = 50_000
-    grams: int = 50_000
-    least_count: int = 3
+    least_count: int = 2
     longest: int = 5
     smoothing: float = 0.5
 
@@ -127,7 +125,7 @@ def learn(docs: DataFrame, training: Training = Training(), held_out_remainder:
     counts = sample.mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).filter(F.col("total") >= training.least_count)
     items = materialize(items, "language-counts")
-    found = [items.filter(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(training.grams if kind else training.words).collect() for kind in range(longest + 1)]
+    found = [items.filter(F.col("kind") == kind).orderBy("item").collect() for kind in range(longest + 1)]
     languages = sorted(sizes)
 
     def table(rows) -> dict[str, tuple[float, ...]]:
