@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import packing, queries, token_output, warc
-from tidewater.llm.common import new_path
+from tidewater.llm.common import materialize, new_path
 from tidewater.llm.files import new_file, old_file
 from tidewater.llm.tokens import WordTokenizer
 
@@ -48,7 +49,10 @@ def test_sequence_file_gives_random_access(spark):
             n = min(16, 1000 - 16 * i)
             assert values[:n].tolist() == ids[16 * i : 16 * i + n].tolist() and mask.to_pylist() == [True] * n + [False] * (16 - n)
             assert not values.flags.owndata
-        assert r.ids(5, 900).tolist() == ids[5:905].tolist()
+        assert r.ids(5, 900).tolist() == ids[5:905].tolist() and r.ids(7, 0).tolist() == []
+        assert r.crc32(5, 900) == zlib.crc32(ids[5:905].astype("<u4").tobytes())
+        with pytest.raises(ValueError, match="masked"):
+            r.ids(990, 12)  # into the padding
         assert r.file.schema.field("input_ids").type == pa.list_(pa.uint16(), 16)
 
 
@@ -66,6 +70,25 @@ def test_token_output_round_trip(spark):
     assert token_output.encode_and_read(spark, docs.limit(0), path).count() == 0
 
 
+def test_token_output_deals_one_id_to_several_files(spark):
+    """All rows have no id, and a third of them one text: they still are dealt out, and each row comes back once."""
+    texts = ["same text"] * 300 + [f"text number {i}" for i in range(600)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").withColumn("part", F.lit(1)).withColumn("start", F.lit("clash"))
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    folder = new_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little text would be one task
+    try:
+        manifest = materialize(token_output.write_tokens(docs, folder, path), "manifest")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) > 1 and sum(sizes) == 900 and max(sizes) < 600
+    found = sorted(token_output.read_documents(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.start for r in found] == [0, *itertools.accumulate(r.n_tokens for r in found)][:-1]
+    want = [zlib.crc32(np.array([*library_ids(path, t), 1], dtype="<u4").tobytes()) for t in texts]
+    assert sorted(r.ids_crc32 for r in found) == sorted(want)
+
+
 def best_fit_decreasing(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):

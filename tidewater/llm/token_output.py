@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,34 +73,52 @@ class SequenceReader:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("input_ids").type.list_size
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
+        self._last: tuple[int, np.ndarray, pa.BooleanArray] | None = None
+
+    def _batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if self._last is None or self._last[0] != k:
+            batch = self.file.get_batch(k)
+            self._last = (k, batch.column(0).values.to_numpy(zero_copy_only=True), batch.column(1).values)
+        return self._last[1:]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i``, both views of the file."""
-        batch, at = self.file.get_batch(i // self.per_batch), i % self.per_batch * self.length
-        ids, mask = (batch.column(c).values.slice(at, self.length) for c in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask
+        ids, mask = self._batch(i // self.per_batch)
+        at = i % self.per_batch * self.length
+        return ids[at : at + self.length], mask.slice(at, self.length)
+
+    def views(self, first: int, n: int) -> Iterator[np.ndarray]:
+        """Ids [first, first + n) of the shard, as views of the sequences that they lie in; all of them must be unmasked."""
+        while n:
+            i, at = divmod(first, self.length)
+            ids, mask = self.sequence(i)
+            k = min(n, self.length - at)
+            if mask.slice(at, k).true_count != k:
+                raise ValueError(f"sequence {i} is masked inside a document")
+            yield ids[at : at + k]
+            first, n = first + k, n - k
 
     def ids(self, first: int, n: int) -> np.ndarray:
-        """Ids [first, first + n) of the shard."""
-        out = np.empty(n, dtype="<u4")
-        done = 0
-        size = self.per_batch * self.length
-        while done < n:
-            at = first + done
-            values = self.file.get_batch(at // size).column(0).values.to_numpy(zero_copy_only=True)
-            part = values[at % size : at % size + n - done]
-            out[done : done + len(part)] = part
-            done += len(part)
-        return out
+        """The same in one array."""
+        return np.concatenate([np.zeros(0, "<u4"), *self.views(first, n)]).astype("<u4")
+
+    def crc32(self, first: int, n: int) -> int:
+        """CRC of ids [first, first + n) as little-endian unsigned 32-bit integers, sequence by sequence."""
+        crc = 0
+        for part in self.views(first, n):
+            crc = zlib.crc32(part.astype("<u4"), crc)
+        return crc
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, length: int = 1024, per_batch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all whole texts in ascending ``doc_id`` order; returns the manifest: a row per shard, ``shard`` ascending.
 
     Documents are dealt out by ranges of ``doc_id``, and a task encodes and writes one range. Null and empty texts have the end id
-    alone; null ids come first; rows that repeat an id stand in the order of their texts.
+    alone; null ids come first; rows that repeat an id stand in the order of a hash of their texts, so that they may be dealt to several tasks.
     """
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    order = ["doc_id", "turn", "row"]
+    ranged = rows.withColumns({"turn": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
@@ -119,16 +138,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             writer.close()
             index.close()
         if n_docs:
-            yield pa.RecordBatch.from_pylist([{"file": name, "index_file": index_name, "first_doc": first_doc, "n_docs": n_docs, "n_tokens": writer.total}], schema=MANIFEST)
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": name, "index_file": index_name, "first_doc": first_doc, "n_docs": n_docs, "n_tokens": writer.total}], schema=MANIFEST)
 
-    shards = materialize(ranged.mapInArrow(run, "file string, index_file string, first_doc long, n_docs long, n_tokens long"), "token-shards")
+    shards = materialize(ranged.mapInArrow(run, "part int, file string, index_file string, first_doc long, n_docs long, n_tokens long"), "token-shards")
     # One row for each task of the writing job.
-    order = Window.orderBy(F.asc_nulls_first("first_doc"), "file")
+    order = Window.orderBy("part")
     before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return shards.select((F.row_number().over(order) - 1).alias("shard"), "*", F.coalesce(before, F.lit(0)).alias("start"))
 
 
-MANIFEST = pa.schema([("file", pa.string()), ("index_file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("index_file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
@@ -144,7 +163,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     for k in range(index.num_record_batches):
                         docs = index.get_batch(k)
                         first, n = docs.column("first").to_numpy(), docs.column("n_tokens").to_numpy()
-                        crc = [zlib.crc32(reader.ids(a, b).tobytes()) for a, b in zip(first.tolist(), n.tolist(), strict=True)]
+                        crc = [reader.crc32(a, b) for a, b in zip(first.tolist(), n.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(first + row["start"]), docs.column("n_tokens"), pa.array(crc, pa.int64()), pa.array(np.full(len(n), row["shard"], np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
