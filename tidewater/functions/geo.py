@@ -124,3 +124,54 @@ def ring_area_deg2(ring: Column) -> Column:
     n = F.size(ring)
     total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.get(ring, i)["lon"] * F.get(ring, F.pmod(i + 1, n))["lat"] - F.get(ring, F.pmod(i + 1, n))["lon"] * F.get(ring, i)["lat"])
     return F.abs(total) / 2
+
+
+def without_near_repeats(points: Column, eps: float = 1e-4) -> Column:
+    """Points of (lat, lon) in order, without those within ``eps`` degrees, in both directions, of one that stays."""
+    near = lambda a, b: (F.abs(a["lat"] - b["lat"]) < eps) & (F.abs(a["lon"] - b["lon"]) < eps)
+    return F.aggregate(points, F.slice(points, 1, 0), lambda kept, p: F.when(F.exists(kept, lambda k: near(k, p)), kept).otherwise(F.array_append(kept, p)))
+
+
+def rings_equal(a: Column, b: Column, eps: float = 1e-9) -> Column:
+    """Whether two open rings have the same vertices in the same order, each within ``eps`` degrees."""
+    far = lambda z: (F.abs(z["a"]["lat"] - z["b"]["lat"]) > eps) | (F.abs(z["a"]["lon"] - z["b"]["lon"]) > eps)
+    return (F.size(a) == F.size(b)) & ~F.exists(F.arrays_zip(a.alias("a"), b.alias("b")), far)
+
+
+def bbox_area_deg2(points: Column) -> Column:
+    b = bbox_of(points)
+    return (b["max_lat"] - b["min_lat"]) * (b["max_lon"] - b["min_lon"])
+
+
+def points_from_wkt(text: Column) -> Column:
+    """Points (lat, lon) of a POINT, MULTIPOINT, LINESTRING or of the rings of a POLYGON, in order."""
+    number = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+    pairs = F.regexp_extract_all(text, F.lit(rf"{number}\s+{number}"), F.lit(0))
+    part = lambda m, i: F.get(F.split(m, r"\s+"), F.lit(i)).cast("double")
+    return F.transform(pairs, lambda m: F.struct(part(m, 1).alias("lat"), part(m, 0).alias("lon")))
+
+
+def multipoint_geojson(points: Column) -> Column:
+    """``{"type":"MultiPoint","coordinates":[[lon,lat],...]}`` with six decimals at most."""
+    return F.to_json(F.struct(F.lit("MultiPoint").alias("type"), _positions(points).alias("coordinates")))
+
+
+def points_from_geojson(text: Column) -> Column:
+    """Points (lat, lon) of a GeoJSON MultiPoint or LineString; null for what is neither."""
+    parsed = F.from_json(text, "struct<type:string,coordinates:array<array<double>>>")
+    points = F.transform(parsed["coordinates"], lambda c: F.struct(F.get(c, F.lit(1)).alias("lat"), F.get(c, F.lit(0)).alias("lon")))
+    return F.when(parsed["type"].isin("MultiPoint", "LineString"), points)
+
+
+def _positions(points: Column) -> Column:
+    return F.transform(points, lambda p: F.array(F.round(p["lon"], 6), F.round(p["lat"], 6)))
+
+
+def feature_collection(areas: Column) -> Column:
+    """GeoJSON of an array of (name, points): a MultiPoint feature for each area with points; null where no area has any."""
+    feature = lambda a: F.struct(
+        F.lit("Feature").alias("type"), F.struct(a["name"].alias("name")).alias("properties"), F.struct(F.lit("MultiPoint").alias("type"), _positions(a["points"]).alias("coordinates")).alias("geometry")
+    )
+    features = F.transform(F.filter(areas, lambda a: F.size(a["points"]) > 0), feature)
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features")), {"ignoreNullFields": "false"})
+    return F.when(F.size(features) > 0, text)

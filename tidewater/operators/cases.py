@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,27 +77,20 @@ def fold_actions(actions: DataFrame) -> DataFrame:
     return folded.select("case_id", "read", "assignee", "urgency", status.alias("status"))
 
 
-def apply_in_order(commands: DataFrame) -> DataFrame:
-    """Outcome of every command of each case: ``applied``, ``refused`` or ``pending``.
+def apply_in_order(commands: DataFrame, per_drain: int = 32) -> DataFrame:
+    """Outcome of every command of each case (``applied``, ``refused``, ``pending``), and the ``drain`` that settles it.
 
-    A command applies if it has the next sequence and names the last applied command; a refusal takes its sequence but changes nothing,
-    and a gap or a wrong predecessor leaves it and all after it pending. A case's log is short; one case is one group.
+    A command applies if it has the next sequence and names the command before it; a refusal takes its sequence but changes nothing.
+    A gap, a repeated sequence or a wrong predecessor leaves it and all after it pending. A drain settles ``per_drain`` commands
+    of a case at most; the next one goes on where it ended.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sequence", "command_id"])
-        expected, last, outcomes, blocked = 1, None, [], False
-        for row in pdf.itertuples():
-            before = None if pd.isna(row.predecessor) else int(row.predecessor)
-            if blocked or row.sequence != expected or before != last:
-                blocked = True
-                outcomes.append("pending")
-                continue
-            outcomes.append("refused" if row.refuse else "applied")
-            expected, last = expected + 1, int(row.command_id)
-        return pdf.assign(outcome=outcomes)[["case_id", "sequence", "command_id", "outcome"]]
-
-    return commands.groupBy("case_id").applyInPandas(run, "case_id long, sequence long, command_id long, outcome string")
+    w = Window.partitionBy("case_id").orderBy("sequence", "command_id")
+    placed = commands.withColumns({"_place": F.row_number().over(w), "_before": F.lag("command_id").over(w)})
+    broken = (F.col("sequence") != F.col("_place")) | ~F.col("predecessor").eqNullSafe(F.col("_before"))
+    blocked = F.bool_or(broken).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    outcome = F.when(blocked, "pending").when(F.col("refuse"), "refused").otherwise("applied")
+    drain = F.when(~blocked, F.floor((F.col("_place") - 1) / per_drain) + 1)
+    return placed.select("case_id", "sequence", "command_id", outcome.alias("outcome"), drain.cast("long").alias("drain"))
 
 
 def published(cases: DataFrame, approvals: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -136,7 +136,9 @@ def anchors(reports: DataFrame, fixes: DataFrame, lookback_hours: int = 48, sani
     start = F.timestamp_millis(F.unix_millis("reported_at") - lookback_hours * 3_600_000)
     asked = reports.withColumn("window_from", start)
     near = asked.filter("vessel_id IS NOT NULL").select("innmelding_id", "vessel_id", "window_from", "reported_at")
-    inside = near.join(fixes, "vessel_id").filter(F.col("event_time").between(F.col("window_from"), F.col("reported_at")))
+    # Vessel and day are the key, so that a report meets the few days of its window and not the whole track of a busy vessel.
+    days = near.withColumn("day", F.explode(F.sequence(F.to_date("window_from"), F.to_date("reported_at"))))
+    inside = days.join(fixes.withColumn("day", F.to_date("event_time")), ["vessel_id", "day"]).filter(F.col("event_time").between(F.col("window_from"), F.col("reported_at")))
     one = inside.groupBy("innmelding_id", "event_time").agg(*[P.arg_max(c, "ingest_time", "source_id") for c in ("latitude", "longitude", "speed")], F.max("source_id").alias("source_id"))
     counted = one.groupBy("innmelding_id").agg(F.count("*").alias("fix_count"))
     runs = P.fishing_runs(one, "innmelding_id").join(asked.select("innmelding_id", "reported_latitude", "reported_longitude"), "innmelding_id")

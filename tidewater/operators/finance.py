@@ -69,6 +69,6 @@ def in_currency(resolved: DataFrame, companies: DataFrame, rates: DataFrame, met
     """``company_id, year, name, country, labels, value, gross_profit`` in the wanted currency."""
     own = rates.select("year", F.col("quote").alias("currency"), F.col("rate").alias("rate_from"))
     to = rates.filter(F.col("quote") == wanted).select("year", F.col("rate").alias("rate_to"))
-    joined = resolved.join(companies, "company_id").join(F.broadcast(own), ["year", "currency"], "left").join(F.broadcast(to), "year", "left")
+    joined = resolved.join(companies, "company_id").join(own, ["year", "currency"], "left").join(to, "year", "left")
     worth = lambda a: converted(F.col(a), F.col("currency"), wanted, F.col("rate_from"), F.col("rate_to"))
     return joined.select("company_id", "year", "name", "country", "labels", worth(f"a{metric}").alias("value"), worth("a4").alias("gross_profit"))

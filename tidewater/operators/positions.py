@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import geo
+from tidewater.params import MAX_WINDOWS, RequestError
 
 # Speed bands in knots by vessel type, ends included; grid and gap of the activity layer.
 SPEED_BANDS = {2: (0.3, 7.5), 3: (1.0, 5.0), 4: (1.0, 5.0), 5: (1.0, 5.0), 6: (0.3, 5.0), 8: (1.0, 5.0), 10: (1.0, 5.0), 28: (0.3, 7.5), 29: (0.3, 7.5)}
@@ -35,8 +36,8 @@ def is_fishing(speed: str = "speed") -> Column:
 
 
 def replace_by_key(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The row with the highest version of each key."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last())
+    """The row with the highest version of each key; of equal versions the one whose hash is highest, so that every run keeps the same row."""
+    newest = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.xxhash64(*sorted(rows.columns)).desc())
     return rows.withColumn("_turn", F.row_number().over(newest)).filter("_turn = 1").drop("_turn")
 
 
@@ -157,16 +158,31 @@ def tracks(fixes: DataFrame, step: int) -> DataFrame:
     return fixes.groupBy("vessel_id", bucket.alias("bucket")).agg(F.max("event_time").alias("t"), *[arg_max(c, *order) for c in ("latitude", "longitude", "speed", "heading", "course", "status")])
 
 
+def asked_for(fixes: DataFrame, windows: DataFrame) -> DataFrame:
+    """``fixes`` of the vessels and of the overall span of requested windows ``vessel_id, from_time, to_time``.
+
+    The request, limited to ``params.MAX_WINDOWS`` rows, is read first, so that vessels and times are literals that reach the
+    scan: files and row groups outside them are not read.
+    """
+    micros = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("from_time", "to_time")]
+    rows = windows.select("vessel_id", *micros).limit(MAX_WINDOWS + 1).collect()
+    if len(rows) > MAX_WINDOWS:
+        raise RequestError("too_many_windows", f"at most {MAX_WINDOWS} windows")
+    if not rows:
+        return fixes.filter(F.lit(False))
+    instant = lambda us: F.timestamp_micros(F.lit(us))
+    span = F.col("event_time").between(instant(min(r["from_time"] for r in rows)), instant(max(r["to_time"] for r in rows)))
+    return fixes.filter(F.col("vessel_id").isin(sorted({r["vessel_id"] for r in rows})) & span)
+
+
 def track_windows(fixes: DataFrame, windows: DataFrame, max_points: int) -> DataFrame:
     """Thinned track of each requested window ``idx, vessel_id, from_time, to_time`` (both ends included); a window may overlap others.
 
     Buckets start at the window's start and are one second longer than the share, so the cap is never reached. The request list is
-    small by contract and is broadcast; its vessels and overall span also cut the scan.
+    limited (``asked_for``) and therefore broadcast; its vessels and overall span also cut the scan.
     """
-    span = windows.agg(F.min("from_time").alias("a"), F.max("to_time").alias("b"))
     w = windows.withColumn("step", F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.unix_timestamp("to_time") - F.unix_timestamp("from_time")) / max_points) + 1))
-    cut = fixes.join(F.broadcast(span), (fixes.event_time >= span.a) & (fixes.event_time <= span.b)).drop("a", "b")
-    joined = cut.join(F.broadcast(w), "vessel_id").filter(F.col("event_time").between(F.col("from_time"), F.col("to_time")))
+    joined = asked_for(fixes, windows).join(F.broadcast(w), "vessel_id").filter(F.col("event_time").between(F.col("from_time"), F.col("to_time")))
     bucket = F.floor((F.unix_timestamp("event_time") - F.unix_timestamp("from_time")) / F.col("step"))
     order = ("event_time", "ingest_time", "source_id")
     points = joined.groupBy("idx", bucket.alias("bucket")).agg(F.max("event_time").alias("t"), *[arg_max(c, *order) for c in ("latitude", "longitude", "speed", "status")])
@@ -174,8 +190,11 @@ def track_windows(fixes: DataFrame, windows: DataFrame, max_points: int) -> Data
 
 
 def fix_windows(fixes: DataFrame, windows: DataFrame, per_vessel: int) -> DataFrame:
-    """Fixes of overlapping windows: one for each vessel and time (the last ingested), the newest ``per_vessel`` of a vessel, dealt to every window that holds them."""
-    joined = fixes.join(F.broadcast(windows), "vessel_id").filter(F.col("event_time").between(F.col("from_time"), F.col("to_time")))
+    """Fixes of overlapping windows: one for each vessel and time (the last ingested), the newest ``per_vessel`` of a vessel, dealt to every window that holds them.
+
+    The request list is limited and cuts the scan, as in ``track_windows``.
+    """
+    joined = asked_for(fixes, windows).join(F.broadcast(windows), "vessel_id").filter(F.col("event_time").between(F.col("from_time"), F.col("to_time")))
     seen = joined.groupBy("vessel_id", "event_time").agg(*[arg_max(c, "ingest_time", "source_id") for c in ("latitude", "longitude", "speed")])
     newest = seen.withColumn("turn", F.row_number().over(Window.partitionBy("vessel_id").orderBy(F.desc("event_time")))).filter(F.col("turn") <= per_vessel)
     return newest.join(F.broadcast(windows), "vessel_id").filter(F.col("event_time").between(F.col("from_time"), F.col("to_time"))).select("idx", "vessel_id", "event_time", "latitude", "longitude", "speed")

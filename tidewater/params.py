@@ -12,6 +12,10 @@ from datetime import UTC, datetime, timedelta
 MAX_DAYS, MAX_GLOBAL_DAYS, MAX_BOX_DEG2, MAX_HOVER_WINDOWS, MAX_RADIUS_KM = 92, 31, 2500.0, 6, 100.0
 PRESETS = {"6h": 6, "12h": 12, "24h": 24, "48h": 48, "7d": 168, "30d": 720, "90d": 2160}
 MAX_POLYGONS, MAX_VERTICES = 10, 1000
+MAX_WINDOWS = 500
+IMMUTABLE_AFTER = timedelta(hours=24)
+# Lowest, highest and default value of the clamped parameters.
+CLAMPED = {"grid": (0.02, 1.0, 0.1), "gap_minutes": (1.0, 120.0, 30.0), "max_points": (1.0, 50_000.0, 4_000.0), "limit": (1.0, 10_000.0, 1_000.0)}
 
 
 class RequestError(ValueError):
@@ -36,6 +40,16 @@ def clamp(value: float | None, low: float, high: float, default: float) -> float
     return default if value is None or not math.isfinite(value) else min(max(value, low), high)
 
 
+def clamped(name: str, value: float | None) -> float:
+    """A parameter inside its limits; what is missing or no finite number is the default."""
+    return clamp(value, *CLAMPED[name])
+
+
+def immutable(end: datetime, now: datetime) -> bool:
+    """Whether a window ended so long ago that its result no longer changes."""
+    return end < now - IMMUTABLE_AFTER
+
+
 def instant(text: str) -> datetime:
     """An ISO instant with a zone; anything else is an error."""
     try:

@@ -9,6 +9,7 @@ from tidewater.operators import cases as K
 from tidewater.operators import sinks as S
 from tidewater.plans.base import query
 from tidewater.sources import bridge as B
+from tidewater.streaming.assemble import assemble
 
 _C = "WITH " + B.CASES_SQL
 _R = _C + ",\n" + B.REVISIONS_SQL + ",\n" + B.VALIDATIONS_SQL
@@ -144,23 +145,26 @@ def wf_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.fold_actions(o.select(F.col("o_custkey").alias("case_id"), (key % 9973).alias("action_id"), key.alias("seq"), kind.alias("kind"), F.col("o_orderpriority").alias("value")))
 
 
-_CMD = """, cmd AS (SELECT case_id, revision_id AS command_id, row_number() OVER w AS sequence, CASE WHEN revision_id % 29 = 0 THEN 0 ELSE lag(revision_id) OVER w END AS predecessor, revision_id % 7 = 0 AS refuse FROM revision WINDOW w AS (PARTITION BY case_id ORDER BY recorded_at, revision_id))"""
+_CMD = """, cmd AS (SELECT case_id, revision_id AS command_id, row_number() OVER w + count(*) FILTER (revision_id % 61 = 0) OVER (PARTITION BY case_id ORDER BY recorded_at, revision_id ROWS UNBOUNDED PRECEDING) AS sequence,
+  CASE WHEN revision_id % 29 = 0 THEN 0 ELSE lag(revision_id) OVER w END AS predecessor, revision_id % 7 = 0 AS refuse FROM revision WINDOW w AS (PARTITION BY case_id ORDER BY recorded_at, revision_id))"""
 
 
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command logs of cases; some name a wrong predecessor, and some leave a sequence out."""
     w = Window.partitionBy("case_id").orderBy("recorded_at", "revision_id")
     key = F.col("revision_id")
-    return B.revisions(spark, sf_dir).select("case_id", key.alias("command_id"), F.row_number().over(w).cast("long").alias("sequence"), F.when(key % 29 == 0, 0).otherwise(F.lag(key).over(w)).alias("predecessor"), (key % 7 == 0).alias("refuse"))
+    left_out = F.count_if(key % 61 == 0).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return B.revisions(spark, sf_dir).select("case_id", key.alias("command_id"), (F.row_number().over(w) + left_out).cast("long").alias("sequence"), F.when(key % 29 == 0, 0).otherwise(F.lag(key).over(w)).alias("predecessor"), (key % 7 == 0).alias("refuse"))
 
 
-@query("win_09", _R + _CMD + " SELECT case_id, command_id, sequence FROM (SELECT *, lag(command_id) OVER (PARTITION BY case_id ORDER BY sequence) AS before FROM cmd) WHERE predecessor IS DISTINCT FROM before")
+@query("win_09", _R + _CMD + " SELECT case_id, command_id, sequence FROM (SELECT *, lag(command_id) OVER (PARTITION BY case_id ORDER BY sequence) AS before, row_number() OVER (PARTITION BY case_id ORDER BY sequence) AS place FROM cmd) WHERE predecessor IS DISTINCT FROM before OR sequence <> place")
 def win_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chain_breaks(_commands(spark, sf_dir)).select("case_id", "command_id", "sequence")
 
 
-@query("str_08", _R + _CMD + """, b AS (SELECT *, lag(command_id) OVER (PARTITION BY case_id ORDER BY sequence) AS before FROM cmd),
-c AS (SELECT *, bool_or(predecessor IS DISTINCT FROM before) OVER (PARTITION BY case_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS blocked FROM b)
-SELECT case_id, sequence, command_id, CASE WHEN blocked THEN 'pending' WHEN refuse THEN 'refused' ELSE 'applied' END AS outcome FROM c""")
+@query("str_08", _R + _CMD + """, b AS (SELECT *, lag(command_id) OVER w AS before, row_number() OVER w AS place FROM cmd WINDOW w AS (PARTITION BY case_id ORDER BY sequence, command_id)),
+c AS (SELECT *, bool_or(sequence <> place OR predecessor IS DISTINCT FROM before) OVER (PARTITION BY case_id ORDER BY sequence, command_id ROWS UNBOUNDED PRECEDING) AS blocked FROM b)
+SELECT case_id, sequence, command_id, CASE WHEN blocked THEN 'pending' WHEN refuse THEN 'refused' ELSE 'applied' END AS outcome, CASE WHEN NOT blocked THEN (place - 1) // 32 + 1 END AS drain FROM c""")
 def str_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.apply_in_order(_commands(spark, sf_dir))
 
@@ -285,13 +289,23 @@ def set_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(B.table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
-@query("str_06", "SELECT conv_id, count(*) AS parts, sha256(string_agg(text, '' ORDER BY turn)) AS hash FROM conversations GROUP BY conv_id HAVING count(DISTINCT turn) = max(turn) - min(turn) + 1")
-def str_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages put together from their parts, those that are complete."""
-    from tidewater.streaming.assemble import assemble
+_PARTS = """part AS (
+  SELECT conv_id AS signature, turn AS part, max(turn) OVER w - min(turn) OVER w + 1 AS total, text AS body, turn = max(turn) OVER w AND conv_id % 3 = 0 OR turn = min(turn) OVER w AND conv_id % 7 = 0 AS cut
+  FROM conversations WINDOW w AS (PARTITION BY conv_id))"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in parts with their stated total; of some the last part is missing, of some the first."""
+    w = Window.partitionBy("conv_id")
+    c = B.table(spark, sf_dir, "conversations").withColumns({"last": F.max("turn").over(w), "start": F.min("turn").over(w)})
+    cut = ((F.col("turn") == F.col("last")) & (F.col("conv_id") % 3 == 0)) | ((F.col("turn") == F.col("start")) & (F.col("conv_id") % 7 == 0))
+    return c.filter(~cut).select(F.col("conv_id").alias("signature"), F.col("turn").alias("part"), (F.col("last") - F.col("start") + 1).alias("total"), F.col("text").alias("body"))
 
-    c = B.table(spark, sf_dir, "conversations")
-    whole = assemble(c.select(F.col("conv_id").alias("signature"), F.col("turn").alias("part"), F.col("text").alias("body")))
+
+@query("str_06", "WITH " + _PARTS + " SELECT signature AS conv_id, count(*) AS parts, sha256(string_agg(body, '' ORDER BY part)) AS hash FROM (SELECT signature, part, max(total) AS total, min(body) AS body FROM part WHERE NOT cut GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = max(total)")
+def str_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages put together from their parts, those of which as many parts are there as they state."""
+    whole = assemble(_parts(spark, sf_dir))
     return whole.select(F.col("signature").alias("conv_id"), "parts", F.sha2("body", 256).alias("hash"))
 
 

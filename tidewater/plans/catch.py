@@ -125,8 +125,7 @@ def flt_17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPORTS = """report AS (
   SELECT e.innmelding_id, CASE WHEN e.innmelding_id % 9 <> 0 THEN e.vessel_id % 150 END AS vessel_id, TIMESTAMP '2024-01-02 00:00:00' + to_seconds((e.innmelding_id * 977) % 2400000) AS reported_at, l.latitude AS reported_latitude, l.longitude AS reported_longitude
-  FROM entry e LEFT JOIN (SELECT innmelding_id, arg_max(latitude, (line_index, latitude, longitude)) AS latitude, arg_max(longitude, (line_index, latitude, longitude)) AS longitude FROM line WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1) l USING (innmelding_id)
-  WHERE e.innmelding_id % 5 = 0)"""
+  FROM entry e LEFT JOIN (SELECT innmelding_id, arg_max(latitude, (line_index, latitude, longitude)) AS latitude, arg_max(longitude, (line_index, latitude, longitude)) AS longitude FROM line WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1) l USING (innmelding_id))"""
 
 
 @query("q_anchor", _JOURNAL + ",\n" + B.FIXES_SQL + ",\n" + _REPORTS + """,
@@ -145,23 +144,11 @@ def q_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catch reports to positions derived from their vessel's track."""
     key = F.col("innmelding_id")
     start = F.unix_timestamp(F.lit("2024-01-02 00:00:00").cast("timestamp"))
-    entries = B.catch_entries(spark, sf_dir).filter(key % 5 == 0).select(key, F.when(key % 9 != 0, F.col("vessel_id") % 150).alias("vessel_id"), F.timestamp_seconds(start + key * 977 % 2400000).alias("reported_at"))
+    entries = B.catch_entries(spark, sf_dir).select(key, F.when(key % 9 != 0, F.col("vessel_id") % 150).alias("vessel_id"), F.timestamp_seconds(start + key * 977 % 2400000).alias("reported_at"))
     reports = entries.join(C.last_position(B.catch_lines(spark, sf_dir)), "innmelding_id", "left")
     return C.anchors(reports, B.fixes(spark, sf_dir))
 
 
-@query("ent_01")
-def ent_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vessel resolution of (name, mark) pairs; look-behind and accent folding have no DuckDB form, so unit tests hold it."""
-    c = B.table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    reports = c.select(
-        F.when(key % 11 != 0, F.concat(F.lit(" VESSEL "), (key % 800).cast("string"))).alias("vessel_name"),
-        F.when(key % 4 != 1, F.concat(F.lit("r "), (key % 900).cast("string"))).when(key % 8 == 1, F.concat(F.lit("cs-"), key.cast("string"))).alias("registration_mark"),
-    )
-    return C.resolve_vessels(reports, B.directory(spark, sf_dir))
-
-
 @query("agg_29", "WITH " + B.DIRECTORY_SQL + " SELECT count(*) AS ambiguous FROM (SELECT lower(trim(name)) FROM directory GROUP BY 1 HAVING count(*) > 1)")
 def agg_29(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = B.directory(spark, sf_dir).groupBy(C.normal_text(F.col("name")).alias("name")).count()

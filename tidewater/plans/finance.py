@@ -57,11 +57,10 @@ def fin_02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fin_03", ",\n".join([*_RESOLVED, B.COMPANIES_SQL, B.RATES_SQL, _money(1, "EUR")]) + """
-SELECT company_id, name, count(*) AS n_years, string_agg(year || '=' || coalesce(round(value, 0)::BIGINT::VARCHAR, 'null'), ';' ORDER BY year) AS series FROM money WHERE company_id % 10 = 3 GROUP BY company_id, name""")
+SELECT company_id, name, count(*) AS n_years, string_agg(year || '=' || coalesce(round(value, 0)::BIGINT::VARCHAR, 'null'), ';' ORDER BY year) AS series FROM money GROUP BY company_id, name""")
 def fin_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of a metric by company, years ascending."""
-    wanted = F.col("company_id") % 10 == 3
-    money = N.in_currency(_resolved(spark, sf_dir).filter(wanted), B.companies(spark, sf_dir).filter(wanted), B.rates(spark), 1, "EUR")
+    money = N.in_currency(_resolved(spark, sf_dir), B.companies(spark, sf_dir), B.rates(spark), 1, "EUR")
     series = F.sort_array(F.collect_list(F.struct("year", F.coalesce(F.round("value", 0).cast("bigint").cast("string"), F.lit("null")).alias("value"))))
     text = F.array_join(F.transform("series", lambda p: F.concat(p["year"].cast("string"), F.lit("="), p["value"])), ";")
     return money.groupBy("company_id", "name").agg(F.count("*").alias("n_years"), series.alias("series")).withColumn("series", text)

@@ -13,14 +13,14 @@ from tidewater.sources import feeds
 BOX = (-5.0, 60.0, 3.0, 64.0)
 
 
-@query("src_10", """SELECT '#' || lpad((s_suppkey % 5000)::VARCHAR, 4, '0') AS route_key, CASE WHEN s_suppkey % 2 = 0 THEN '27.' || s_suppkey END AS fao_area, 60 + s_suppkey / 10e0 AS centre_latitude, 1 AS n_points FROM supplier WHERE s_suppkey % 7 <> 0""")
+@query("src_10", """SELECT '#' || lpad(s_suppkey::VARCHAR, 4, '0') AS route_key, CASE WHEN s_suppkey % 2 = 0 THEN '27.' || s_suppkey END AS fao_area, 60 + s_suppkey / 10e0 AS centre_latitude, 1 AS n_points FROM supplier WHERE s_suppkey < 10000 AND (s_suppkey % 7 <> 0 OR s_suppkey % 3 = 0)""")
 def src_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed JSON register of areas; one entry in seven has no readable key."""
+    """A keyed JSON register of areas; one entry in seven has no readable key, and of those one in three is known by its route alone."""
     key = F.col("s_suppkey")
     fao = F.when(key % 2 == 0, F.format_string('"27.%d"', key)).otherwise("null")
     entry = F.format_string('{"%s":{"Rute":%s,"FAOArea":%s,"Center":{"Latitude":%s,"Longitude":1.0},"Coordinates":[{"Latitude":60.0,"Longitude":1.0},{"Latitude":null,"Longitude":2.0}]}}',
         F.when(key % 7 == 0, "x").otherwise(key.cast("string")), F.when(key % 3 == 0, F.format_string('" %d "', key)).otherwise("null"), fao, (60 + key / F.lit(10.0)).cast("string"))
-    areas = feeds.route_areas(B.table(spark, sf_dir, "supplier").filter("s_suppkey % 21 <> 0").select(entry.alias("payload")))
+    areas = feeds.route_areas(B.table(spark, sf_dir, "supplier").select(entry.alias("payload")))
     return areas.select("route_key", "fao_area", "centre_latitude", F.size("coordinates").alias("n_points"))
 
 
@@ -45,13 +45,13 @@ def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nets.select("page", "vessel", "call_sign", "idx", F.round("from_lat", 6).alias("from_lat"), F.round("from_lon", 6).alias("from_lon"))
 
 
-@query("txt_05", """SELECT o_orderkey AS id, 'Area ' || n AS name, n::INTEGER AS paragraph, 2 AS n_points, round(50 + n + 0.5e0, 6) AS first_lat FROM orders, range(1, 3) AS t(n) WHERE o_orderkey % 4 = 0""")
+@query("txt_05", """SELECT o_orderkey AS id, 'Area ' || n AS name, n::INTEGER AS paragraph, 2 AS n_points, round(50 + n + 0.5e0, 6) AS first_lat FROM orders, range(1, 3) AS t(n)""")
 def txt_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named areas of notices: points under headings, repeats left out, text before the consolidation mark ignored."""
     key = F.col("o_orderkey")
     area = lambda n: f"### Area {n}\n§ {n}. Forbod\n{50 + n}° 30' N 2° 0' E og {51 + n}° 0,0' N 3° 30' E\n{50 + n}°30' N 2°00' E\n"
     body = F.concat(F.lit("Gammalt 10° 0' N 1° 0' E\nForskriften lyder etter dette:\n"), F.lit(area(1)), F.lit(area(2)))
-    notices = B.table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(key.alias("id"), body.alias("body"))
+    notices = B.table(spark, sf_dir, "orders").select(key.alias("id"), body.alias("body"))
     found = A.named_areas(notices, "id")
     # The paragraph line under a heading begins a part of its own; its points belong to the heading's name.
     return found.select("id", "name", "paragraph", F.size("points").alias("n_points"), F.round(F.get("points", F.lit(0))["lat"], 6).alias("first_lat"))

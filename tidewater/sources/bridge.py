@@ -21,9 +21,16 @@ def _pick(index: Column, values: tuple) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position fixes from ``events``."""
-    e = table(spark, sf_dir, "events")
+    return as_fixes(table(spark, sf_dir, "events"))
+
+
+def as_fixes(e: DataFrame) -> DataFrame:
+    """Position fixes of a batch or stream of events."""
     ts = F.col("ts").cast("timestamp")
     return e.select(
         F.col("event_id").alias("source_id"), F.col("user_id").alias("vessel_id"),
@@ -100,14 +107,14 @@ STORED_ACCOUNTS = (1, 2, 3, 5, 7, 9, 10, 12, 14, 18, 21, 22, 26, 30, 31, 34, 36,
 def account_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored accounts of annual reports: company, year, account, value."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    joined = o.join(li, o.o_orderkey == li.l_orderkey).filter(F.col("l_linenumber") <= 6)
+    joined = o.join(li, o.o_orderkey == li.l_orderkey)
     grouped = joined.groupBy(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("year"), _pick(F.col("l_partkey") % len(STORED_ACCOUNTS), STORED_ACCOUNTS).alias("account"))
     return grouped.agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
 
 
 ACCOUNTS_SQL = f"""account AS (
   SELECT o_custkey AS company_id, year(o_orderdate) AS year, (ARRAY{list(STORED_ACCOUNTS)})[l_partkey % {len(STORED_ACCOUNTS)} + 1] AS account, round(sum(l_extendedprice), 2) AS value
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 6 GROUP BY ALL)"""
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"""
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions import texts
+from tidewater.schemas import POSITION_FIX
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 ROUTE_AREAS = "map<string,struct<Rute:string,FAOArea:string,Center:struct<Latitude:double,Longitude:double>,Coordinates:array<struct<Latitude:double,Longitude:double>>>>"
@@ -47,13 +49,17 @@ def _cells(data: bytes) -> list[list[str | None]]:
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
     """``path, row, cells`` of the first sheet of every workbook under ``path``; the header is row 0."""
+    return workbook_cells(spark.read.format("binaryFile").load(path))
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """The same of files that are read already: ``path`` and ``content``."""
 
     @F.pandas_udf("array<array<string>>")
     def cells(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in contents:
             yield s.map(_cells)
 
-    files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.posexplode(cells("content")).alias("row", "cells"))
 
 
@@ -78,7 +84,20 @@ def map_features(pages: DataFrame, column: str = "payload", order: str = "page")
     return kept.select("feature_id", "name", "kind", mean(1).alias("lat"), mean(0).alias("lon"))
 
 
-def _degrees(text: Column) -> Column:
+def authority_closures(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """``jm_number, paragraph, name, points, unreadable`` of a closure register: vertices as ``DD MM,mmm[NSEW]`` texts.
+
+    A vertex with a part that cannot be read is left out and counted.
+    """
+    entry = F.from_json(column, "struct<jmNumber:string,paragraph:int,name:string,vertices:array<struct<lat:string,lon:string>>>")
+    point = lambda v: F.struct(texts.authority_coordinate(v["lat"]).alias("lat"), texts.authority_coordinate(v["lon"]).alias("lon"))
+    read = payloads.select(entry.alias("e")).filter("e.jmNumber IS NOT NULL").select("e.jmNumber", "e.paragraph", "e.name", F.transform("e.vertices", point).alias("all"))
+    whole = F.filter("all", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    return read.select(F.col("jmNumber").alias("jm_number"), "paragraph", "name", whole.alias("points"), (F.size("all") - F.size(whole)).alias("unreadable"))
+
+
+def net_degrees(text: Column) -> Column:
+    """Degrees and decimal minutes of a net's end, such as ``63°10,5' N``."""
     pattern = r"(\d+)\s*°\s*([\d.,]+)\s*'?\s*([NSEWnsew])"
     value = F.regexp_extract(text, pattern, 1).try_cast("double") + F.regexp_replace(F.regexp_extract(text, pattern, 2), ",", ".").try_cast("double") / 60
     return F.when(F.upper(F.regexp_extract(text, pattern, 3)).isin("S", "W"), -value).otherwise(value)
@@ -96,21 +115,17 @@ def gillnets(pages: DataFrame, key: str = "page", column: str = "html") -> DataF
     so_far = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("h", F.last(header, ignorenulls=True).over(so_far))
     nets = filled.filter((F.size("c") == 7) & F.get("c", F.lit(0)).rlike(r"^\d+\s*\.?$") & F.col("h").isNotNull())
-    at = lambda i: _degrees(F.get("c", F.lit(i)))
+    at = lambda i: net_degrees(F.get("c", F.lit(i)))
     idx = F.regexp_extract(F.get("c", F.lit(0)), r"^(\d+)", 1).cast("int")
     return nets.select(key, "h.vessel", "h.call_sign", "h.gear", idx.alias("idx"), at(1).alias("from_lat"), at(2).alias("from_lon"), at(4).alias("to_lat"), at(5).alias("to_lon")).dropna(subset=["from_lat", "from_lon", "to_lat", "to_lon"])
 
 
-def read_fixes(spark: SparkSession, path: str, source: str = "parquet", **options: str) -> DataFrame:
-    """Position fixes from a batch source by format name (``parquet``, ``orc``, ``csv``, ``json``, ``jdbc``, ...)."""
-    from tidewater.schemas import POSITION_FIX
-
+def read_fixes(spark: SparkSession, path: str, source: str = "parquet", schema: T.StructType | str = POSITION_FIX, **options: str) -> DataFrame:
+    """Position fixes from a batch source by format name (``parquet``, ``orc``, ``csv``, ``json``, ``jdbc``, ...), as declared by ``schema``."""
     reader = spark.read.format(source).options(**options)
-    return reader.schema(POSITION_FIX).load(path) if source != "jdbc" else reader.load()
+    return reader.schema(schema).load(path) if source != "jdbc" else reader.load()
 
 
-def stream_fixes(spark: SparkSession, path: str, source: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
+def stream_fixes(spark: SparkSession, path: str, source: str = "parquet", files_per_trigger: int = 100, schema: T.StructType | str = POSITION_FIX) -> DataFrame:
     """The same as a stream; new files are read a few at a time."""
-    from tidewater.schemas import POSITION_FIX
-
-    return spark.readStream.format(source).schema(POSITION_FIX).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return spark.readStream.format(source).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)

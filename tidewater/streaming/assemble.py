@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: What identifies a snapshot in all its parts.
+MANIFEST = ("case_id", "total_parts", "snapshot_sha256")
+
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """Batch: ``signature, part, body`` -> complete messages ``signature, parts, body``; a repeated part counts once (the smallest body)."""
-    once = parts.groupBy("signature", "part").agg(F.min("body").alias("body"))
-    whole = once.groupBy("signature").agg(F.count("*").alias("parts"), F.max("part").alias("last"), F.min("part").alias("first"), F.sort_array(F.collect_list(F.struct("part", "body"))).alias("all"))
-    return whole.filter("parts = last - first + 1").select("signature", "parts", F.array_join(F.transform("all", lambda p: p["body"]), "").alias("body"))
+    """Batch: ``signature, part, total, body`` -> complete messages ``signature, parts, body``.
+
+    A message is complete when as many different parts are there as it states. A repeated part counts once (the smallest body).
+    """
+    once = parts.groupBy("signature", "part").agg(F.min("body").alias("body"), F.max("total").alias("total"))
+    whole = once.groupBy("signature").agg(F.count("*").alias("parts"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("part", "body"))).alias("all"))
+    return whole.filter("parts = total").select("signature", "parts", F.array_join(F.transform("all", lambda p: p["body"]), "").alias("body"))
 
 
 def assemble_stream(parts: DataFrame, ttl: str = "10 minutes") -> DataFrame:
-    """Stream: ``signature, part, total, body, at`` -> messages as soon as all parts are there; what stays incomplete for ``ttl`` goes.
+    """Stream: ``signature, part, total, body`` -> messages as soon as all parts are there; what stays incomplete for ``ttl`` goes.
 
-    A part that comes again with another body makes the message conflict: it comes out with status ``conflict`` and no body.
+    A part that comes again with another body makes the message conflict: it comes out once, with status ``conflict`` and no body, and
+    later parts of it are ignored until ``ttl`` has passed since.
     """
     limit = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
@@ -28,19 +36,74 @@ def assemble_stream(parts: DataFrame, ttl: str = "10 minutes") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        held: dict[int, str] = dict(zip(*state.get, strict=True)) if state.exists else {}
+        held: dict[int, str] = {}
+        if state.exists:
+            places, bodies, conflict = state.get
+            if conflict:
+                return
+            held = dict(zip(places, bodies, strict=True))
         total, conflict = 0, False
         for frame in frames:
-            for row in frame.itertuples():
-                conflict |= held.setdefault(int(row.part), row.body) != row.body
-                total = max(total, int(row.total))
-        if conflict or total and len(held) == total:
-            if state.exists:
-                state.remove()
+            for part, of, body in zip(frame["part"].tolist(), frame["total"].tolist(), frame["body"].tolist(), strict=True):
+                conflict |= held.setdefault(part, body) != body
+                total = max(total, of)
+        done = not conflict and total and len(held) == total
+        if conflict or done:
             body = None if conflict else "".join(held[i] for i in sorted(held))
             yield pd.DataFrame({"signature": [key[0]], "status": ["conflict" if conflict else "complete"], "parts": [len(held)], "body": [body]})
+        if done:
+            if state.exists:
+                state.remove()
             return
-        state.update((list(held), list(held.values())))
+        state.update(([], [], True) if conflict else (list(held), list(held.values()), False))
         state.setTimeoutDuration(limit)
 
-    return parts.groupBy("signature").applyInPandasWithState(run, "signature long, status string, parts long, body string", "parts array<int>, bodies array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    held = "parts array<int>, bodies array<string>, conflict boolean"
+    return parts.groupBy("signature").applyInPandasWithState(run, "signature long, status string, parts long, body string", held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def checked_parts(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``problem``: why a part goes to quarantine, the first reason that holds, else null.
+
+    Parts are ``assembly_id, arrived, case_id, total_parts, snapshot_sha256, part_number, part_sha256, data``. A part whose bytes
+    do not have the stated hash, or whose number is out of range, is rejected before anything else counts. Of the others, the first that
+    arrives states the manifest of its assembly, and the first of a number states the bytes of that part.
+    """
+    stated = F.when(F.sha2("data", 256) != F.col("part_sha256"), "part hash").when(~F.col("part_number").between(0, F.col("total_parts") - 1), "part number")
+    marked = parts.withColumn("_rejected", stated)
+    valid = F.col("_rejected").isNull()
+    whole = Window.partitionBy("assembly_id", valid)
+    manifest = F.struct(*MANIFEST)
+    first = F.min(F.struct(F.col("arrived"), manifest.alias("m"))).over(whole)["m"]
+    marked = marked.withColumns({"_valid": valid, "_alien": manifest != first})
+    same = Window.partitionBy("assembly_id", "_valid", "_alien", "part_number")
+    bytes_of = F.min(F.struct("arrived", "part_sha256")).over(same)["part_sha256"]
+    problem = F.coalesce("_rejected", F.when(F.col("_alien"), "conflicting manifest").when(F.col("part_sha256") != bytes_of, "conflicting part"))
+    return marked.withColumn("problem", problem).drop("_rejected", "_valid", "_alien")
+
+
+def assemble_snapshots(parts: DataFrame, slots: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Snapshots and the quarantine of their parts (``checked_parts``).
+
+    Snapshots are ``assembly_id, case_id, parts, status, body``: ``complete`` when all parts are there and have the manifest's hash together,
+    ``rejected`` when they have not, ``staging`` while parts are missing. At most ``slots`` incomplete snapshots of a case are staging, those
+    that began first; the others are ``queued``. Only complete ones have a body.
+    """
+    checked = checked_parts(parts)
+    good = checked.filter("problem IS NULL")
+    once = good.groupBy("assembly_id", *MANIFEST, "part_number").agg(F.min("arrived").alias("arrived"), F.min("data").alias("data"))
+    whole = once.groupBy("assembly_id", *MANIFEST).agg(F.min("arrived").alias("began"), F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("part_number", "data"))).alias("all"))
+    body = F.concat_ws("", F.transform("all", lambda p: p["data"]))
+    status = F.when(F.col("parts") < F.col("total_parts"), "staging").when(F.sha2("body", 256) == F.col("snapshot_sha256"), "complete").otherwise("rejected")
+    judged = whole.withColumn("body", body).withColumn("status", status)
+    turn = F.row_number().over(Window.partitionBy("case_id", "status").orderBy("began", "assembly_id"))
+    queued = judged.withColumn("status", F.when((F.col("status") == "staging") & (turn > slots), "queued").otherwise(F.col("status")))
+    shown = F.when(F.col("status") == "complete", F.col("body"))
+    return queued.select("assembly_id", "case_id", "parts", "status", shown.alias("body")), checked.filter("problem IS NOT NULL")
+
+
+def split_snapshot(assembly_id: str, case_id: int, body: str, size: int, arrived: int = 0) -> list[tuple]:
+    """Rows of a snapshot's parts, as ``checked_parts`` takes them."""
+    cut = [body[i : i + size] for i in range(0, len(body), size)] or [""]
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    return [(assembly_id, arrived + i, case_id, len(cut), sha(body), i, sha(x), x) for i, x in enumerate(cut)]

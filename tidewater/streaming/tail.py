@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.operators.positions import is_fishing, replace_by_key
 
@@ -14,11 +18,11 @@ def tail(fixes: DataFrame, watermark: str = "5 minutes", on: str = "ingest_time"
     return fixes.withWatermark(on, watermark).dropDuplicatesWithinWatermark(["source_id"])
 
 
-def write_replacing(fixes: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append micro-batches to Parquet by month. Each batch goes to a folder of its own, so a batch that runs again replaces itself."""
+def write_replacing(fixes: DataFrame, path: str, checkpoint: str, once: bool = True, feed: str = "live") -> StreamingQuery:
+    """Append micro-batches of a feed to Parquet by month. Each batch goes to a folder of its own, so a batch that runs again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("year_month", F.date_format("event_time", "yyyy-MM")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.withColumn("year_month", F.date_format("event_time", "yyyy-MM")).write.mode("overwrite").parquet(f"{path}/feed={feed}/batch={number}")
 
     writer = fixes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
@@ -36,6 +40,55 @@ def hourly(fixes: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
 
 
 def sessions(fixes: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Stretches of fishing speed without a longer gap. A fix out of band does not end one here, as it does in the batch walk."""
+    """Stretches of fishing speed without a longer gap. A fix out of band does not end one here, as it does in ``runs``."""
     fishing = fixes.filter(is_fishing()).withWatermark("event_time", watermark)
     return fishing.groupBy("vessel_id", F.session_window("event_time", gap)).agg(F.count("*").alias("fixes"), F.avg("speed").alias("avg_knots"))
+
+
+def runs(fixes: DataFrame, gap_minutes: int = 30, watermark: str = "1 hour") -> DataFrame:
+    """Fishing runs as soon as they are over: ``vessel_id, run_start, run_end, fix_count, avg_knots`` (times in epoch milliseconds).
+
+    As in the batch walk, a fix out of band or without a speed ends a run, and so does a longer gap. Fixes wait in the state
+    until the watermark has passed them, so that they are walked in order of time; a vessel holds those of the watermark's delay and one open run.
+    """
+    gap = gap_minutes * 60_000
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple[int, int, float | None]] = []
+        start = end = count = 0
+        knots = 0.0
+        if state.exists:
+            times, ids, fishing, start, end, count, knots = state.get
+            waiting = list(zip(times, ids, fishing, strict=True))
+        for frame in frames:
+            waiting += zip(frame["ms"].tolist(), frame["source_id"].tolist(), frame["fishing"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        over = []
+        waiting.sort(key=lambda w: w[:2])
+        n = 0
+        while n < len(waiting) and waiting[n][0] <= passed:
+            ms, _, speed = waiting[n]
+            n += 1
+            inside = speed == speed and speed is not None
+            if count and (not inside or ms - end > gap):
+                over.append((key[0], start, end, count, knots / count))
+                count = 0
+            if inside:
+                start, knots = (start, knots + speed) if count else (ms, speed)
+                end, count = ms, count + 1
+        if count and end + gap < passed:
+            over.append((key[0], start, end, count, knots / count))
+            count = 0
+        waiting = waiting[n:]
+        if waiting or count:
+            times, ids, fishing = (list(c) for c in zip(*waiting, strict=True)) if waiting else ([], [], [])
+            state.update((times, ids, fishing, start, end, count, knots))
+            wake = min([t for t in times[:1]] + ([end + gap] if count else []))
+            state.setTimeoutTimestamp(max(wake, passed) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(over, columns=["vessel_id", "run_start", "run_end", "fix_count", "avg_knots"])
+
+    marked = fixes.withWatermark("event_time", watermark).select("vessel_id", "event_time", "source_id", F.unix_millis("event_time").alias("ms"), F.when(is_fishing(), F.col("speed")).alias("fishing"))
+    held = "times array<long>, ids array<long>, fishing array<double>, start long, end long, count long, knots double"
+    return marked.groupBy("vessel_id").applyInPandasWithState(run, "vessel_id long, run_start long, run_end long, fix_count long, avg_knots double", held, "append", GroupStateTimeout.EventTimeTimeout)
