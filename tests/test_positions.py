@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import geo
 from tidewater.operators import positions as P
+from tidewater.params import RequestError
 from tidewater.schemas import POSITION_FIX
 
 DAY = datetime(2024, 5, 1)
@@ -107,6 +108,35 @@ def test_windows_overlap_and_answer_when_empty(spark):
     assert sorted((r.idx, r.event_time.minute) for r in newest.collect()) == [(0, 20), (1, 20), (1, 30)]
 
 
+@pytest.mark.parametrize("operator", [P.track_windows, P.fix_windows])
+def test_requested_windows_cut_the_scan(spark, tmp_path, operator):
+    """Times and vessels of the request are filters of the scan itself."""
+    fixes(spark, [(1, m, 62.0, -7.0, 1.0) for m in range(100)]).write.parquet(f"{tmp_path}/f")
+    df = operator(spark.read.parquet(f"{tmp_path}/f"), windows(spark, [(0, 1, 10, 20), (1, 4, 15, 40)]), 50)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line and "event_time" in line]
+    assert pushed and all(f in pushed[0] for f in ("GreaterThanOrEqual(event_time", "LessThanOrEqual(event_time", "In(vessel_id, [1,4])"))
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_are_limited(spark):
+    df = fixes(spark, [(1, 0, 62.0, -7.0, 1.0)])
+    with pytest.raises(RequestError) as e:
+        P.track_windows(df, windows(spark, [(i, 1, 0, 1) for i in range(501)]), 10)
+    assert e.value.code == "too_many_windows"
+    assert P.track_windows(df, windows(spark, []), 10).count() == 0
+
+
+def test_replace_by_key_breaks_ties_alike(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 4, "c"), (2, None, "d")]
+    kept = {tuple(P.replace_by_key(spark.createDataFrame(order, "k int, version int, v string"), ["k"], "version").orderBy("k").collect()) for order in (rows, rows[::-1])}
+    assert len(kept) == 1
+
+
 def test_track_values_skip_unknown_ones(spark):
     df = fixes(spark, [(1, 0, 62.0, -7.0, 4.0), (1, 1, 62.0, -7.0, None)])
     assert P.tracks(df, 3600).first().speed == 4.0

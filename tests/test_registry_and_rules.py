@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater import params
-from tidewater.functions import dates, texts
+from tidewater.functions import dates, geo, texts
 from tidewater.functions.numbers import half_up, locale_number
 from tidewater.operators import areas, cases, catches, finance, sinks
 from tidewater.sources import feeds
@@ -94,7 +94,8 @@ def test_local_time(spark, local, utc):
 
 @pytest.mark.parametrize(("text", "points"), [
     ("N 62° 30' 15,5\" N 5° 10' 0\" E", [(62.504306, 5.166667)]), ("Nord 62 grader, 30,5 minutter, Øst 5 grader, 10 minutter", [(62.508333, 5.166667)]), ("62°30,5’ N 5°10,0’ W og 62°30.5' N 5°10' W", [(62.508333, -5.166667)]),
-    ("6230 N - 00510 V", [(62.5, -5.166667)]), ("sør for 62° 00' N", []), ("95° 0' N 5° 0' E", []), (None, None),
+    ("6230 N - 00510 V", [(62.5, -5.166667)]), ("62° 30' 15\" S 5° 10' 30,5\" Ø", [(-62.504167, 5.175139)]), ("Sør 10 grader 5 minutter Vest 20 grader 6,6 minutter", [(-10.083333, -20.11)]),
+    ("62°30,5' N, 5° N", []), ("62° . ' N 5° 1' E", []), ("nord 62 grader. 30 minutter. aust 5 grader. 10 minutter", [(62.5, 5.166667)]), ("62° 30' N 5° 10' Ø 63° 0' N 6° 0' W", [(62.5, 5.166667), (63.0, -6.0)]), ("sør for 62° 00' N", []), ("95° 0' N 5° 0' E", []), (None, None),
 ])
 def test_coordinates(spark, text, points):
     found = spark.createDataFrame([(text,)], "t string").select(texts.all_coordinates(F.col("t"))).first()[0]
@@ -171,3 +172,32 @@ def test_ring_problems(spark):
     rings = [(None, "empty"), ([(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (0.0, 0.0)], None), ([(0.0, 0.0), (0.0, 4.0), (4.0, 4.0)], "ring is not closed"), ([(0.0, 0.0), (0.0, 4.0), (0.0, 0.0)], "too few points"), ([(0.0, 0.0), (4.0, 4.0), (0.0, 4.0), (4.0, 0.0), (0.0, 0.0)], "self-intersection"), ([(99.0, 0.0), (0.0, 4.0), (4.0, 4.0), (99.0, 0.0)], "coordinate out of range")]
     df = spark.createDataFrame(rings, "r array<struct<lat:double,lon:double>>, want string")
     assert [r.got for r in df.select(areas.ring_problems(F.col("r")).alias("got")).collect()] == [w for _, w in rings]
+
+
+@pytest.mark.parametrize(("text", "start", "end"), [
+    ("galdandi frá 3. mars 2024 kl. 12:30 til og við 5. apríl 2024", "2024-03-03T12:30", "2024-04-05T00:00"), ("Galdandi fra í dag, hin 3 mars 2024 til 5 desember 2024 klokkan 9.05", "2024-03-03T00:00", "2024-12-05T09:05"),
+    ("GALDANDI FRÁ 1. jan. 2025 til til 2. jan. 2025 kl 23:59", "2025-01-01T00:00", "2025-01-02T23:59"), ("galdandi frá 3. mars 2024", None, None), ("til 3. mars 2024", None, None),
+    ("galdandi frá 31. februar 2024 til 1. mars 2024", None, None), ("galdandi frá 3. xyz 2024 til 1. mars 2024", None, None), (None, None, None),
+])
+def test_faroese_window(spark, text, start, end):
+    w = spark.createDataFrame([(text,)], "t string").select(dates.faroese_window(F.col("t")).alias("w")).first()["w"]
+    ms = lambda iso: None if iso is None else int(datetime.fromisoformat(iso).replace(tzinfo=UTC).timestamp() * 1000)
+    assert (w.from_ms, w.to_ms) == (ms(start), ms(end))
+
+
+def test_geometry_readers(spark):
+    rows = [("POINT(1 2)",), ("MULTIPOINT((1.5 -2), (3e1 4))",), ("POLYGON((0 0, 4 0, 4 4, 0 0))",), ("GEOMETRYCOLLECTION EMPTY",), (None,)]
+    found = [r.p if r.p is None else [(p.lon, p.lat) for p in r.p] for r in spark.createDataFrame(rows, "t string").select(geo.points_from_wkt(F.col("t")).alias("p")).collect()]
+    assert found == [[(1.0, 2.0)], [(1.5, -2.0), (30.0, 4.0)], [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)], [], None]
+    rows = [('{"type":"MultiPoint","coordinates":[[1,2],[3.5,-4]]}',), ('{"type":"Polygon","coordinates":[]}',), ("no json",)]
+    found = [r.p if r.p is None else [(p.lon, p.lat) for p in r.p] for r in spark.createDataFrame(rows, "t string").select(geo.points_from_geojson(F.col("t")).alias("p")).collect()]
+    assert found == [[(1.0, 2.0), (3.5, -4.0)], None, None]
+
+
+def test_anchor_plan_joins_on_vessel_and_day(spark):
+    from tidewater.operators import catches
+    from tidewater.schemas import POSITION_FIX
+
+    reports = spark.createDataFrame([(1, 7, NOW, 60.0, 1.0)], "innmelding_id long, vessel_id long, reported_at timestamp, reported_latitude double, reported_longitude double")
+    plan = catches.anchors(reports, spark.createDataFrame([], POSITION_FIX))._jdf.queryExecution().optimizedPlan().toString()
+    assert any("vessel_id" in line and "day" in line for line in plan.split("\n") if line.strip(" :+-").startswith("Join Inner"))

@@ -93,6 +93,12 @@ def apply_in_order(commands: DataFrame, per_drain: int = 32) -> DataFrame:
     return placed.select("case_id", "sequence", "command_id", outcome.alias("outcome"), drain.cast("long").alias("drain"))
 
 
+def in_case_order(commands: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``commands`` with all of a case in one partition and in order of ``sequence``; ``tasks`` cases or so run side by side."""
+    dealt = commands.repartition(tasks, "case_id") if tasks else commands.repartition("case_id")
+    return dealt.sortWithinPartitions("case_id", "sequence")
+
+
 def published(cases: DataFrame, approvals: DataFrame, revisions: DataFrame) -> DataFrame:
     """Cases as published: fields come from the revision that the last applied approval pinned, never from the draft."""
     pin = approvals.filter("applied").groupBy("case_id").agg(F.max_by("revision_id", F.struct("sequence")).alias("revision_id"))

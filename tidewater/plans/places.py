@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import dates, geo, texts
+from tidewater.operators import areas as A
 from tidewater.operators import sinks
 from tidewater.plans.base import query
 from tidewater.sources import bridge as B
+from tidewater.sources import feeds
 
 BOX = (-5.0, 60.0, 3.0, 64.0)
 NOW = 9700  # days since 1970
@@ -84,15 +86,6 @@ def geo_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.closures(spark, sf_dir).select("jm_number", geo.multipoint_wkt(F.col("points")).alias("wkt"))
 
 
-@query("geo_16")
-def geo_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings of four vertices that cross themselves; held by unit tests."""
-    key = F.col("s_suppkey")
-    point = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
-    ring = F.array(point(F.lit(0.0), F.lit(0.0)), point((key % 7).cast("double"), F.lit(3.0)), point(F.lit(4.0), (key % 5).cast("double")), point((key % 3).cast("double"), F.lit(4.0)))
-    return B.table(spark, sf_dir, "supplier").select(key.alias("id"), geo.ring_self_intersects(ring).alias("crosses"), F.round(geo.ring_area_deg2(ring), 6).alias("area"))
-
-
 _F = "WITH " + B.FEATURES_SQL
 
 
@@ -151,9 +144,7 @@ def q_poi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.when(key % 5 == 0, "poi_").otherwise("poi-"), key.cast("string")).alias("key"), F.when(key % 2 == 0, F.concat(F.lit("POI: "), F.col("p_name"))).otherwise(F.lit("poi:  Untitled")).alias("title"),
         F.array(F.col("p_brand"), F.lit(None), F.col("p_type")).alias("aliases"),
     )
-    number = F.regexp_extract("key", r"^poi-(\d{3})$", 1).try_cast("bigint")
-    found = raw.withColumn("number", number).filter(F.col("number").between(100, 999))
-    return found.select("number", F.trim(F.regexp_replace("title", r"(?i)^poi:\s*", "")).alias("title"), F.size(F.array_compact("aliases")).alias("n_aliases"))
+    return feeds.points_of_interest(raw).select("number", "title", F.size("aliases").alias("n_aliases"))
 
 
 @query("txt_02", """SELECT o_orderkey AS id, round(58 + o_orderkey % 9 + (o_orderkey % 60) / 60e0, 6) AS lat, round(-(o_orderkey % 12 + (o_orderkey % 50 + 0.5e0) / 60e0), 6) AS lon FROM orders""")
@@ -285,9 +276,7 @@ def q_diverge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = c.filter(number % 8 != 0).select("jm_number", F.col("points").alias("own"))
     moved = lambda p: F.struct((p["lat"] + F.when(number % 6 == 0, 0.01).otherwise(0.0)).alias("lat"), p["lon"].alias("lon"))
     theirs = c.select("jm_number", F.transform(F.when(number % 9 == 0, F.slice("points", 1, 2)).otherwise(F.col("points")), moved).alias("theirs"))
-    apart = F.exists(F.arrays_zip("own", "theirs"), lambda z: (F.abs(z["own"]["lat"] - z["theirs"]["lat"]) > 1e-4) | (F.abs(z["own"]["lon"] - z["theirs"]["lon"]) > 1e-4))
-    kind = F.when(F.col("own").isNull(), "missing-area").when(F.size("own") != F.size("theirs"), "vertex-count").when(apart, "position")
-    return theirs.join(own, "jm_number", "left").select("jm_number", kind.alias("kind")).filter("kind IS NOT NULL")
+    return A.divergence(theirs.withColumn("unreadable", F.lit(0)), own, "jm_number")
 
 
 @query("wf_16", "SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents QUALIFY place <= 20")

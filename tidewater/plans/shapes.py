@@ -96,20 +96,6 @@ def geo_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "orders").select(key.alias("id"), A.line_meets_box(F.array(point(13, 7), point(17, 29)), BOX).alias("meets"))
 
 
-@query("geo_12")
-def geo_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Convex hulls of closures' vertices; held by unit tests."""
-    return B.closures(spark, sf_dir).select("jm_number", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
-
-
-@query("q_tile")
-def q_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hulls of closures that meet a tile, in tile coordinates; held by unit tests."""
-    c = B.closures(spark, sf_dir).filter("has_geo").select("jm_number", "title", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
-    tile = c.select("jm_number", "title", A.tile_points(F.col("hull"), 4, 7, 4).alias("corners"))
-    return tile.filter(F.size("corners") > 0)
-
-
 @query("win_08", "SELECT page_id, (length(html) - length(replace(html, '<p', '')))::BIGINT // 2 AS n FROM pages")
 def win_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p")).cast("long").alias("n"))

@@ -96,6 +96,13 @@ def authority_closures(payloads: DataFrame, column: str = "payload") -> DataFram
     return read.select(F.col("jmNumber").alias("jm_number"), "paragraph", "name", whole.alias("points"), (F.size("all") - F.size(whole)).alias("unreadable"))
 
 
+def points_of_interest(fragments: DataFrame) -> DataFrame:
+    """``number, title, aliases`` of fragments ``key, title, aliases``: keys are ``poi-`` and three figures from 100, titles lose their prefix."""
+    number = F.regexp_extract("key", r"^poi-(\d{3})$", 1).try_cast("bigint")
+    found = fragments.withColumn("number", number).filter(F.col("number").between(100, 999))
+    return found.select("number", F.trim(F.regexp_replace("title", r"(?i)^poi:\s*", "")).alias("title"), F.array_compact("aliases").alias("aliases"))
+
+
 def net_degrees(text: Column) -> Column:
     """Degrees and decimal minutes of a net's end, such as ``63°10,5' N``."""
     pattern = r"(\d+)\s*°\s*([\d.,]+)\s*'?\s*([NSEWnsew])"

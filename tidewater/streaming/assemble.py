@@ -24,11 +24,11 @@ def assemble(parts: DataFrame) -> DataFrame:
     return whole.filter("parts = total").select("signature", "parts", F.array_join(F.transform("all", lambda p: p["body"]), "").alias("body"))
 
 
-def assemble_stream(parts: DataFrame, ttl: str = "10 minutes") -> DataFrame:
-    """Stream: ``signature, part, total, body`` -> messages as soon as all parts are there; what stays incomplete for ``ttl`` goes.
+def assemble_stream(parts: DataFrame, ttl: str = "10 minutes", watermark: str = "1 minute") -> DataFrame:
+    """Stream: ``signature, part, total, body, arrived`` -> messages as soon as all parts are there; what stays incomplete for ``ttl`` goes.
 
     A part that comes again with another body makes the message conflict: it comes out once, with status ``conflict`` and no body, and
-    later parts of it are ignored until ``ttl`` has passed since.
+    later parts of it are ignored until ``ttl`` has passed since. Time is that of ``arrived``, as far as the watermark is.
     """
     limit = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
@@ -38,13 +38,16 @@ def assemble_stream(parts: DataFrame, ttl: str = "10 minutes") -> DataFrame:
             return
         held: dict[int, str] = {}
         if state.exists:
-            places, bodies, conflict = state.get
-            if conflict:
-                return
-            held = dict(zip(places, bodies, strict=True))
-        total, conflict = 0, False
+            places, bodies, conflict, until = state.get
+            # New parts may come in the batch in which the time to live has passed: they begin anew.
+            if until >= state.getCurrentWatermarkMs():
+                if conflict:
+                    return
+                held = dict(zip(places, bodies, strict=True))
+        total, conflict, latest = 0, False, state.getCurrentWatermarkMs()
         for frame in frames:
-            for part, of, body in zip(frame["part"].tolist(), frame["total"].tolist(), frame["body"].tolist(), strict=True):
+            for part, of, body, ms in zip(frame["part"].tolist(), frame["total"].tolist(), frame["body"].tolist(), frame["ms"].tolist(), strict=True):
+                latest = max(latest, ms)
                 conflict |= held.setdefault(part, body) != body
                 total = max(total, of)
         done = not conflict and total and len(held) == total
@@ -55,11 +58,12 @@ def assemble_stream(parts: DataFrame, ttl: str = "10 minutes") -> DataFrame:
             if state.exists:
                 state.remove()
             return
-        state.update(([], [], True) if conflict else (list(held), list(held.values()), False))
-        state.setTimeoutDuration(limit)
+        state.update(([], [], True, latest + limit) if conflict else (list(held), list(held.values()), False, latest + limit))
+        state.setTimeoutTimestamp(latest + limit)
 
-    held = "parts array<int>, bodies array<string>, conflict boolean"
-    return parts.groupBy("signature").applyInPandasWithState(run, "signature long, status string, parts long, body string", held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    held = "parts array<int>, bodies array<string>, conflict boolean, until long"
+    timed = parts.withWatermark("arrived", watermark).withColumn("ms", F.unix_millis("arrived"))
+    return timed.groupBy("signature").applyInPandasWithState(run, "signature long, status string, parts long, body string", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def checked_parts(parts: DataFrame) -> DataFrame:
