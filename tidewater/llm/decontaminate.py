@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, mix64, slices
+from tidewater.llm.common import materialize, mix64, slices, spare_name
 
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -219,4 +219,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, thr
     found = materialize(covered(_keyed(docs, "text"), benchmark, least, threshold, log2_bits).select("key").distinct(), "contaminated")
     # The planner broadcasts the keys where their files are small, and sorts both sides where they are not.
     own = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
-    return docs.join(found.withColumnRenamed("key", "__contaminated"), own == F.col("__contaminated"), "left_anti")
+    mark = spare_name(docs, "_contaminated")
+    return docs.join(found.withColumnRenamed("key", mark), own == F.col(mark), "left_anti")

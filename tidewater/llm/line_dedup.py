@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import materialize, mix64, slices, whole_text
+from tidewater.llm.common import materialize, mix64, slices, spare_name, whole_text
 
 #: White space that is trimmed from both ends of a line before it is compared.
 _TRIM = " \t\r\v\f"
@@ -197,15 +197,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = 0, log2_bits: int = 26) -> D
     caller wants short lines such as "Step 1" and "Step 2" apart; by default all lines are compared). Blank lines stay. Rows with the same id and text count as one and come out alike. A null text stays null, and a text may become
     empty; all columns are kept. The table of shared half keys (2**log2_bits bits) only saves work: what it wrongly lets through is verified.
     """
-    kept = kept_places(docs, least_chars, log2_bits).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("places").alias("_places"))
-    both = docs.withColumn("_own", F.xxhash64(whole_text())).join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_version")), "left")
+    own, doc, version, stay_at = (spare_name(docs, n) for n in ("_own", "_doc", "_version", "_places"))
+    kept = kept_places(docs, least_chars, log2_bits).select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("places").alias(stay_at))
+    both = docs.withColumn(own, F.xxhash64(whole_text())).join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(version)), "left")
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column(stay_at).to_pylist(), strict=True):
                 if text:
                     stay = set(places or ())
                     text = "\n".join([x for i, x in enumerate(text.split("\n")) if i in stay or not x.strip(_TRIM)])
@@ -214,4 +215,4 @@ def dedup_lines(docs: DataFrame, least_chars: int = 0, log2_bits: int = 26) -> D
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return both.select(*names, "_places").mapInArrow(run, docs.schema)
+    return both.select(*names, stay_at).mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import gather, materialize, slices
+from tidewater.llm.common import gather, materialize, slices, spare_name
 from tidewater.llm.components import connected_components
 
 #: A-Z to a-z, byte by byte.
@@ -241,16 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any row but never name one unless all ids of the component are null. Other columns are not read.
     """
     marks = materialize(fingerprints(docs, id_col, text_col, words, seed), "simhash-fp")
-    rooted = _rooted(marks, max_bits, n_pivots, bucket_limit)
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    rooted = _rooted(distinct, links(distinct, max_bits, n_pivots, bucket_limit))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-named")
     return marks.join(named, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
-def _rooted(marks: DataFrame, max_bits: int, n_pivots: int, bucket_limit: int) -> DataFrame:
-    """One row per fingerprint of ``marks``: ``fp``, ``least`` (its smallest ``doc_id``), ``root`` (names its component)."""
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), max_bits, n_pivots, bucket_limit))
+def _rooted(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per fingerprint: ``fp``, ``least``, ``root`` (names its component)."""
+    roots = connected_components(found)
     return materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
 
@@ -264,15 +264,45 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.concat(digest, F.coalesce(F.concat(F.lit(" "), F.col(id_col).cast("string")), F.lit("")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, max_bits: int = 4, n_pivots: int = 16, bucket_limit: int = 1024) -> DataFrame:
+def similar_links(found: DataFrame, named: DataFrame, texts: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
+    """The links ``a, b`` between fingerprints whose texts share ``similarity`` of their distinct shingles.
+
+    ``named`` gives each fingerprint ``fp`` the ``key`` of a row, and ``texts`` each ``key`` its ``text``. Only texts of linked
+    fingerprints take part, each once for each link that spans its group.
+    """
+    ends = materialize(found.select("a", "b"), "simhash-links")
+    some = ends.select(F.col("a").alias("fp")).unionByName(ends.select(F.col("b").alias("fp"))).distinct()
+    wanted = materialize(named.join(some, "fp", "left_semi"), "simhash-named")
+    # The planner broadcasts the keys where their files are small. Rows of one key have one text, so any of them will do.
+    linked = materialize(texts.join(wanted, "key").select("fp", "text").dropDuplicates(["fp"]), "simhash-texts")
+    pairs = ends.join(linked.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a").join(linked.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "left"):
+                left, right = ([set(shingle_hashes(t or b"", words, seed)) for t in part.column(c).cast(pa.binary()).to_pylist()] for c in ("left", "right"))
+                alike = [len(x & y) >= similarity * len(x | y) for x, y in zip(left, right, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, max_bits: int = 6, similarity: float = 0.8, n_pivots: int = 24, bucket_limit: int = 1024) -> DataFrame:
     """One row of each group of near-duplicates, all columns of ``docs``.
 
-    Groups are those of ``near_duplicates``. The row with the smallest id stays, rows without an id coming last; among
+    Two fingerprints link at ``max_bits`` or fewer differing bits if their texts also share ``similarity`` of their distinct shingles
+    of ``words`` words; texts with one fingerprint are one group. The row with the smallest id stays, rows without an id coming last; among
     rows of one id the text's digest decides. Ids may be null or repeated: rows are told apart by id and text.
     """
     row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"))
     marks = materialize(fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", words, seed), "simhash-fp")
-    kept = _rooted(marks, max_bits, n_pivots, bucket_limit).groupBy("root").agg(F.min("least").alias("least"))
-    kept = materialize(kept.select(F.col("least.key").alias("__row_key")), "simhash-kept")
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = links(distinct, max_bits, n_pivots, bucket_limit)
+    keyed = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    named = distinct.select("fp", F.col("least.key").alias("key"))
+    found = similar_links(found, named, keyed, words, seed, similarity)
+    kept = _rooted(distinct, found).groupBy("root").agg(F.min("least").alias("least"))
+    own = spare_name(docs, "_row_key")
+    kept = materialize(kept.select(F.col("least.key").alias(own)), "simhash-kept")
     # The key is never null, so the join and the removal of repeated rows share one shuffle.
-    return docs.withColumn("__row_key", _row_key(id_col, text_col)).join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+    return docs.withColumn(own, _row_key(id_col, text_col)).join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
