@@ -77,3 +77,7 @@ def test_library_does_without_the_training_data_subpackage():
     found = [p for p in (ROOT / "tidewater").rglob("*.py") if "llm" not in p.parts and "tidewater.llm" in p.read_text()]
     assert not found
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'q_heatmap' in e.queries()"], cwd=ROOT, check=False).returncode == 0
+    # Also where the subpackage cannot be imported: its module is missing, or one that it needs.
+    for missing in ("corpus_pipeline", "tidewater.llm", "xxhash"):
+        code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert 'q_heatmap' in e.queries() and 'pipeline' not in e.queries() and 'op7_exact_dedup' not in e.oracle_sql()"
+        assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=False).returncode == 0

@@ -18,6 +18,7 @@ from tidewater.operators import catches as C
 from tidewater.operators import finance as N
 from tidewater.operators import fragments
 from tidewater.operators import sinks as S
+from tidewater.operators import tiles
 from tidewater.plans import ais, finance
 from tidewater.plans.base import query
 from tidewater.plans.selections import _km, _values
@@ -128,6 +129,14 @@ def q_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile.withColumn("corners", F.array_join(F.transform("corners", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ";"))
 
 
+@query("q_tile_mvt")
+def q_tile_mvt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hulls as the bytes of a vector tile; a decoder in the tests reads them back."""
+    c = B.closures(spark, sf_dir).filter("has_geo").select("jm_number", "title", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
+    tile = c.select(F.lit(4).alias("z"), F.lit(7).alias("x"), F.lit(4).alias("y"), "jm_number", "title", A.tile_points(F.col("hull"), 4, 7, 4).alias("corners"))
+    return tiles.encoded(tile, ["z", "x", "y"], ["jm_number", "title"], "closures")
+
+
 _RING4 = "[{'lat': 0e0, 'lon': 0e0}, {'lat': (s_suppkey % 7)::DOUBLE, 'lon': 3e0}, {'lat': 4e0, 'lon': (s_suppkey % 5)::DOUBLE}, {'lat': (s_suppkey % 3)::DOUBLE, 'lon': 4e0}]"
 
 
