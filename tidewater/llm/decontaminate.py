@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import materialize, mix64, slices, spare_name
@@ -157,7 +157,7 @@ def seeded_texts(texts: DataFrame, table: np.ndarray, least: int) -> DataFrame:
                 some = pa.array([len(h) > 0 for h in hits], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("text"), pa.array(hits, pa.list_(pa.int64()))], ["key", "text", "hits"]).filter(some)
 
-    return texts.select("key", "text").mapInArrow(run, "key string, text string, hits array<long>")
+    return texts.select("key", "text").mapInArrow(run, "key binary, text string, hits array<long>")
 
 
 def covered(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float, log2_bits: int) -> DataFrame:
@@ -166,7 +166,7 @@ def covered(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float
     Seeds of both sides are joined in Spark. The bit table only keeps seeds that no item has out of the shuffle; the join drops
     what it lets through. A pair has to share enough seeds for its coverage before it is tiled.
     """
-    items = materialize(item_seeds(benchmark, least).withColumn("item_key", F.sha2("item", 256)), "benchmark-seeds")
+    items = materialize(item_seeds(benchmark, least).withColumn("item_key", F.unhex(F.md5("item"))), "benchmark-seeds")
     table = seed_table(items.select(F.explode("seeds").alias("seed")), log2_bits)
     found = materialize(seeded_texts(texts, table, least).dropDuplicates(["key"]), "seeded-texts")
     by_item = items.select("item_key", "size", "repeats", F.explode("seeds").alias("seed"))
@@ -192,12 +192,17 @@ def covered(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("key").take(rows), part.column("item").take(rows), pa.array(coverage, pa.float64()), pa.array(n, pa.int32())], ["key", "item", "coverage", "n_tiles"])
 
-    return both.select("key", "item", "text").mapInArrow(run, "key string, item string, coverage double, n_tiles int")
+    return both.select("key", "item", "text").mapInArrow(run, "key binary, item string, coverage double, n_tiles int")
+
+
+def _key(text_col: str) -> Column:
+    """128 bits for each text, null for none."""
+    return F.unhex(F.md5(F.col(text_col).cast("string")))
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """Texts that are equal have one key, so that copies are seeded and tiled once."""
-    return docs.select(F.sha2(F.col(text_col).cast("string"), 256).alias("key"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return docs.select(_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, log2_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +215,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: fl
     """
     found = materialize(covered(_keyed(docs, text_col), benchmark, least, threshold, log2_bits), "covered-items")
     named = found.join(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")), "item").select("key", "item_id", "coverage", "n_tiles")
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col).cast("string"), 256).alias("key"))
+    ids = docs.select(F.col(id_col).alias("doc_id"), _key(text_col).alias("key"))
     return ids.join(named, "key").select("doc_id", "item_id", "coverage", "n_tiles")
 
 
@@ -218,6 +223,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, thr
     """The rows of ``docs`` that give no benchmark item away, by the rule of ``matches``; all columns kept."""
     found = materialize(covered(_keyed(docs, "text"), benchmark, least, threshold, log2_bits).select("key").distinct(), "contaminated")
     # The planner broadcasts the keys where their files are small, and sorts both sides where they are not.
-    own = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+    own = F.coalesce(_key("text"), F.lit(b""))
     mark = spare_name(docs, "_contaminated")
     return docs.join(found.withColumnRenamed("key", mark), own == F.col(mark), "left_anti")
