@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.common import materialize, slices
-from tidewater.llm.tokens import with_end, word_tokenizer
+from tidewater.llm.tokens import ENCODE_BYTES, with_end, word_tokenizer
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
         shard = TaskContext.get().partitionId()
         turns = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 ids, offsets = with_end(*tokenizer.encode(part.column("text")), end_id)
                 sizes = np.diff(offsets)
                 n = -(-sizes // capacity)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidewater.llm.common import materialize, new_path, slices
 from tidewater.llm.files import new_file, old_file
-from tidewater.llm.tokens import with_end, word_tokenizer
+from tidewater.llm.tokens import ENCODE_BYTES, with_end, word_tokenizer
 
 
 def sequence_schema(length: int, vocabulary: int) -> pa.Schema:
@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             writer = SequenceWriter(sink, length, per_batch, tokenizer.tokenizer.get_vocab_size())
             index = pa.ipc.new_file(index_sink, INDEX)
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", ENCODE_BYTES):
                     ids, offsets = with_end(*tokenizer.encode(part.column("text")), end_id)
                     index.write_batch(pa.record_batch([part.column("doc_id"), pa.array(offsets[:-1] + writer.total), pa.array(np.diff(offsets))], schema=INDEX))
                     if not n_docs:

@@ -17,6 +17,8 @@ import pyarrow as pa
 
 from tidewater.llm.common import byte_view, gather
 
+#: Text to encode at once, in bytes: a longer slice has fewer distinct words to look up for its length.
+ENCODE_BYTES = 1 << 22
 _PUNCTUATION = [i for i in range(0x21, 0x7F) if not chr(i).isalnum() and chr(i) != "'"]
 #: Bytes that surely start no white space: printable ASCII, and lead bytes other than those of Unicode spaces.
 _WORD = np.zeros(256, dtype=bool)
