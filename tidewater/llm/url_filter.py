@@ -69,15 +69,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def gram_buckets(text: Column, training: Training) -> Column:
     """Distinct buckets of the character n-grams of a text; a shorter text has none."""
     k = training.gram
-    # The positional hash uses code points, so that any SQL engine computes the same buckets.
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: _hash(text, i, training))
+    # One pass cuts the text into characters; ``array(x)`` binds their codes to a name, so that each gram looks its characters up in place.
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    grams = F.get(F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: _hash(c, i, training))), F.lit(0))
     return F.when(F.length(text) >= k, F.array_distinct(grams)).otherwise(F.array().cast("array<int>"))
 
 
-def _hash(text: Column, at: Column, training: Training) -> Column:
+def _hash(codes: Column, at: Column, training: Training) -> Column:
+    """The positional hash uses code points, so that any SQL engine computes the same buckets."""
     total = F.lit(0)
     for j in range(training.gram):
-        total = total * 31 + F.ascii(F.substring(text, at + j, F.lit(1)))
+        total = total * 31 + F.get(codes, at + j)
     return F.pmod(total, F.lit(training.buckets)).cast("int")
 
 
