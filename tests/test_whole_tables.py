@@ -18,7 +18,7 @@ ROWS = {
 
 @pytest.mark.parametrize("name", sorted(ROWS))
 def test_query_reads_every_row(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() == duckdb.sql(ROWS[name].format(SF)).fetchone()[0]
+    assert registry.QUERIES[name](spark, SF).count() == duckdb.connect().execute(ROWS[name].format(SF)).fetchone()[0]
 
 
 def test_account_values_hold_every_line(spark):
