@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_text_operators import brute_lines, brute_matches, shingles
-from tidewater.llm import quality, simhash_dedup
+from tests.llm.test_text_operators import brute_lines, brute_matches, kept_by, shingles
+from tidewater.llm import quality
 
 GOOD = "The quiet harbour lay under a pale sky and the boats came home with the tide."
 
@@ -65,17 +65,12 @@ def test_stages_match_brute_force(spark, tables):
     assert sum(kept[ids[i]] == want[i] for i in lone) >= len(lone) - 3
 
     single = stages["simhash_near_dedup"](spark, lined, tables)
-    texts = [(i, t) for i, t in after]
-    marks = {t: m for t, m in zip([t for _, t in texts], [r.fp for r in sorted(simhash_dedup.fingerprints(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string"), words=5).collect(), key=lambda r: r.doc_id)], strict=True)}
-    groups = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            x, y = texts[a][1], texts[b][1]
-            sx, sy = shingles(x), shingles(y)
-            if marks[x] == marks[y] or ((marks[x] ^ marks[y]) % (1 << 64)).bit_count() <= 6 and len(sx & sy) >= 0.8 * len(sx | sy):
-                old, new = groups[a], groups[b]
-                groups = [new if g == old else g for g in groups]
-    assert single.columns == names and single.count() == len(set(groups))
+    texts = [t for _, t in after]
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    sets = [shingles(t) for t in texts]
+    # Of this set every pair over the threshold is found: the groups are those of the shingles alone.
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(sets[a], sets[b])]
+    assert links and single.columns == names and single.count() == len(kept_by(links, len(texts)))
 
     clean = stages["decontamination"](spark, single, tables)
     left = rows_of(single)

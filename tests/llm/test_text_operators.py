@@ -80,7 +80,7 @@ def test_pivot_filter_drops_no_link():
     fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     both = np.unique(np.concatenate([fps, fps ^ np.uint64(0b1011)]))
     table = simhash_dedup.pivot_table(both, simhash_dedup.pivots(16))
-    a, b = simhash_dedup.bucket_links(both, table, np.full(len(both), len(both)), 4)
+    _, a, b = simhash_dedup.bucket_links(both, table, np.full(len(both), len(both)), 4)
     linked = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
     assert {frozenset((int(x), int(x) ^ 0b1011)) for x in fps} <= linked
 
@@ -123,32 +123,71 @@ def shingles(text):
     return {" ".join(found[i : i + 5]) for i in range(len(found) - 4)} or {" ".join(found)} - {""}
 
 
-def test_keep_one_matches_brute_force(spark):
-    """Groups by distance and by similarity of shingles; a pair near in bits alone does not link."""
+def links_by_brute_force(spark, texts):
+    """Pairs of texts of which a fingerprint is within 4 bits and that share 0.8 of their distinct shingles."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    marks = {r.row: np.array(r.fps, dtype=np.int64) for r in simhash_dedup.digests_and_prints(rows, 5, 42, 8).collect()}
+    sets = [shingles(t) for t in texts]
+    near = lambda i, j: (np.bitwise_count(marks[i] ^ marks[j]) <= 4).any()
+    return [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near(i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+def kept_by(links, n):
+    root = list(range(n))
+    for i, j in sorted(links):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def kept_ids(spark, texts, **options):
+    return sorted(r.doc_id for r in simhash_dedup.keep_one(documents(spark, texts), **options).collect())
+
+
+def replaced(rng, text, n):
+    found = text.split()
+    for i in rng.sample(range(len(found)), n):
+        found[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(found)
+
+
+@pytest.mark.parametrize("limit", [32, 1024])
+def test_keep_one_matches_brute_force(spark, limit):
+    """Groups by distance and by similarity of shingles, with copies around the threshold, whatever the size of a bucket."""
     rng = random.Random(4)
     base = [words(rng, 400) for _ in range(6)]
-    texts = ODD[:6] + base + [b + " " + words(rng, k) for b in base for k in (1, 3, 9)] + [" ".join(w if i % 90 else "zz" for i, w in enumerate(b.split())) for b in base]
-    marks = {r.doc_id: r.fp % (1 << 64) for r in simhash_dedup.fingerprints(documents(spark, texts), words=5).collect()}
-    root = list(range(len(texts)))
+    texts = ODD[:6] + base + [b + " " + words(rng, k) for b in base for k in (1, 3, 9)] + [replaced(rng, b, k) for b in base for k in (1, 4, 7, 9, 11, 14) for _ in range(3)]
+    found = links_by_brute_force(spark, texts)
+    assert len(found) > 100 and kept_ids(spark, texts, bucket_limit=limit) == kept_by(found, len(texts))
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    linked = 0
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        a, b = shingles(texts[i]), shingles(texts[j])
-        if marks[i] == marks[j] or (marks[i] ^ marks[j]).bit_count() <= 6 and len(a & b) >= 0.8 * len(a | b):
-            linked += 1
-            x, y = sorted((find(i), find(j)))
-            root[y] = x
-    kept = simhash_dedup.keep_one(documents(spark, texts))
-    assert linked > 10 and sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
-    strangers = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
-    named = spark.createDataFrame([(i, f"k{i}") for i in (1, 2, 3, 4)], "fp long, key string")
-    both = spark.createDataFrame([("k1", base[0]), ("k2", base[1]), ("k3", base[2]), ("k4", base[2] + " x")], "key string, text string")
-    assert [tuple(r) for r in simhash_dedup.similar_links(strangers, named, both, 5, 42, 0.8).collect()] == [(3, 4)]
+def test_keep_one_leaves_unlike_texts_under_a_dominant_line(spark):
+    """A line that makes up most of a text does not make two texts alike."""
+    rng = random.Random(8)
+    texts = ["menu of the day " * 120 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(20)]
+    assert kept_ids(spark, texts) == list(range(20))
+
+
+def test_keep_one_loses_no_link_that_others_stood_for(spark):
+    """A and B, A and C are near in bits but unlike; B and C are alike, and one of them goes. Every pair is a candidate here."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = a[:140] + [f"b{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(a), " ".join(b), " ".join([*b, "end"])]
+    want = sorted(set(range(36)) - set(range(2, 36, 3)))
+    assert kept_ids(spark, texts) == want
+    # With a wide bound the buckets are spanned by pairs that mostly fail; what they stood for is found all the same.
+    assert kept_ids(spark, texts, max_bits=24, prints=1, bucket_limit=1 << 26) == want
+
+
+def test_cross_pairs_are_all_pairs_once(spark):
+    rows = [(0, 1, 2, fp, node, node % 3) for node, fp in enumerate([0, 1, 3, 255, 7, 1 << 40, 0, 2, 6, 4])]
+    members = spark.createDataFrame(rows, "slot int, mask long, key long, fp long, node long, label long")
+    want = sorted((x[4], y[4]) for x, y in itertools.combinations(rows, 2) if (x[3] ^ y[3]).bit_count() <= 2 and x[5] != y[5])
+    for limit in (2, 3, 100):
+        assert sorted(tuple(r) for r in simhash_dedup.cross_pairs(members, 2, limit).collect()) == want
 
 
 def test_keep_one(spark):
