@@ -273,3 +273,10 @@ def test_url_edge_cases(spark):
 def test_url_plan_has_no_python(spark):
     plan = queries.op2_url_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_url_filter_leaves_other_columns_alone(spark):
+    """Columns of any name stay, but for those that the operator gives; the url may have any name."""
+    pages = spark.createDataFrame([(1, "http://news.example.com/en/1", 7, "u")], "page_id int, address string, _by_rule int, url string")
+    row = url_filter.judge(pages, url_filter.labelled_urls(spark), url_col="address").first()
+    assert (row["_by_rule"], row["url"], row["address"], row["host"]) == (7, "u", "http://news.example.com/en/1", "news.example.com")

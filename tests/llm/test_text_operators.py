@@ -228,6 +228,42 @@ def test_exact_dedup(spark, batches):
     assert index.compact(index.path + "-compact").read().exceptAll(index.read()).count() == 0
 
 
+class Died(Exception):
+    pass
+
+
+def test_exact_dedup_is_safe_to_repeat(spark, monkeypatch):
+    """A call that dies between ranges, and one that is done again after it has finished, keep every text once."""
+    texts = [f"text {i % 10}" for i in range(20)]
+    docs, index = documents(spark, texts), exact_dedup.new_index(spark, 20)
+    exact_dedup.exact_duplicates(documents(spark, ["text 3"], [100]), index, run="before").collect()
+    add, calls = exact_dedup.DigestIndex.add, []
+
+    def dying(self, *args):
+        if len(calls) == 1:
+            raise Died
+        calls.append(1)
+        return add(self, *args)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", dying)
+    with pytest.raises(Died):
+        exact_dedup.exact_duplicates(docs, index, run="today")
+    monkeypatch.undo()
+    assert sorted(r.keep_id for r in index.read().collect()) == [100]
+    kept = lambda run: sorted(r.doc_id for r in exact_dedup.exact_duplicates(docs, index, run=run).filter("kept").collect())
+    want = [i for i in range(10, 20) if i != 13]
+    assert kept("today") == want and kept("today") == want
+    later = documents(spark, ["text 1", "own"], [200, 201])
+    found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(later, index, run="later").collect()}
+    assert found == {200: (11, False), 201: (201, True)}
+    # The earlier run, once more: what it brought in first is still its own.
+    assert kept("today") == want and kept(None) == []
+    other = index.compact(index.path + "-compact")
+    assert other.read().count() == index.read().count() == 11
+    found = exact_dedup.exact_duplicates(later, other, run="later").filter("kept").collect()
+    assert [r.doc_id for r in found] == [201]
+
+
 def test_exact_dedup_null_and_repeated_ids(spark):
     docs = documents(spark, ["a", "a", "b", "b", "c", "c", None], [None, 3, None, None, 5, 5, 4]).withColumn("digest", F.lit("clash")).withColumn("keep_id", F.lit(0))
     found = sorted(((r.text_sha256, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, exact_dedup.new_index(spark, 10)).collect()), key=repr)

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import spare_name
+
 #: Rules of the production list: (verdict, host and path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -135,9 +137,10 @@ def judge(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules=RUL
     any other. Ties at the threshold are blocked. Columns of ``pages`` with one of the new names are replaced.
     """
     weights = train(labelled, training)
-    host, path = split_url(F.col("url"))
-    split = pages.withColumn("url", F.col(url_col)).withColumns({"host": host, "path": path})
+    host, path = split_url(F.col(url_col))
+    by_rule = spare_name(pages, "_by_rule")
+    split = pages.withColumns({"host": host, "path": path})
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    scored = split.withColumns({"rule": rule, "block_score": score(F.col("host"), F.col("path"), weights, training), "_by_rule": verdict})
+    scored = split.withColumns({"rule": rule, "block_score": score(F.col("host"), F.col("path"), weights, training), by_rule: verdict})
     by_model = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce("_by_rule", by_model)).drop("_by_rule")
+    return scored.withColumn("verdict", F.coalesce(by_rule, by_model)).drop(by_rule)
