@@ -11,7 +11,7 @@ from tidewater.llm.common import materialize
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Columns ``a`` and ``b`` of ``edges`` (64-bit ids) -> ``node``, ``root`` (the smallest id reachable).
 
-    Alternates the public large-star and small-star steps until a round changes nothing. Both keep
+    Alternates the public large-star and small-star steps until every node has one link, to a node that has none. Both keep
     at most one row per link; each round is written to the shared folder. Nodes without links are absent.
     """
     links = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
@@ -24,11 +24,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        small = materialize(small, "links")
-        changed = small.select("u", "v").exceptAll(links.select("u", "v")).limit(1).count()
-        same_size = changed == 0 and small.count() == links.count()
-        links = small
-        if same_size:
+        links = materialize(small, "links")
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 OR up = 1 AND root = 1").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -335,10 +335,6 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, seed: int, sim
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _labels(verified: DataFrame) -> DataFrame:
-    return materialize(connected_components(verified), "simhash-labels")
-
-
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (``a``, ``b`` and more) whose ends have not the same label; a node without a label is its own."""
     own = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -383,35 +379,25 @@ def text_groups(nodes: DataFrame, text_of: Callable[[DataFrame], DataFrame], wor
     ``nodes``: ``node``, ``fps``. A link stands between two texts of which some fingerprint is within ``max_bits`` and which share
     ``similarity`` of their distinct shingles; no other link is made, and none is lost:
 
-    1. Each text of a fingerprint is paired with the smallest one, and each bucket of fingerprints is spanned.
-    2. In a group of such pairs each text is held against the group's root, then the pairs between texts that this leaves apart.
-    3. Where a pair failed and leaves its ends apart, it may have stood for others: all pairs of those buckets and
-       fingerprints between texts that are still apart are held against each other.
+    1. Each text of a fingerprint is paired with the smallest one, and each bucket of fingerprints is spanned; the pairs are held against the texts.
+    2. Where a pair failed and its ends are still apart, it may have stood for others: all pairs of that bucket or
+       fingerprint between texts that are still apart are held against each other.
     """
     slots = materialize(nodes.select("node", F.posexplode("fps").alias("slot", "fp")), "simhash-slots")
     groups = materialize(slots.groupBy("slot", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "simhash-fps")
     parts = buckets(groups, max_bits, n_pivots, bucket_limit)
-    spans = materialize(reduce(DataFrame.unionByName, (_bucket_links(p, n_pivots, max_bits) for p in parts)), "simhash-links")
+    spans = reduce(DataFrame.unionByName, (_bucket_links(p, n_pivots, max_bits) for p in parts))
     rep = lambda c: groups.select("slot", F.col("fp").alias(f"{c}_fp"), F.col("rep").alias(c))
     spans = spans.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(rep("a"), ["slot", "a_fp"]).join(rep("b"), ["slot", "b_fp"]).filter("a <> b").select("slot", "mask", "key", "a", "b")
     same = slots.join(groups.filter("n > 1").select("slot", "fp", "rep"), ["slot", "fp"]).filter("node <> rep")
     # A fingerprint is a bucket that agrees on all bits.
     same = same.select("slot", F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("key"), F.col("rep").alias("a"), F.col("node").alias("b"))
-    found = materialize(spans.unionByName(same), "simhash-candidates")
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    reach = _labels(pairs)
-    check = lambda p, texts, name: materialize(similar_pairs(p, texts, words, seed, similarity), name)
-    texts = materialize(text_of(reach.select("node").unionByName(reach.select(F.col("root").alias("node"))).distinct()), "simhash-texts")
-    # Every node of a group is held against its root, the smallest.
-    stars = reach.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    verified = check(stars, texts, "simhash-stars")
-    labels = materialize(verified.select(F.col("b").alias("node"), F.col("a").alias("root")), "simhash-labels")
-    open_ = materialize(_apart(pairs, labels).join(stars, ["a", "b"], "left_anti"), "simhash-open")
-    verified = verified.unionByName(check(open_, texts, "simhash-verified"))
-    labels = _labels(verified)
+    found = spans.unionByName(same).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    found = materialize(found, "simhash-candidates")
+    pairs = materialize(found.select("a", "b").distinct(), "simhash-pairs")
+    verified = _held(pairs, text_of, words, seed, similarity)
+    labels = materialize(connected_components(verified), "simhash-labels")
     failed = materialize(_apart(found, labels), "simhash-failed")
-    if failed.isEmpty():
-        return labels
     cut = ["slot", "mask", "key"]
     bad_fps = failed.filter("mask = -1").select("slot", F.col("key").alias("fp")).distinct()
     wanted = failed.select(*cut)
@@ -422,13 +408,18 @@ def text_groups(nodes: DataFrame, text_of: Callable[[DataFrame], DataFrame], wor
     for part in parts:
         rows = rows.unionByName(part.join(wanted, cut, "left_semi").select(*cut, "fp"))
     members = rows.join(slots, ["slot", "fp"]).join(labels, "node", "left").select(*cut, "fp", "node", F.coalesce("root", "node").alias("label"))
-    tried = stars.unionByName(open_.select("a", "b"))
-    more = materialize(cross_pairs(materialize(members, "simhash-members"), max_bits).join(tried, ["a", "b"], "left_anti"), "simhash-more")
-    if more.isEmpty():
+    more = materialize(cross_pairs(materialize(members, "simhash-members"), max_bits).join(pairs, ["a", "b"], "left_anti"), "simhash-more")
+    late = _held(more, text_of, words, seed, similarity)
+    if late.isEmpty():
         return labels
-    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    return materialize(connected_components(verified.unionByName(late)), "simhash-labels")
+
+
+def _held(pairs: DataFrame, text_of: Callable[[DataFrame], DataFrame], words: int, seed: int, similarity: float) -> DataFrame:
+    """The ``pairs`` that their texts bear out, written."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = materialize(text_of(ends), "simhash-texts")
-    return _labels(verified.unionByName(check(more, texts, "simhash-last")))
+    return materialize(similar_pairs(pairs, texts, words, seed, similarity), "simhash-verified")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, max_bits: int = 4, similarity: float = 0.8, prints: int = 8, n_pivots: int = 16, bucket_limit: int = 1024) -> DataFrame:
@@ -446,7 +437,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     distinct = materialize(distinct.select("node", "least", "fps"), "simhash-distinct")
 
     def text_of(some: DataFrame) -> DataFrame:
-        keys = materialize(distinct.join(some, "node", "left_semi").select("node", F.col("least.key").alias("key")), "simhash-named")
+        keys = materialize(distinct.select("node", F.col("least.key").alias("key")).join(some, "node", "left_semi"), "simhash-named")
         # The planner broadcasts the keys where their files are small. Rows of one key have one text, so any of them will do.
         keyed = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
         return keyed.join(keys, "key").select("node", "text").dropDuplicates(["node"])
