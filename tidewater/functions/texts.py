@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,34 +14,52 @@ ARCHIVED_WORDS = ("utgått", "utgatt", "utgaatt", "historisk", "avsluttet", "ark
 CURRENT_WORDS = ("gjeldende", "gjeldande", "kommende", "current")
 
 # Words for the hemispheres, and for degrees and minutes, in notices.
-HEMISPHERE_WORDS = {"lat": ("Nord", "Sør", "Sor"), "lon": ("Øst", "Vest", "Aust")}
+NORTH_SOUTH, EAST, WEST, EAST_NEW = ("nord", "sør", "sor"), "øst", "vest", "aust"
 DEGREE_WORD, MINUTE_WORD = "grader", "minutter"
 
-
-def _form(lat: str, lon: str, between: str) -> str:
-    return "(?i)" + lat + between + lon
-
-
-def _number(digits: str) -> str:
-    return rf"({digits})\s*"
-
-
-_DEGREES, _DECIMAL = _number(r"\d{1,3}"), _number(r"\d+(?:[.,]\d*)?")
-_MINUTE_MARK, _SECOND_MARK = r"['°]\s*", r"\"\s*"
-_NORTH, _EAST = "([NS])", "([EØW])"
-_WORDS = {axis: f"({'|'.join(words)})" for axis, words in HEMISPHERE_WORDS.items()}
-_SPELLED = {axis: rf"{words}\s+{_DEGREES}{DEGREE_WORD}[.,]?\s+{_DECIMAL}{MINUTE_WORD}" for axis, words in _WORDS.items()}
-_WITH_SECONDS = rf"{_DEGREES}°\s*{_DEGREES}'\s*{_DECIMAL}{_SECOND_MARK}"
-_WITH_MINUTES = rf"{_DEGREES}°\s*{_DECIMAL}{_MINUTE_MARK}"
-#: Written forms of a coordinate pair, from the most to the least exact.
-GRAMMARS = {
-    "dms": _form(_WITH_SECONDS + _NORTH, _WITH_SECONDS + _EAST, r"\s+"),
-    "long": _form(_SPELLED["lat"], _SPELLED["lon"], r"[.,]?\s+"),
-    "symbol": _form(_WITH_MINUTES + _NORTH, _WITH_MINUTES + _EAST, r"\s+"),
-    "compact": _form(r"(\d{2})" + _number(r"\d{2}") + _NORTH, r"(\d{2,3})" + _number(r"\d{2}") + "([EWVØ])", r"\s*-\s*"),
+#: A text falls into white space, numbers, words and single signs.
+TOKEN = r"(?s)\s+|\d+(?:[.,]\d*)?|\p{L}+|."
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a text that count, each with its kind, a letter.
+
+    Numbers: ``n`` whole with up to three figures, ``k`` with four, ``l`` with five, ``f`` any other; upper case after white space. Words: ``y``
+    the letter of a latitude, ``P`` its word, ``O`` ``W`` ``A`` the words of a longitude, ``x`` another word that begins like one (``v`` with
+    V), ``g`` degrees, ``u`` minutes. Signs: ``d`` degrees, ``m`` minutes, ``s`` seconds, ``-``. Anything else is ``_``. White space goes, and so does
+    a comma or stop after a unit that is written out.
+    """
+    every = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+    def number(t: Column, spaced: Column) -> Column:
+        whole = t.rlike("^[0-9]+$")
+        kind = F.when(whole & (F.length(t) <= 3), "n").when(whole & (F.length(t) == 4), "k").when(whole & (F.length(t) == 5), "l").otherwise("f")
+        return F.when(spaced, F.upper(kind)).otherwise(kind)
+
+    def kind(t: Column, i: Column) -> Column:
+        low, first = F.lower(t), F.substring(F.lower(t), 1, 1)
+        spaced = F.coalesce(F.get(every, i - 1).rlike(r"^\s"), F.lit(True))
+        signs = F.element_at(F.create_map(*[F.lit(c) for c in "°d'm\"s--"]), t)
+        return (
+            F.when(t.rlike(r"^\s"), " ").when(t.rlike(r"^\d"), number(t, spaced)).when(low.isin("n", "s"), "y").when(low.isin(*NORTH_SOUTH), "P")
+            .when(low == EAST, "O").when(low == WEST, "W").when(low == EAST_NEW, "A").when(low == DEGREE_WORD, "g").when(low == MINUTE_WORD, "u")
+            .when(first.isin("e", "ø", "w"), "x").when(first == "v", "v").when(t.isin(".", ","), ",").otherwise(F.coalesce(signs, F.lit("_")))
+        )
+
+    kinds = F.filter(F.transform(every, lambda t, i: F.struct(kind(t, i).alias("kind"), t.alias("text"))), lambda t: t["kind"] != " ")
+    after_unit = lambda t, i: (t["kind"] == ",") & F.coalesce(F.get(kinds, i - 1)["kind"].isin("g", "u"), F.lit(False))
+    return F.filter(kinds, lambda t, i: ~after_unit(t, i))
+
+
+_ANY = "[nklfNKLF]"
+#: Written forms of a pair, from the most to the least exact, as kinds of tokens: a latitude and a longitude, each with the places of its
+#: degrees, minutes, seconds and hemisphere (in the compact form one number holds degrees and minutes).
+FORMS = {
+    "dms": (("[nN]", "d", "[nN]", "m", _ANY, "s", "y"), ("N", "d", "[nN]", "m", _ANY, "s", "[xO]"), (0, 2, 4, 6)),
+    "long": (("P", "N", "g", "[NKLF]", "u"), ("[OWA]", "N", "g", "[NKLF]", "u"), (1, 3, None, 0)),
+    "symbol": (("[nN]", "d", _ANY, "[md]", "y"), ("N", "d", _ANY, "[md]", "[xO]"), (0, 2, None, 4)),
+    "compact": (("[kK]", "y", "-"), ("[kKlL]", "[xOvW]"), (0, 0, None, 1)),
 }
-#: Groups of degrees, minutes, seconds and hemisphere of latitude and of longitude in each form.
-_GROUPS = {"dms": ((1, 2, 3, 4), (5, 6, 7, 8)), "long": ((2, 3, None, 1), (5, 6, None, 4)), "symbol": ((1, 2, None, 3), (4, 5, None, 6)), "compact": ((1, 2, None, 3), (4, 5, None, 6))}
 #: The words after which a notice says how it reads as a whole.
 CONSOLIDATED = r"(?is)^.*?forskriften lyder etter dette\s*:"
 
@@ -49,28 +69,43 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "‘’ʼ“”–— ", "'''\"\"-- "), "\r\n", "\n")
 
 
-def _degrees(match: Column, pattern: str, groups: tuple) -> Column:
-    part = lambda i: F.regexp_replace(F.regexp_extract(match, pattern, i), ",", ".").try_cast("double")
-    degrees, minutes, seconds, hemisphere = groups
-    value = part(degrees) + part(minutes) / 60
+def _degrees(found: Column, start: Column, places: tuple) -> Column:
+    text = lambda i: F.get(found, start + i)["text"]
+    number = lambda t: F.replace(t, F.lit(","), F.lit(".")).try_cast("double")
+    degrees, minutes, seconds, hemisphere = places
+    if degrees == minutes:
+        figures = text(degrees)
+        value = number(F.substring(figures, F.lit(1), F.length(figures) - 2)) + number(F.right(figures, F.lit(2))) / 60
+    else:
+        value = number(text(degrees)) + number(text(minutes)) / 60
     if seconds:
-        value = value + part(seconds) / 3600
-    negative = F.upper(F.substring(F.regexp_extract(match, pattern, hemisphere), 1, 1)).isin("S", "W", "V")
+        value = value + number(text(seconds)) / 3600
+    negative = F.lower(F.substring(text(hemisphere), 1, 1)).isin("s", "w", "v")
     return F.when(negative, -value).otherwise(value)
 
 
-def coordinates(text: Column, grammar: str) -> Column:
+def _points(found: Column, form: str) -> Column:
+    lat, lon, places = FORMS[form]
+    size, shape = len(lat) + len(lon), "^" + "".join(lat + lon) + "$"
+    kinds = F.array_join(F.transform(found, lambda t: t["kind"]), "")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(kinds) - size, F.lit(0))), lambda i: F.substring(kinds, i + 1, F.lit(size)).rlike(shape))
+    points = F.transform(starts, lambda i: F.struct(_degrees(found, i, places).alias("lat"), _degrees(found, i + len(lat), places).alias("lon")))
+    return F.when(found.isNotNull(), F.filter(points, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def coordinates(text: Column, form: str) -> Column:
     """Points (lat, lon) of all pairs of a written form in a text, in order; what is out of bounds or no number is left out."""
-    pattern = GRAMMARS[grammar]
-    lat, lon = _GROUPS[grammar]
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(_degrees(m, pattern, lat).alias("lat"), _degrees(m, pattern, lon).alias("lon")))
-    return F.filter(found, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
+    return _bound(tokens(text), lambda found: _points(found, form))
 
 
 def all_coordinates(text: Column) -> Column:
     """Points of all forms, form by form, near repeats (1e-4 degrees) left out: the first form's point stays."""
-    plain = normalized(text)
-    points = F.concat(*[coordinates(plain, g) for g in GRAMMARS])
+    points = _bound(tokens(normalized(text)), lambda found: F.concat(*[_points(found, form) for form in FORMS]))
     return geo.without_near_repeats(points)
 
 

@@ -90,51 +90,99 @@ def geo_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "supplier").select(key.alias("id"), geo.feature_collection(F.array(full, empty)).alias("geojson"))
 
 
-_TRIANGLE = "list_sort([{'lon': p.lon, 'lat': p.lat} FOR p IN points])"
-_TURN = "(t[2].lon - t[1].lon) * (t[3].lat - t[1].lat) - (t[2].lat - t[1].lat) * (t[3].lon - t[1].lon)"
+#: Point sets around the first vertex of each closure: 3 to 8 corners on an oval, and points within, out of order.
+_OVAL = "[{{'lat': lat + r * sin(radians({0} * i + turn)) / 2, 'lon': lon + r * cos(radians({0} * i + turn))}} FOR i IN range(0, {1})]"
+_SPREAD = """o AS (SELECT jm_number AS id, points[1].lat AS lat, points[1].lon AS lon, (key % 40 + 1) / 10e0 AS r, key % 72 AS turn, 3 + key % 6 AS k FROM (SELECT *, split_part(jm_number, '-', 2)::BIGINT AS key FROM {0}))"""
 
 
-@query("geo_12", _CLOSURE + f", s AS (SELECT jm_number, {_TRIANGLE} AS t FROM closure) SELECT jm_number, 3 AS corners, round(abs({_TURN}) / 2, 6) AS area FROM s WHERE abs({_TURN}) > 1e-9")
-def geo_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Convex hulls of closures' vertices and of a point among them; only hulls that are polygons."""
-    mean = geo.centroid_of(F.col("points"))
-    hulls = B.closures(spark, sf_dir).select("jm_number", A.convex_hull(F.array_append("points", mean)).alias("hull"))
-    area = F.round(geo.ring_area_deg2(F.col("hull")), 6)
-    return hulls.filter("hull IS NOT NULL").select("jm_number", F.size("hull").alias("corners"), area.alias("area")).filter("area > 1e-9")
+def _spread(closures: DataFrame) -> DataFrame:
+    key = F.substring_index("jm_number", "-", -1).cast("long")
+    c = closures.withColumns({"first": F.get("points", F.lit(0)), "r": (key % 40 + 1) / F.lit(10.0), "turn": key % 72, "k": (key % 6 + 3).cast("int")})
 
+    def around(r, every, count):
+        at = lambda i: F.radians(i * every + F.col("turn"))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((F.col("first.lat") + r * F.sin(at(i)) / 2).alias("lat"), (F.col("first.lon") + r * F.cos(at(i))).alias("lon")))
 
-def _tile_sql(p: str, z: int, x: int, y: int) -> str:
-    x0, y0, x1, y1 = A.tile_bounds(z, x, y)
-    return f"{{'x': round((radians({p}.lon) * 6378137e0 - ({x0!r}::DOUBLE)) / {x1 - x0!r}::DOUBLE * 4096)::INTEGER, 'y': round(({y1!r}::DOUBLE - ln(tan(radians({p}.lat) / 2 + 0.7853981633974483e0)) * 6378137e0) / {y1 - y0!r}::DOUBLE * 4096)::INTEGER}}"
+    corners = around(F.col("r"), F.lit(360.0) / F.col("k"), F.col("k"))
+    within = around(F.col("r") / 4, F.lit(50), F.lit(7))
+    return c.withColumn("points", F.concat(F.slice(corners, 2, 8), within, F.slice(corners, 1, 1)))
 
 
-_CUT = "[q FOR q IN [{0}] IF q.x BETWEEN -64 AND 4160 AND q.y BETWEEN -64 AND 4160]"
+_ROUND = _OVAL.format("360e0 / k", "k")
 
 
-@query("geo_14", _CLOSURE + ", q AS (SELECT jm_number, " + _CUT.format(_tile_sql("p", 4, 7, 4) + " FOR p IN points") + " AS q FROM closure) SELECT jm_number, len(q) AS n, q[1].x AS x, q[1].y AS y FROM q")
+@query("geo_12", _CLOSURE + ", " + _SPREAD.format("closure") + f", h AS (SELECT id, k, {_ROUND} AS p FROM o) SELECT id AS jm_number, k::INTEGER AS corners, round(list_sum([p[i].lon * p[i % k + 1].lat - p[i % k + 1].lon * p[i].lat FOR i IN range(1, k + 1)]) / 2, 6) AS area FROM h")
+def geo_12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convex hulls of point sets: number of corners and area."""
+    c = _spread(B.closures(spark, sf_dir)).select("jm_number", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
+    return c.select("jm_number", F.size("hull").alias("corners"), F.round(geo.ring_area_deg2(F.col("hull")), 6).alias("area"))
+
+
+def _clip_sql(rings: str, z: int) -> str:
+    """Clipping of convex rings, by another road: the corners of the part inside are the ring's corners within the square, the square's
+    corners within the ring, and the crossings of their sides; sorted around their middle. ``rings``: id, tx, ty, ring (of lat, lon)."""
+    half, size = repr(A.HALF_WORLD), repr(2 * A.HALF_WORLD / (1 << z))
+    x = f"(radians(p.lon) * 6378137e0 + {half} - tx * {size}) / {size} * 4096"
+    y = f"({half} - ty * {size} - ln(tan(radians(p.lat) / 2 + 0.7853981633974483e0)) * 6378137e0) / {size} * 4096"
+    return f"""rings AS ({rings}), u AS (SELECT id, [{{'x': {x}, 'y': {y}}} FOR p IN ring] AS r FROM rings),
+e AS (SELECT id, r[i] AS a, r[i % len(r) + 1] AS b FROM u, unnest(range(1, len(r) + 1)) AS t(i)),
+side AS (SELECT * FROM (VALUES (-64e0), (4160e0)) AS t(cut)),
+corner AS (SELECT s.cut AS x, t.cut AS y FROM side s, side t),
+k AS (
+  SELECT id, a.x AS x, a.y AS y FROM e WHERE a.x BETWEEN -64 AND 4160 AND a.y BETWEEN -64 AND 4160
+  UNION ALL SELECT id, cut, a.y + (b.y - a.y) * ((cut - a.x) / (b.x - a.x)) FROM e, side WHERE (a.x < cut) <> (b.x < cut) AND a.y + (b.y - a.y) * ((cut - a.x) / (b.x - a.x)) BETWEEN -64 AND 4160
+  UNION ALL SELECT id, a.x + (b.x - a.x) * ((cut - a.y) / (b.y - a.y)), cut FROM e, side WHERE (a.y < cut) <> (b.y < cut) AND a.x + (b.x - a.x) * ((cut - a.y) / (b.y - a.y)) BETWEEN -64 AND 4160
+  UNION ALL SELECT id, x, y FROM e, corner GROUP BY id, x, y HAVING bool_and((b.x - a.x) * (y - a.y) - (b.y - a.y) * (x - a.x) > 0) OR bool_and((b.x - a.x) * (y - a.y) - (b.y - a.y) * (x - a.x) < 0)),
+m AS (SELECT *, round(x)::INTEGER AS ix, round(y)::INTEGER AS iy, atan2(y - avg(y) OVER (PARTITION BY id), x - avg(x) OVER (PARTITION BY id)) AS angle FROM k),
+d AS (SELECT id, ix, iy, min(angle) AS angle FROM m GROUP BY id, ix, iy),
+n AS (SELECT id, ix, iy, count(*) OVER (PARTITION BY id) AS n, coalesce(lead(ix) OVER w, first_value(ix) OVER w) AS jx, coalesce(lead(iy) OVER w, first_value(iy) OVER w) AS jy FROM d WINDOW w AS (PARTITION BY id ORDER BY angle)),
+clip AS (SELECT id, any_value(n) AS n, sum(ix::BIGINT * jy - jx::BIGINT * iy)::BIGINT AS area2, string_agg(ix || ' ' || iy, ';' ORDER BY ix, iy) AS corners FROM n GROUP BY id HAVING any_value(n) >= 3 AND sum(ix::BIGINT * jy - jx::BIGINT * iy) <> 0)"""
+
+
+def _corner_text(ring: str):
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(ring)), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ";")
+
+
+@query("geo_14", _CLOSURE + ", " + _SPREAD.format("closure") + ", " + _clip_sql(f"SELECT id, floor((radians(lon) * 6378137e0 + {A.HALF_WORLD!r}) / {2 * A.HALF_WORLD / 256!r}) AS tx, floor(({A.HALF_WORLD!r} - ln(tan(radians(lat) / 2 + 0.7853981633974483e0)) * 6378137e0) / {2 * A.HALF_WORLD / 256!r}) AS ty, {_ROUND} AS ring FROM o", 8) + " SELECT id AS jm_number, n, area2, corners FROM clip")
 def geo_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices as whole coordinates of a tile, those outside its buffer left out."""
-    cut = B.closures(spark, sf_dir).select("jm_number", A.tile_points(F.col("points"), 4, 7, 4, distinct=False).alias("q"))
-    first = F.get("q", F.lit(0))
-    return cut.select("jm_number", F.size("q").alias("n"), first["x"].alias("x"), first["y"].alias("y"))
+    """Hulls, small and large, as the tile of their middle has them: inside it, over its edge, and around it."""
+    x, y = A.tile_of(F.col("first.lon"), F.col("first.lat"), 8)
+    cut = _spread(B.closures(spark, sf_dir)).select("jm_number", A.tile_ring(A.convex_hull("points"), 8, x, y).alias("ring")).filter("ring IS NOT NULL")
+    return cut.select("jm_number", F.size("ring").cast("long").alias("n"), A.turn(F.col("ring")).alias("area2"), _corner_text("ring").alias("corners"))
+
+
+#: Closures by another gate in SQL: a case of the same number with an official geometry where it looks.
+_GATE = """ptr AS (SELECT o_custkey AS case_id, max(o_orderkey) AS current_id, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS published_id FROM orders GROUP BY 1),
+vec AS (SELECT DISTINCT l_orderkey AS revision_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+open_closure AS (SELECT * FROM closure c WHERE NOT EXISTS (SELECT 1 FROM ptr p WHERE 'J-' || p.case_id = c.jm_number AND coalesce(c.region, 'NO') = 'NO' AND
+  ((p.published_id IS NULL AND p.current_id IN (SELECT revision_id FROM vec)) OR (p.published_id IS NOT NULL AND (p.published_id % 5 = 0 OR p.case_id % 11 = 0 OR p.published_id IN (SELECT revision_id FROM vec))))))"""
+
+
+def _open_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closures with a geometry that no case shows; a case's number is the customer's, its revisions are the customer's orders."""
+    r = B.revisions(spark, sf_dir).groupBy("case_id").agg(F.max("revision_id").alias("current_id"), F.max(F.when(F.col("status") == "F", F.col("revision_id"))).alias("published_id"))
+    cases = r.select(F.concat(F.lit("J-"), F.col("case_id").cast("string")).alias("source_ref"), "current_id", "published_id", F.when(F.col("published_id") % 5 == 0, 1).otherwise(2).alias("model_version"), (F.col("case_id") % 11 == 0).alias("metadata_only"))
+    vectors = B.validations(spark, sf_dir).filter(~F.col("passed") & (F.col("receipt") == 1)).select("revision_id")
+    return A.without_published(B.closures(spark, sf_dir).filter("has_geo"), cases, vectors)
+
+
+def _tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hulls = _spread(_open_closures(spark, sf_dir)).select("jm_number", "title", "status", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
+    return hulls.select("jm_number", "title", "status", A.tile_ring(F.col("hull"), 5, 15, 8).alias("corners")).filter("corners IS NOT NULL")
 
 
-@query("q_tile", _CLOSURE + f""", s AS (SELECT jm_number, title, {_TRIANGLE} AS t FROM closure WHERE has_geo),
-h AS (SELECT jm_number, title, CASE WHEN {_TURN} > 0 THEN [t[1], t[2], t[3]] ELSE [t[1], t[3], t[2]] END AS hull FROM s WHERE {_TURN} <> 0), q AS (SELECT jm_number, title, {_CUT.format(_tile_sql('p', 4, 7, 4) + ' FOR p IN hull')} AS q FROM h)
-SELECT jm_number, title, array_to_string([v.x || ' ' || v.y FOR v IN q], ';') AS corners FROM q WHERE len(q) > 0""")
+@query("q_tile", _CLOSURE + ", " + _GATE + ", " + _SPREAD.format("open_closure WHERE has_geo") + ", " + _clip_sql(f"SELECT id, 15 AS tx, 8 AS ty, {_ROUND} AS ring FROM o", 5) + " SELECT jm_number, title, status, n, area2, corners FROM clip JOIN closure ON jm_number = id")
 def q_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hulls of closures that meet a tile, in tile coordinates."""
-    c = B.closures(spark, sf_dir).filter("has_geo").select("jm_number", "title", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
-    tile = c.select("jm_number", "title", A.tile_points(F.col("hull"), 4, 7, 4, distinct=False).alias("corners")).filter(F.size("corners") > 0)
-    return tile.withColumn("corners", F.array_join(F.transform("corners", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ";"))
+    """Hulls of the closures that no case shows yet, clipped to a tile."""
+    tile = _tile_features(spark, sf_dir)
+    return tile.select("jm_number", "title", "status", F.size("corners").cast("long").alias("n"), A.turn(F.col("corners")).alias("area2"), _corner_text("corners").alias("corners"))
 
 
 @query("q_tile_mvt")
 def q_tile_mvt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hulls as the bytes of a vector tile; a decoder in the tests reads them back."""
-    c = B.closures(spark, sf_dir).filter("has_geo").select("jm_number", "title", A.convex_hull("points").alias("hull")).filter("hull IS NOT NULL")
-    tile = c.select(F.lit(4).alias("z"), F.lit(7).alias("x"), F.lit(4).alias("y"), "jm_number", "title", A.tile_points(F.col("hull"), 4, 7, 4).alias("corners"))
-    return tiles.encoded(tile, ["z", "x", "y"], ["jm_number", "title"], "closures")
+    tile = _tile_features(spark, sf_dir).select(F.lit(5).alias("z"), F.lit(15).alias("x"), F.lit(8).alias("y"), "jm_number", "title", "status", "corners")
+    return tiles.encoded(tile, ["z", "x", "y"], ["jm_number", "title", "status"], "jmelding-closures")
 
 
 _RING4 = "[{'lat': 0e0, 'lon': 0e0}, {'lat': (s_suppkey % 7)::DOUBLE, 'lon': 3e0}, {'lat': 4e0, 'lon': (s_suppkey % 5)::DOUBLE}, {'lat': (s_suppkey % 3)::DOUBLE, 'lon': 4e0}]"
