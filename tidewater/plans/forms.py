@@ -18,6 +18,7 @@ from tidewater.operators import catches as C
 from tidewater.operators import finance as N
 from tidewater.operators import fragments
 from tidewater.operators import sinks as S
+from tidewater.operators import spatial
 from tidewater.operators import tiles
 from tidewater.plans import ais, finance
 from tidewater.plans.base import query
@@ -151,6 +152,33 @@ def geo_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("jm_number", F.size("ring").cast("long").alias("n"), A.turn(F.col("ring")).alias("area2"), _corner_text("ring").alias("corners"))
 
 
+_WAITING = "w AS (SELECT s_suppkey AS place, 58 + s_suppkey * 37 % 1200 / 100e0 AS lat, -10 + s_suppkey * 61 % 2500 / 100e0 AS lon, (s_suppkey % 9 + 1) / 20e0 AS r, s_suppkey % 60 AS turn, 4 AS k FROM supplier)"
+
+
+@query("jn_17_shapes", _CLOSURE + ", " + _SPREAD.format("closure") + ", " + _WAITING + f""", a AS (SELECT id, {_ROUND} AS p, lat, lon, r FROM o), b AS (SELECT place, {_ROUND} AS q, lat, lon, r FROM w),
+near AS (SELECT * FROM a JOIN b ON abs(a.lat - b.lat) <= (a.r + b.r) / 2 AND abs(a.lon - b.lon) <= a.r + b.r)
+SELECT id AS jm_number, place FROM near WHERE
+  NOT list_bool_or([list_bool_and([(p[i % len(p) + 1].lon - p[i].lon) * (v.lat - p[i].lat) - (p[i % len(p) + 1].lat - p[i].lat) * (v.lon - p[i].lon) < 0 FOR v IN q]) FOR i IN range(1, len(p) + 1)])
+  AND NOT list_bool_or([list_bool_and([(q[i % len(q) + 1].lon - q[i].lon) * (v.lat - q[i].lat) - (q[i % len(q) + 1].lat - q[i].lat) * (v.lon - q[i].lon) < 0 FOR v IN p]) FOR i IN range(1, len(q) + 1)])""")
+def jn_17_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closures and waiting places that have a point in common. (The twin looks for a line that separates two convex shapes.)"""
+    c = _spread(B.closures(spark, sf_dir)).select("jm_number", A.convex_hull("points").alias("ring"))
+    k = F.col("s_suppkey")
+    at = B.table(spark, sf_dir, "supplier").select(k.alias("place"), (58 + k * 37 % 1200 / F.lit(100.0)).alias("lat"), (-10 + k * 61 % 2500 / F.lit(100.0)).alias("lon"), ((k % 9 + 1) / F.lit(20.0)).alias("r"), (k % 60).alias("turn"))
+    corner = lambda i: F.struct((F.col("lat") + F.col("r") * F.sin(F.radians(i * 90.0 + F.col("turn"))) / 2).alias("lat"), (F.col("lon") + F.col("r") * F.cos(F.radians(i * 90.0 + F.col("turn")))).alias("lon"))
+    places = at.select("place", F.transform(F.sequence(F.lit(0), F.lit(3)), corner).alias("ring"))
+    return spatial.meeting_pairs(c, places, "jm_number", "place")
+
+
+@query("top_06_join", _CLOSURE + ", " + B.FEATURES_SQL + """, d AS (
+  SELECT jm_number, feature_id, round(2 * 6371.0088e0 * asin(least(1e0, sqrt(pow(sin(radians(f.lat - c.points[1].lat) / 2), 2) + cos(radians(c.points[1].lat)) * cos(radians(f.lat)) * pow(sin(radians(f.lon - c.points[1].lon) / 2), 2)))) * 1e6)::BIGINT AS mm FROM closure c, feature f)
+SELECT jm_number, row_number() OVER (PARTITION BY jm_number ORDER BY mm, feature_id)::INTEGER AS rank, feature_id, mm / 1e6 AS km FROM d QUALIFY rank <= 3""")
+def top_06_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three features nearest to every closure."""
+    c = B.closures(spark, sf_dir).select("jm_number", F.get("points", F.lit(0))["lat"].alias("lat"), F.get("points", F.lit(0))["lon"].alias("lon"))
+    return spatial.nearest(c, B.features(spark, sf_dir), "jm_number", "feature_id", 3)
+
+
 #: Closures by another gate in SQL: a case of the same number with an official geometry where it looks.
 _GATE = """ptr AS (SELECT o_custkey AS case_id, max(o_orderkey) AS current_id, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS published_id FROM orders GROUP BY 1),
 vec AS (SELECT DISTINCT l_orderkey AS revision_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
