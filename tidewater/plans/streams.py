@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidewater.operators import cases as K
 from tidewater.operators import positions as P
 from tidewater.plans.base import query
-from tidewater.plans.cases import _PARTS, _parts
+from tidewater.plans.cases import _CMD, _PARTS, _commands, _parts
 from tidewater.session import scratch
 from tidewater.sources import bridge as B
 from tidewater.sources import feeds
-from tidewater.streaming import assemble, tail
+from tidewater.streaming import assemble, ordered, store, tail
 
 _FIX = "WITH " + B.FIXES_SQL
 
@@ -137,17 +137,51 @@ def str_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str_11", _FIX + " SELECT vessel_id, epoch_us(date_trunc('hour', event_time)) // 1000 AS bucket, count(*) AS fixes, min(latitude) AS min_lat, max(latitude) AS max_lat FROM fix GROUP BY 1, 2")
 def str_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly rollup that a stream keeps: repeats are dropped before it, so its counts are exact."""
-    rolled = tail.hourly(tail.tail(_overlapping(spark, sf_dir), "1 hour", on="event_time"), watermark=None)
-    flat = rolled.select("vessel_id", F.unix_millis("window.start").alias("bucket"), "fixes", "min_lat", "max_lat")
-    return drained(flat, "str-11", "complete")
+    hours = _hourly(spark, tail.tail(_overlapping(spark, sf_dir), "1 hour", on="event_time"), "str-11")
+    return hours.select("vessel_id", F.unix_millis("hour").alias("bucket"), "fixes", "min_lat", "max_lat")
+
+
+def _hourly(spark: SparkSession, fixes: DataFrame, label: str) -> DataFrame:
+    """What a stream of fixes leaves in the hourly store, merged and read back."""
+    path = scratch(spark, label)
+    rollup = store.hourly_store(spark, f"{path}/hours")
+    rollup.feed(fixes, "live", f"{path}/checkpoint", store.hourly_states).awaitTermination()
+    rollup.merge(whole=True)
+    return rollup.read()
 
 
 @query("src_08", _FIX + " SELECT epoch_us(date_trunc('hour', event_time)) // 1000 AS bucket, count(*) AS fixes, max(source_id) AS last_id FROM fix GROUP BY 1")
 def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay of the log by hour bucket, until nothing is left."""
-    hour = F.window("event_time", "1 hour")
-    counted = _live(spark, sf_dir).groupBy(hour.alias("w")).agg(F.count("*").alias("fixes"), F.max("source_id").alias("last_id"))
-    return drained(counted.select(F.unix_millis("w.start").alias("bucket"), "fixes", "last_id"), "src-08", "complete")
+    hours = _hourly(spark, _live(spark, sf_dir), "src-08")
+    return hours.groupBy(F.unix_millis("hour").alias("bucket")).agg(F.sum("fixes").alias("fixes"), F.max("last_id").alias("last_id"))
+
+
+@query("snk_02_merged", _FIX + " SELECT vessel_id, ms AS t, source_id, speed FROM fix")
+def snk_02_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of every fix, the second with the speeds that count, in segments that are merged as they come."""
+    path = scratch(spark, "snk-02")
+    fixes = _live(spark, sf_dir)
+    kept = store.positions_store(spark, f"{path}/fixes", fixes.schema)
+    early = fixes.withColumns({"speed": F.col("speed") + 1, "ingest_time": F.col("ingest_time") - F.expr("INTERVAL 1 HOUR")})
+    for name, feed in (("early", early), ("late", fixes)):
+        kept.feed(feed, name, f"{path}/{name}").awaitTermination()
+        kept.merge(fan_in=2)
+    return kept.read().select("vessel_id", F.unix_millis("event_time").alias("t"), "source_id", "speed")
+
+
+@query("str_08_stream", "WITH " + B.REVISIONS_SQL + _CMD + """, b AS (SELECT *, lag(command_id) OVER w AS before, row_number() OVER w AS place FROM cmd WINDOW w AS (PARTITION BY case_id ORDER BY sequence, command_id)),
+c AS (SELECT *, bool_or(sequence <> place OR predecessor IS DISTINCT FROM before) OVER (PARTITION BY case_id ORDER BY sequence, command_id ROWS UNBOUNDED PRECEDING) AS blocked FROM b)
+SELECT case_id, sequence, command_id, CASE WHEN blocked THEN 'pending' WHEN refuse THEN 'refused' ELSE 'applied' END AS outcome, CASE WHEN NOT blocked THEN (place - 1) // 32 + 1 END AS drain FROM c""")
+def str_08_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that come in any order over several batches: what the stream settles, and what still waits."""
+    commands = _commands(spark, sf_dir)
+    path = scratch(spark, "str-08")
+    commands.repartition(6, F.xxhash64("command_id")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    with ordered.keyed_state(spark):
+        settled = drained(ordered.apply_as_they_come(stream), "str-08-out")
+    return ordered.with_pending(commands, settled)
 
 
 @query("snk_01", _FIX + " SELECT strftime(event_time, '%Y-%m') AS year_month, vessel_id, count(*) AS fixes FROM fix GROUP BY 1, 2")
