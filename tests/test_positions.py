@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_queries import SF
 from tidewater.functions import geo
 from tidewater.operators import positions as P
 from tidewater.params import RequestError
+from tidewater.plans import registry as plans
 from tidewater.schemas import POSITION_FIX
 
 DAY = datetime(2024, 5, 1)
@@ -160,3 +162,24 @@ def test_ring_and_distance(spark):
 def test_broadcast_windows_do_not_shuffle_the_fixes(spark):
     plan = P.fix_windows(fixes(spark, [(1, 0, 62.0, -7.0, 1.0)]), windows(spark, [(0, 1, 0, 20)]), 5)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def exchanges(df):
+    """Shuffles of a plan, as text, without broadcasts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.mark.parametrize(("name", "most"), [("q_heatmap", 2), ("q_hover", 1)])
+def test_fixes_are_shuffled_once_by_vessel(spark, name, most):
+    found = exchanges(plans.QUERIES[name](spark, SF))
+    by_registry = [x for x in found if "snapshot" in x]
+    fixes = [x for x in found if "REPARTITION_BY_COL" in x]
+    assert len(fixes) == most and sum("vessel_id" in x for x in fixes) == 1, found
+    # Nothing else moves but the small sides of joins: candidate vessels and the registry.
+    assert len(found) - len(fixes) - len(by_registry) <= (2 if name == "q_heatmap" else 4), found
+
+
+def test_regional_heatmap_pushes_its_box_to_the_scan(spark):
+    plan = plans.QUERIES["q_heatmap_region"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("REPARTITION_BY_COL" in line for line in plan.splitlines()) == 2

@@ -102,23 +102,6 @@ def nearest_km(points: Column, lat: float, lon: float) -> Column:
     return F.array_min(F.transform(points, lambda p: haversine_asin(F.lit(lat), F.lit(lon), p["lat"], p["lon"])))
 
 
-def ring_self_intersects(ring: Column) -> Column:
-    """Whether two edges of a closed ring of (lat, lon) that do not touch cross each other."""
-    n = F.size(ring)
-
-    def ccw(a: Column, b: Column, c: Column) -> Column:
-        return (c["lat"] - a["lat"]) * (b["lon"] - a["lon"]) > (b["lat"] - a["lat"]) * (c["lon"] - a["lon"])
-
-    def cross(i: Column, j: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
-        c, d = F.get(ring, j), F.get(ring, F.pmod(j + 1, n))
-        return (ccw(a, c, d) != ccw(b, c, d)) & (ccw(a, b, c) != ccw(a, b, d))
-
-    apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
-    edges = F.sequence(F.lit(0), n - 1)
-    return (n > 3) & F.exists(edges, lambda i: F.exists(edges, lambda j: apart(i, j) & cross(i, j)))
-
-
 def ring_area_deg2(ring: Column) -> Column:
     """Shoelace area of a ring of (lat, lon), in square degrees."""
     n = F.size(ring)

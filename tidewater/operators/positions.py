@@ -64,9 +64,16 @@ def current_registry(registry: DataFrame, flags: Sequence[str], types: Sequence[
     return registry.join(F.broadcast(newest), "snapshot", "left_semi").filter(F.col("flag").isin(list(flags))).join(F.broadcast(dim), "type_id").select("vessel_id", "type_id", "flag", "name", "band_low", "band_high")
 
 
+def _in_band(fixes: DataFrame, registry: DataFrame) -> DataFrame:
+    return fixes.join(registry, "vessel_id").filter(F.col("speed").between(F.col("band_low"), F.col("band_high")))
+
+
 def in_band_fixes(fixes: DataFrame, registry: DataFrame, *window: str) -> DataFrame:
-    """One fix for each vessel and time inside the band of the vessel's type; ties go to the smallest source id."""
-    joined = fixes.join(registry, "vessel_id").filter(F.col("speed").between(F.col("band_low"), F.col("band_high")))
+    """One fix for each vessel and time inside the band of the vessel's type; ties go to the smallest source id.
+
+    Fixes are dealt by vessel alone: one shuffle serves this, the gaps along a track and what is summed by vessel.
+    """
+    joined = _in_band(fixes, registry).select("vessel_id", "event_time", *window, "latitude", "longitude", "source_id").repartition("vessel_id")
     return joined.groupBy("vessel_id", "event_time", *window).agg(F.min_by(F.struct("latitude", "longitude"), "source_id").alias("p")).select("vessel_id", "event_time", *window, "p.latitude", "p.longitude")
 
 
@@ -74,18 +81,21 @@ def heatmap(fixes: DataFrame, registry: DataFrame, bbox: tuple[float, float, flo
     """``ix, iy, flag, type_id, vessels, seconds``: credited time by cell, flag and type, with the cell's number of vessels.
 
     Credit follows the vessel's whole track; only then are cells cut, so a regional cell equals the global one. The bbox also picks the
-    candidate vessels, by the cells that it touches.
+    candidate vessels, by the cells that it touches: they are found by a scan of the box alone, and only their fixes are shuffled.
+    Fixes move once, by vessel; sums by cell and vessel move once, by cell.
     """
     cells = lambda df: df.withColumns({"ix": geo.cell_index(F.col("longitude"), GRID_LON), "iy": geo.cell_index(F.col("latitude"), GRID_LAT)})
-    track = in_band_fixes(fixes, registry)
     returned = F.lit(True)
     if bbox:
-        low, high = geo.cell_index, geo.cell_index
-        returned = F.col("ix").between(low(F.lit(bbox[0]), GRID_LON), high(F.lit(bbox[2]), GRID_LON)) & F.col("iy").between(low(F.lit(bbox[1]), GRID_LAT), high(F.lit(bbox[3]), GRID_LAT))
-        track = track.join(cells(track).filter(returned).select("vessel_id").distinct(), "vessel_id", "left_semi")
+        index = geo.cell_index
+        returned = F.col("ix").between(index(F.lit(bbox[0]), GRID_LON), index(F.lit(bbox[2]), GRID_LON)) & F.col("iy").between(index(F.lit(bbox[1]), GRID_LAT), index(F.lit(bbox[3]), GRID_LAT))
+        # Literal bounds, a cell wider than the box, reach the scan; the cells decide.
+        wide = F.col("longitude").between(bbox[0] - GRID_LON, bbox[2] + GRID_LON) & F.col("latitude").between(bbox[1] - GRID_LAT, bbox[3] + GRID_LAT)
+        fixes = fixes.join(cells(_in_band(fixes.filter(wide), registry)).filter(returned).select("vessel_id").distinct(), "vessel_id", "left_semi")
+    track = in_band_fixes(fixes, registry)
     credited = cells(track.withColumn("gap_s", gap_seconds("vessel_id"))).filter(returned)
     per_vessel = credited.groupBy("ix", "iy", "vessel_id").agg(F.sum(credit()).alias("seconds")).filter("seconds > 0").join(registry.select("vessel_id", "flag", "type_id"), "vessel_id")
-    by_kind = per_vessel.groupBy("ix", "iy", "flag", "type_id").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
+    by_kind = per_vessel.repartition("ix", "iy").groupBy("ix", "iy", "flag", "type_id").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
     # A vessel has one flag and type, so the cell's vessels are a sum over them.
     return by_kind.withColumn("vessels", F.sum("n").over(Window.partitionBy("ix", "iy"))).select("ix", "iy", "flag", "type_id", "vessels", "seconds")
 
@@ -127,9 +137,10 @@ def hover(fixes: DataFrame, registry: DataFrame, lat: float, lon: float, radius_
     index = F.lit(None).cast("int")
     for i, (start, end) in enumerate(windows):
         index = F.when(in_period(start, end, closed=False), i).otherwise(index)
-    track = in_band_fixes(fixes.withColumn("w", index).filter("w is not null"), registry, "w")
-    near = track.filter(hover_prefilter(lat, lon, radius_km)).select("vessel_id").distinct()
-    credited = track.join(near, "vessel_id", "left_semi").withColumn("gap_s", gap_seconds("vessel_id", "w"))
+    within = fixes.withColumn("w", index).filter("w is not null")
+    # Candidates come from a scan of the box around the circle; only their fixes are shuffled, once.
+    near = _in_band(within.filter(hover_prefilter(lat, lon, radius_km)), registry).select("vessel_id").distinct()
+    credited = in_band_fixes(within.join(near, "vessel_id", "left_semi"), registry, "w").withColumn("gap_s", gap_seconds("vessel_id", "w"))
     centre_lon = geo.cell_centre(geo.cell_index(F.col("longitude"), GRID_LON), GRID_LON)
     centre_lat = geo.cell_centre(geo.cell_index(F.col("latitude"), GRID_LAT), GRID_LAT)
     inside = credited.filter(geo.haversine_asin(F.lit(lat), F.lit(lon), centre_lat, centre_lon) <= radius_km)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater import params
-from tidewater.functions import dates, geo, numbers, texts
+from tidewater.functions import dates, geo, numbers, sweep, texts
 from tidewater.operators import areas as A
 from tidewater.operators import catches as C
 from tidewater.operators import finance as N
@@ -231,7 +231,7 @@ def geo_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     point = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
     ring = F.array(point(F.lit(0.0), F.lit(0.0)), point((key % 7).cast("double"), F.lit(3.0)), point(F.lit(4.0), (key % 5).cast("double")), point((key % 3).cast("double"), F.lit(4.0)))
-    return B.table(spark, sf_dir, "supplier").select(key.alias("id"), geo.ring_self_intersects(ring).alias("crosses"), F.round(geo.ring_area_deg2(ring), 6).alias("area"))
+    return B.table(spark, sf_dir, "supplier").select(key.alias("id"), sweep.self_intersects(ring).alias("crosses"), F.round(geo.ring_area_deg2(ring), 6).alias("area"))
 
 
 @query("geo_19", _CLOSURE + " SELECT jm_number, CASE WHEN split_part(jm_number, '-', 2)::BIGINT % 4 = 0 THEN 6 ELSE 3 END AS kept, round(points[1].lat, 6) AS first_lat FROM closure")

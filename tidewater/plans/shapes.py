@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import sweep
 from tidewater.operators import areas as A
 from tidewater.plans.base import query
 from tidewater.sources import bridge as B
@@ -164,9 +165,30 @@ def txt_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.select("id", "name", F.size("points").alias("n_points"), "orphans", "drawable", F.round(F.get("points", F.lit(0))["lat"], 6).alias("first_lat"))
 
 
-@query("geo_15", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ring is not closed' WHEN 2 THEN 'ring is not closed' ELSE 'ring is not closed' END AS problem FROM supplier")
+@query("geo_15", """SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'too many coordinates' WHEN 2 THEN 'coordinate out of range' WHEN 3 THEN 'ring is not closed' WHEN 4 THEN 'too few points' WHEN 5 THEN 'self-intersection' END AS problem,
+  CASE WHEN s_suppkey % 4 = 1 THEN 'self-intersection' WHEN s_suppkey % 4 = 2 THEN 'hole outside shell' WHEN s_suppkey % 4 = 3 AND s_suppkey % 3 = 0 THEN 'nested holes' END AS of_holes FROM supplier""")
 def geo_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rings(spark, sf_dir).select("id", A.ring_problems(F.col("ring")).alias("problem"))
+    """Rings of 5 to 12 corners with each of the problems in turn, and shells with two holes."""
+    k = F.col("s_suppkey")
+    n = (k % 8 + 5).cast("int")
+    size = (k % 11 + 1) / F.lit(10.0)
+    point = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    def oval(count, r, lat=0.0, lon=0.0, turns=1):
+        at = lambda i: F.radians(i * F.lit(360.0) * turns / count + k % 90)
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: point(F.lit(lat) + 60 + r * F.sin(at(i)), F.lit(lon) + r * F.cos(at(i))))
+
+    closed = lambda r: F.concat(r, F.slice(r, 1, 1))
+    # Twice around with an odd number of corners is a star, which crosses itself.
+    star = oval(2 * (k % 4).cast("int") + 5, size, turns=2)
+    far = F.transform(closed(oval(n, size)), lambda p: point(p["lat"] + 40, p["lon"]))
+    ring = (
+        F.when(k % 7 == 1, closed(oval(n + 20, size))).when(k % 7 == 2, far).when(k % 7 == 3, oval(n, size)).when(k % 7 == 4, closed(oval(F.lit(2), size))).when(k % 7 == 5, closed(star)).when(k % 7 == 6, closed(oval(n, size)))
+    )
+    nested = (k % 4 == 3) & (k % 3 == 0)
+    second = F.when(k % 4 == 1, oval(n, size, lon=size * 2.7)).when(k % 4 == 2, oval(n, size / 10, lon=30.0)).when(nested, oval(n, size / 10)).otherwise(oval(n, size / 5, lon=size / 2))
+    holes = F.array(oval(n, size * 3), F.when(nested, oval(n, size / 2)).otherwise(oval(n, size / 5, lat=-size / 2)), second)
+    return B.table(spark, sf_dir, "supplier").select(k.alias("id"), A.ring_problems(ring, most=20).alias("problem"), sweep.polygon_problem(holes).alias("of_holes"))
 
 
 _FLAT = "(1 / 298.257223563e0)"
