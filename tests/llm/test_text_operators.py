@@ -419,3 +419,20 @@ def test_decontamination_null_and_repeated_ids_and_empty_tables(spark):
     for d, b in ((docs, bench.limit(0)), (docs.limit(0), bench)):
         assert decontaminate.matches(d, b).count() == 0
         assert decontaminate.drop_contaminated(d, b).count() == d.count()
+
+
+def test_templates_make_no_pairs(spark):
+    """A run of words that all items and all texts have: pairs come from the other seeds, and every match is found."""
+    rng = random.Random(6)
+    template = "which of the following is the best answer to this"
+    own = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(30)) for _ in range(40)]
+    items = [f"{template} {t}" for t in own]
+    texts = [f"intro {template} " + words(rng, 60) for _ in range(60)] + [f"x {t} y" for t in own[:5]] + [f"{template} z {' '.join(t.split()[:24])}" for t in own[5:9]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    seeds = decontaminate.item_seeds(bench, 5).withColumn("item_key", F.col("item"))
+    table = decontaminate.seed_table(seeds.select(F.explode("seeds").alias("seed")), 20)
+    keyed = decontaminate._keyed(documents(spark, texts), "text")
+    pairs = decontaminate.seed_pairs(decontaminate.seeded_texts(keyed, table, 5), seeds, 5, 0.5).count()
+    assert pairs <= 3 * len(texts) < len(texts) * len(items) / 10
+    found = decontaminate.matches(documents(spark, texts), bench, log2_bits=20)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(60 + i, i) for i in range(9)] == sorted((m[0], m[1]) for m in brute_matches(texts, list(enumerate(items))))

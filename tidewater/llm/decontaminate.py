@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import materialize, mix64, slices, spare_name
 
@@ -121,7 +122,7 @@ def seed_table(seeds: DataFrame, log2_bits: int) -> np.ndarray:
 
 
 def item_seeds(benchmark: DataFrame, least: int) -> DataFrame:
-    """``item, size, repeats, seeds``: each distinct text of the benchmark with ``least`` or more words, and its distinct seeds."""
+    """``item, size, repeats, seeds, windows``: each distinct text of the benchmark with ``least`` or more words, its distinct seeds, and those of its words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -131,12 +132,11 @@ def item_seeds(benchmark: DataFrame, least: int) -> DataFrame:
                 windows = [window_hashes(t, least) for t in tokens]
                 seeds = [np.unique(w) for w in windows]
                 repeats = [len(w) - len(u) for w, u in zip(windows, seeds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("item"), pa.array([len(t) for t in tokens], pa.int32()), pa.array(repeats, pa.int32()), pa.array([u.view(np.int64) for u in seeds], pa.list_(pa.int64()))], ["item", "size", "repeats", "seeds"]
-                )
+                lists = [pa.array([u.view(np.int64) for u in x], pa.list_(pa.int64())) for x in (seeds, windows)]
+                yield pa.RecordBatch.from_arrays([part.column("item"), pa.array([len(t) for t in tokens], pa.int32()), pa.array(repeats, pa.int32()), *lists], ["item", "size", "repeats", "seeds", "windows"])
 
     texts = benchmark.select(F.col("text").cast("string").alias("item")).filter("item is not null").distinct()
-    return texts.mapInArrow(run, "item string, size int, repeats int, seeds array<long>").filter(F.col("size") >= least)
+    return texts.mapInArrow(run, "item string, size int, repeats int, seeds array<long>, windows array<long>").filter(F.col("size") >= least)
 
 
 def seeded_texts(texts: DataFrame, table: np.ndarray, least: int) -> DataFrame:
@@ -160,6 +160,50 @@ def seeded_texts(texts: DataFrame, table: np.ndarray, least: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, text string, hits array<long>")
 
 
+def telling_seeds(windows: np.ndarray, texts: np.ndarray, size: int, least: int, threshold: float) -> list[int]:
+    """Seeds of an item of which every text has one that covers ``threshold`` of it; ``texts`` is the number of texts that have each window's seed.
+
+    The seeds of most texts are left out, as long as all that is left out covers less than the threshold. What a text covers lies in
+    seeds that it shares, so one that has nothing but left-out seeds does not get there.
+    """
+    places: dict[int, list[int]] = {}
+    for at, seed in enumerate(windows.tolist()):
+        places.setdefault(seed, []).append(at)
+    often = dict(zip(windows.tolist(), texts.tolist(), strict=True))
+    free, told = np.ones(size, dtype=bool), []
+    covered = 0
+    for seed in sorted(places, key=lambda s: (-often[s], s)):
+        span = np.unique(np.concatenate([np.arange(at, at + least) for at in places[seed]]))
+        more = int(free[span].sum())
+        if covered + more < threshold * size:
+            free[span] = False
+            covered += more
+        elif often[seed]:
+            told.append(seed)
+    return told
+
+
+def seed_pairs(texts: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
+    """``key, item_key`` of every text (``key, hits``) that has a telling seed of an item (``item_key, size, windows``).
+
+    So a template that many items share makes no pairs, unless it is as long as the threshold asks for.
+    """
+    met = texts.select("key", F.explode("hits").alias("seed"))
+    often = met.groupBy("seed").agg(F.count("*").alias("texts"))
+    each = items.select("item_key", "size", F.posexplode("windows").alias("at", "seed")).join(often, "seed", "left")
+    whole = each.groupBy("item_key", "size").agg(F.sort_array(F.collect_list(F.struct("at", "seed", F.coalesce("texts", F.lit(0)).alias("texts")))).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("seeds").to_pylist(), batch.column("texts").to_pylist(), batch.column("size").to_pylist(), strict=True)
+            told = [telling_seeds(np.array(w, dtype=np.int64), np.array(t, dtype=np.int64), n, least, threshold) for w, t, n in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("item_key"), pa.array(told, pa.list_(pa.int64()))], ["item_key", "telling"])
+
+    kind = T.StructType([items.schema["item_key"], T.StructField("telling", T.ArrayType(T.LongType()))])
+    chosen = whole.select("item_key", "size", F.col("all.seed").alias("seeds"), F.col("all.texts").alias("texts")).mapInArrow(run, kind)
+    return met.join(chosen.select("item_key", F.explode("telling").alias("seed")), "seed").select("key", "item_key").distinct()
+
+
 def covered(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float, log2_bits: int) -> DataFrame:
     """``key, item, coverage, n_tiles`` for the distinct texts of ``key, text`` that cover an item to ``threshold``.
 
@@ -169,10 +213,11 @@ def covered(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float
     items = materialize(item_seeds(benchmark, least).withColumn("item_key", F.unhex(F.md5("item"))), "benchmark-seeds")
     table = seed_table(items.select(F.explode("seeds").alias("seed")), log2_bits)
     found = materialize(seeded_texts(texts, table, least).dropDuplicates(["key"]), "seeded-texts")
-    by_item = items.select("item_key", "size", "repeats", F.explode("seeds").alias("seed"))
-    pairs = found.select("key", F.explode("hits").alias("seed")).join(by_item, "seed").groupBy("key", "item_key").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("repeats").alias("repeats"))
-    # ``shared`` distinct seeds cover shared x least words at most, unless the item repeats itself.
-    pairs = materialize(pairs.filter((F.col("shared") + F.col("repeats")) * least >= threshold * F.col("size")).select("key", "item_key"), "seed-pairs")
+    pairs = seed_pairs(found.select("key", "hits"), items, least, threshold)
+    pairs = pairs.join(found.select("key", "hits"), "key").join(items.select("item_key", "size", "repeats", "seeds"), "item_key")
+    # The distinct seeds that a pair shares cover that number x least words at most, unless the item repeats itself.
+    shared = F.size(F.array_intersect("hits", "seeds"))
+    pairs = materialize(pairs.filter((shared + F.col("repeats")) * least >= threshold * F.col("size")).select("key", "item_key"), "seed-pairs")
     both = pairs.join(items.select("item_key", "item"), "item_key").join(found.select("key", "text"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
