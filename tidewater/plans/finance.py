@@ -82,8 +82,12 @@ def fin_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode(N.categories(F.col("labels"))).alias("category")).distinct()
 
 
-@query("src_18", "WITH " + B.RATES_SQL + " SELECT year, quote, round(rate, 6) AS rate FROM rate UNION SELECT year, 'EUR', 1e0 FROM rate")
+@query("src_18", "WITH " + B.RATES_SQL + """, f AS (SELECT year, quote, rate FROM rate WHERE quote <> 'EUR' UNION SELECT year, 'EUR', 1e0 FROM rate)
+SELECT year(o_orderdate) AS year, quote, round(rate, 6) AS rate, count(*) AS reports, round(sum(o_totalprice::DOUBLE / rate), 2) AS euros FROM orders JOIN f ON f.year = year(o_orderdate) GROUP BY 1, 2, 3""")
 def src_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates by year, the euro's added where the feed lacks it."""
+    """Rates of the years that reports ask for, the euro's added where the feed lacks it."""
     feed = B.rates(spark).filter("quote <> 'EUR'")
-    return feed.unionByName(B.rates(spark).select("year").distinct().select("year", F.lit("EUR").alias("quote"), F.lit(1.0).alias("rate"))).select("year", "quote", F.round("rate", 6).alias("rate"))
+    known = feed.unionByName(B.rates(spark).select("year").distinct().select("year", F.lit("EUR").alias("quote"), F.lit(1.0).alias("rate")))
+    reports = B.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("double").alias("value"))
+    joined = reports.join(known, "year").groupBy("year", "quote", "rate").agg(F.count("*").alias("reports"), F.round(F.sum(F.col("value") / F.col("rate")), 2).alias("euros"))
+    return joined.select("year", "quote", F.round("rate", 6).alias("rate"), "reports", "euros")

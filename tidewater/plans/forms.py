@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater import params
-from tidewater.functions import dates, geo, numbers, sweep, texts
+from tidewater.functions import dates, geo, numbers, requests, sweep, texts
 from tidewater.operators import areas as A
 from tidewater.operators import catches as C
 from tidewater.operators import finance as N
@@ -420,20 +420,17 @@ def dt_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(dates.local_day(instant, "Europe/Oslo", 2), "yyyy-MM-dd").alias("day"))
 
 
-@query("dt_10", """SELECT name, epoch_ms(TIMESTAMP '2026-01-01' - to_hours(hours)) AS start_ms FROM (VALUES ('6h', 6), ('12h', 12), ('24h', 24), ('48h', 48), ('7d', 168), ('30d', 720), ('90d', 2160)) AS t(name, hours)
-UNION ALL SELECT '2026-01-01T01:30:00+01:00', epoch_ms(TIMESTAMP '2026-01-01 00:30:00') UNION ALL SELECT '2026-01-01T00:00:00', NULL UNION ALL SELECT 'yesterday', NULL""")
+@query("dt_10", """WITH o AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP + to_minutes((o_orderkey % 1440)::INTEGER) AS t FROM orders)
+SELECT id, CASE id % 4 WHEN 0 THEN epoch_us(t) // 1000 WHEN 1 THEN epoch_us(t) // 1000 - 3600000 END AS instant_ms, epoch_us(t - to_hours(CAST((ARRAY[6, 12, 24, 48, 168, 720, 2160])[id % 7 + 1] AS INTEGER))) // 1000 AS start_ms FROM o""")
 def dt_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts of preset windows; instants need a zone."""
-    now = datetime(2026, 1, 1, tzinfo=UTC)
-
-    def instant(text: str) -> int | None:
-        try:
-            return int(params.instant(text).timestamp() * 1000)
-        except params.RequestError:
-            return None
-
-    rows = [(name, int(params.period(None, None, name, now).start.timestamp() * 1000)) for name in params.PRESETS]
-    return _values(spark, ("name", "start_ms"), [*rows, *((text, instant(text)) for text in ("2026-01-01T01:30:00+01:00", "2026-01-01T00:00:00", "yesterday"))])
+    """Starts of preset windows before each order's time, and instants as written: only those with a zone are read."""
+    k = F.col("o_orderkey")
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(k % 1440).cast("int"))
+    o = B.table(spark, sf_dir, "orders").select(k.alias("id"), at.alias("t"))
+    plain = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss")
+    written = F.when(F.col("id") % 4 == 0, F.concat(plain, F.lit("Z"))).when(F.col("id") % 4 == 1, F.concat(plain, F.lit("+01:00"))).when(F.col("id") % 4 == 2, plain).otherwise("yesterday")
+    preset = F.element_at(F.array(*[F.lit(p) for p in params.PRESETS]), (F.col("id") % 7 + 1).cast("int"))
+    return o.select("id", F.unix_millis(requests.instant(written)).alias("instant_ms"), F.unix_millis(requests.preset_start(F.col("t"), preset)).alias("start_ms"))
 
 
 @query("dt_11", _FIX + " SELECT vessel_id, strftime(event_time, '%Y-%m-%d') AS day, date_diff('second', min(event_time), max(event_time)) AS seconds FROM fix GROUP BY 1, 2")

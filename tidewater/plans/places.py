@@ -208,12 +208,13 @@ def dt_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "orders").select(key.alias("id"), F.date_format(dates.excel_date(serial), "yyyy-MM-dd").alias("day"), dates.excel_time(serial).alias("time"))
 
 
-@query("dt_09", "SELECT epoch_us(t)::BIGINT // 1000 AS bucket FROM range(TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2024-01-04 00:00:00', INTERVAL 1 HOUR) AS r(t)")
+@query("dt_09", """WITH s AS (SELECT user_id, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id)
+SELECT user_id, epoch_us(t)::BIGINT // 1000 AS bucket FROM s, unnest(range(date_trunc('hour', first), last + INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS r(t)""")
 def dt_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hour buckets from the one that holds the start, up to the end."""
-    start = F.date_trunc("hour", F.lit("2024-01-01 05:40:00").cast("timestamp"))
-    buckets = F.sequence(start, F.lit("2024-01-03 23:00:00").cast("timestamp"), F.expr("INTERVAL 1 HOUR"))
-    return spark.range(1).select(F.explode(buckets).alias("b")).select(F.unix_millis("b").alias("bucket"))
+    """Hour buckets of every vessel, from the one that holds its first fix to that of its last."""
+    ends = B.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    buckets = F.sequence(F.date_trunc("hour", "first"), F.col("last"), F.expr("INTERVAL 1 HOUR"))
+    return ends.select("user_id", F.explode(buckets).alias("b")).select("user_id", F.unix_millis("b").alias("bucket"))
 
 
 @query("fn_01", "SELECT c_custkey AS id, floor(c_acctbal * 10 + 0.5) / 10 AS rounded FROM customer")

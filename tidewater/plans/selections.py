@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater import params
-from tidewater.functions import geo
+from tidewater.functions import geo, requests
 from tidewater.operators import cases as K
 from tidewater.operators import catches as C
 from tidewater.operators import positions as P
@@ -125,50 +122,27 @@ def flt_22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.catch_entries(spark, sf_dir).filter((day < "1996-03-15") | ((day == "1996-03-15") & (key < 9000))).select("innmelding_id", "reported_date")
 
 
-_NOW = datetime(2026, 1, 1, tzinfo=UTC)
-
-
-def _refused(check, *args) -> str:
-    """The code with which a request check refuses, or ``ok``."""
-    try:
-        check(*args)
-    except params.RequestError as e:
-        return e.code
-    return "ok"
-
-
-def _span(start: float, end: float) -> params.Period:
-    return params.Period(_NOW + timedelta(days=start), _NOW + timedelta(days=end))
-
-
-def _requests() -> list[tuple[str, str]]:
-    box, wide = (-10.0, 55.0, 10.0, 70.0), (-90.0, 20.0, 10.0, 70.0)
-    heat, hover = params.guard_heatmap, params.guard_hover
-    return [
-        ("92 days in a box", _refused(heat, _span(-92, 0), box)), ("93 days in a box", _refused(heat, _span(-93, 0), box)), ("31 days", _refused(heat, _span(-31, 0), None)), ("32 days", _refused(heat, _span(-32, 0), None)),
-        ("5000 square degrees", _refused(heat, _span(-1, 0), wide)), ("radius 100", _refused(hover, [_span(0, 1)], 100.0)), ("radius 101", _refused(hover, [_span(0, 1)], 101.0)),
-        ("six windows", _refused(hover, [_span(i, i + 1) for i in range(6)], 5.0)), ("seven windows", _refused(hover, [_span(i, i + 1) for i in range(7)], 5.0)), ("windows that overlap", _refused(hover, [_span(0, 2), _span(1, 3)], 5.0)),
-    ]
-
-
 def _values(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
     literal = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else f"{v}L"
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({', '.join(names)})")
 
 
-@query("flt_23", """SELECT * FROM (VALUES ('92 days in a box', 'ok'), ('93 days in a box', 'window_too_long'), ('31 days', 'ok'), ('32 days', 'window_too_long'), ('5000 square degrees', 'bbox_too_large'), ('radius 100', 'ok'),
- ('radius 101', 'bad_radius'), ('six windows', 'ok'), ('seven windows', 'bad_windows'), ('windows that overlap', 'overlapping_windows')) AS t(request, outcome)""")
+@query("flt_23", """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 120 AS days, o_orderkey % 3 <> 0 AS boxed, (o_orderkey % 101) * (o_orderkey % 61)::DOUBLE AS area FROM orders)
+SELECT id, CASE WHEN days = 0 THEN 'bad_window' WHEN days > CASE WHEN boxed THEN 92 ELSE 31 END THEN 'window_too_long' WHEN boxed AND area > 2500 THEN 'bbox_too_large' ELSE 'ok' END AS outcome FROM r""")
 def flt_23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests at and over their limits."""
-    return _values(spark, ("request", "outcome"), _requests())
+    """Requests of many lengths and boxes against their limits, as columns."""
+    k = F.col("o_orderkey")
+    boxed = k % 3 != 0
+    rows = B.table(spark, sf_dir, "orders").select(k.alias("id"), (k % 120).alias("days"), boxed.alias("boxed"), F.when(boxed, (k % 101) * (k % 61)).cast("double").alias("area"))
+    return rows.select("id", requests.refusal(F.col("days"), F.col("area")).alias("outcome"))
 
 
-@query("flt_24", """SELECT name, wanted, CASE WHEN wanted IS NULL THEN d ELSE greatest(a, least(b, wanted)) END AS used FROM (VALUES ('grid', 0.02e0, 1e0, 0.1e0), ('gap_minutes', 1e0, 120e0, 30e0), ('max_points', 1e0, 50000e0, 4000e0), ('limit', 1e0, 10000e0, 1000e0)) AS p(name, a, b, d),
- (VALUES (0.001e0), (0.5e0), (100e0), (1e6), (NULL)) AS w(wanted)""")
+@query("flt_24", """SELECT l_orderkey AS id, l_linenumber AS line, round(least(1e0, greatest(0.02e0, l_discount::DOUBLE)), 6) AS grid, least(120, greatest(1, l_quantity))::DOUBLE * 1e0 AS gap_minutes, least(10000e0, greatest(1e0, l_extendedprice::DOUBLE)) AS "limit" FROM lineitem""")
 def flt_24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = (0.001, 0.5, 100.0, 1e6, None)
-    rows = [(name, w, params.clamped(name, w)) for name in params.CLAMPED for w in wanted]
-    return _values(spark, ("name", "wanted", "used"), rows).withColumn("wanted", F.col("wanted").cast("double"))
+    """Wanted values of each line, clamped to what the service allows."""
+    wanted = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_discount").cast("double").alias("grid"), F.col("l_quantity").cast("double").alias("gap_minutes"), F.col("l_extendedprice").cast("double").alias("limit"))
+    used = lambda name: requests.clamped(name, F.col(name)).alias(name)
+    return wanted.select("id", "line", F.round(used("grid"), 6).alias("grid"), used("gap_minutes"), used("limit"))
 
 
 @query("prj_03", "WITH " + B.FEATURES_SQL + """ SELECT feature_id, name, NULL::VARCHAR AS geojson, false AS asked FROM feature UNION ALL SELECT feature_id, name, '{"type":"Point","coordinates":[' || round(lon, 6) || ',' || round(lat, 6) || ']}', true FROM feature""")
