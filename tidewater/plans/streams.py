@@ -11,7 +11,7 @@ from tidewater.plans.base import query
 from tidewater.plans.cases import _CMD, _PARTS, _commands, _parts
 from tidewater.session import scratch
 from tidewater.sources import bridge as B
-from tidewater.sources import feeds
+from tidewater.sources import feeds, keyset
 from tidewater.streaming import assemble, ordered, store, tail
 
 _FIX = "WITH " + B.FIXES_SQL
@@ -202,3 +202,12 @@ def str_06_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drained(assemble.assemble_stream(spark.readStream.schema(kinds).parquet(f"{path}/in")), "str-06-out").select("signature", "status")
     counted = parts.groupBy("signature").agg(F.countDistinct("part").alias("parts"))
     return counted.join(done, "signature", "left").select("signature", F.coalesce("status", F.lit("waiting")).alias("state"), "parts")
+
+
+@query("src_02_keyset", "SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts >= TIMESTAMP '2024-01-05 05:30:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
+def src_02_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a period through the keyset source: a task for each hour that the bounds leave."""
+    keyset.register(spark)
+    reader = spark.read.format("keyset").schema("event_id long, ts timestamp_ntz, user_id long").option("path", f"{sf_dir}/events.parquet").option("time", "ts").option("id", "event_id")
+    within = (F.col("ts") >= F.lit("2024-01-05 05:30:00").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"))
+    return reader.load().filter(within).select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
