@@ -86,9 +86,16 @@ def _degrees(found: Column, start: Column, places: tuple) -> Column:
 
 def _points(found: Column, form: str) -> Column:
     lat, lon, places = FORMS[form]
-    size, shape = len(lat) + len(lon), "^" + "".join(lat + lon) + "$"
+    size, shape = len(lat) + len(lon), "".join(lat + lon)
     kinds = F.array_join(F.transform(found, lambda t: t["kind"]), "")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(kinds) - size, F.lit(0))), lambda i: F.substring(kinds, i + 1, F.lit(size)).rlike(shape))
+
+    def places_of(between: Column) -> Column:
+        """Where the shapes begin: each after all that stands between the ones before it, and these themselves."""
+        n = F.size(between) - 1
+        before = lambda j: F.aggregate(F.slice(between, F.lit(1), j + 1), F.lit(0), lambda a, t: a + F.length(t)) + j * size
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), before)
+
+    starts = _bound(F.split(kinds, shape, -1), places_of)
     points = F.transform(starts, lambda i: F.struct(_degrees(found, i, places).alias("lat"), _degrees(found, i + len(lat), places).alias("lon")))
     return F.when(found.isNotNull(), F.filter(points, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180)))
 

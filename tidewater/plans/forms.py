@@ -18,9 +18,9 @@ from tidewater.operators import catches as C
 from tidewater.operators import finance as N
 from tidewater.operators import fragments
 from tidewater.operators import sinks as S
-from tidewater.operators import spatial
+from tidewater.operators import spatial, sweeps
 from tidewater.operators import tiles
-from tidewater.plans import ais, finance
+from tidewater.plans import ais, finance, places
 from tidewater.plans.base import query
 from tidewater.plans.selections import _km, _values
 from tidewater.sources import bridge as B
@@ -593,16 +593,8 @@ def agg_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.filter(~F.col("category").isin("TRAWL", "MACHINERY")).groupBy("category").agg(F.count("*").alias("companies"))
 
 
-@query("agg_24", r"""WITH c AS (SELECT len(regexp_extract_all(text, '[0-9]{3,}')) AS signals, len(regexp_extract_all(text, '\+[0-9]')) AS vertices, doc_id % 3 <> 0 AS live FROM documents)
-SELECT count(*) AS scanned, count(*) FILTER (signals > 0) AS candidates, count(*) FILTER (signals > 0 AND live) AS in_force, count(*) FILTER (signals > 0 AND NOT live) AS skipped, coalesce(sum(vertices) FILTER (live), 0)::BIGINT AS rings, coalesce(sum(vertices) FILTER (NOT live), 0)::BIGINT AS withheld,
- count(*) FILTER (signals > 0 AND vertices = 0) AS gaps, count(*) FILTER ((signals > 0) <> (vertices > 0)) AS disagreements FROM c""")
+@query("agg_24", "WITH " + places.NOTICES_SQL + """ SELECT count(*) AS scanned, count(*) FILTER (candidate) AS candidates, count(*) FILTER (candidate AND live) AS in_force, count(*) FILTER (candidate AND NOT live) AS skipped, coalesce(sum(pairs) FILTER (live), 0)::BIGINT AS read,
+ coalesce(sum(pairs) FILTER (NOT live), 0)::BIGINT AS withheld, count(*) FILTER (signs > 0 AND pairs = 0) AS gaps, count(*) FILTER (disagreement) AS disagreements FROM notice""")
 def agg_24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counters of a sweep over a corpus, in one pass."""
-    signals, vertices = F.size(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0))), F.size(F.regexp_extract_all("text", F.lit(r"\+[0-9]"), F.lit(0)))
-    c = B.table(spark, sf_dir, "documents").select(signals.alias("signals"), vertices.alias("vertices"), (F.col("doc_id") % 3 != 0).alias("live"))
-    some, live = F.col("signals") > 0, F.col("live")
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("vertices"))), F.lit(0))
-    return c.agg(
-        F.count("*").alias("scanned"), F.count_if(some).alias("candidates"), F.count_if(some & live).alias("in_force"), F.count_if(some & ~live).alias("skipped"), total(live).alias("rings"), total(~live).alias("withheld"),
-        F.count_if(some & (F.col("vertices") == 0)).alias("gaps"), F.count_if(some != (F.col("vertices") > 0)).alias("disagreements"),
-    )
+    return sweeps.counters(places.notices(spark, sf_dir))

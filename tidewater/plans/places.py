@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import dates, geo, texts
 from tidewater.operators import areas as A
-from tidewater.operators import sinks
+from tidewater.operators import sinks, sweeps
 from tidewater.plans.base import query
 from tidewater.sources import bridge as B
 from tidewater.sources import feeds
@@ -250,13 +250,31 @@ def wf_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "documents").select("doc_id", F.col("text").contains("de la").alias("quoted"), texts.whole_word(F.col("text"), F.lit("the")).alias("word"))
 
 
-@query("q_sweep", r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9]{3,}')) AS signals, len(regexp_extract_all(text, '\+[0-9]')) AS vertices, lang FROM documents)
-SELECT lang, count(*) AS scanned, count(*) FILTER (signals > 0) AS candidates, sum(signals)::BIGINT AS signals, sum(vertices)::BIGINT AS vertices, count(*) FILTER (signals > 0 AND vertices = 0) AS gaps FROM c GROUP BY lang""")
+#: Documents with something written into each: a pair, half a pair, two pairs, a compact pair, a word alone, nothing.
+NOTICES_SQL = """notice AS (
+  SELECT *, signs >= 2 OR pairs > 0 OR worded AS candidate, (signs >= 2 OR pairs > 0 OR worded) AND NOT (signs >= 2 AND pairs > 0 AND worded) AS disagreement
+  FROM (SELECT doc_id, lang, doc_id % 5 <> 0 AS live, [2, 1, 4, 0, 0, 0][doc_id % 6 + 1] AS signs, [1, 0, 2, 1, 0, 0][doc_id % 6 + 1] AS pairs, doc_id % 6 IN (0, 2, 4) AS worded FROM documents))"""
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of coordinates in documents, whose places vary by row."""
+    k = F.col("doc_id")
+    whole = lambda c: c.cast("int")
+    pair = lambda more: F.format_string("%d° %d,5' N %d° %d' W", whole(58 + k % 9 + more), whole(k % 60), whole(k % 12), whole(k % 50))
+    written = (
+        F.when(k % 6 == 0, F.concat(F.lit("Posisjon "), pair(0))).when(k % 6 == 1, F.format_string("punkt %d° %d,5' N og land", whole(58 + k % 9), whole(k % 60)))
+        .when(k % 6 == 2, F.concat(F.lit("Koordinatar: "), pair(0), F.lit(" og "), pair(1))).when(k % 6 == 3, F.format_string("%02d%02d N - %03d%02d V", whole(58 + k % 9), whole(k % 60), whole(k % 12), whole(k % 50)))
+        .when(k % 6 == 4, "koordinatar manglar").otherwise("")
+    )
+    docs = B.table(spark, sf_dir, "documents").withColumns({"text": F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), written, F.lit("\n")), "live": k % 5 != 0})
+    return sweeps.evidence(docs, "doc_id", "lang", "live")
+
+
+@query("q_sweep", "WITH " + NOTICES_SQL + """ SELECT lang, count(*) AS scanned, count(*) FILTER (candidate) AS candidates, count(*) FILTER (candidate AND live) AS in_force, count(*) FILTER (candidate AND NOT live) AS skipped, coalesce(sum(pairs) FILTER (live), 0)::BIGINT AS read,
+ coalesce(sum(pairs) FILTER (NOT live), 0)::BIGINT AS withheld, count(*) FILTER (signs > 0 AND pairs = 0) AS gaps, count(*) FILTER (disagreement) AS disagreements FROM notice GROUP BY lang""")
 def q_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of a corpus sweep: what looks like coordinates, and what was read as such."""
-    signals, vertices = F.size(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0))), F.size(F.regexp_extract_all("text", F.lit(r"\+[0-9]"), F.lit(0)))
-    c = B.table(spark, sf_dir, "documents").select("lang", signals.alias("signals"), vertices.alias("vertices"))
-    return c.groupBy("lang").agg(F.count("*").alias("scanned"), F.count_if(F.col("signals") > 0).alias("candidates"), F.sum("signals").alias("signals"), F.sum("vertices").alias("vertices"), F.count_if((F.col("signals") > 0) & (F.col("vertices") == 0)).alias("gaps"))
+    """Counters of a corpus sweep by language: what looks like coordinates, and what was read as such."""
+    return sweeps.counters(notices(spark, sf_dir), "lang")
 
 
 @query("agg_25", _W + " SELECT split_part(jm_number, '-', 2)::BIGINT % 500 AS number, region, sum(len(points))::BIGINT AS vertices, arg_min(title, jm_number) AS name, count(*) AS parts FROM closure GROUP BY 1, 2")

@@ -10,7 +10,8 @@ from tidewater.operators import cases as K
 from tidewater.operators import catches as C
 from tidewater.operators import positions as P
 from tidewater.operators import sinks as S
-from tidewater.plans import ais
+from tidewater.operators import sweeps
+from tidewater.plans import ais, places
 from tidewater.plans.base import query
 from tidewater.sources import bridge as B
 
@@ -484,10 +485,7 @@ def set_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("case_id").agg(F.max("at").alias("last_at"), F.count("*").alias("events"))
 
 
-@query("set_05", r"SELECT doc_id, d OR w OR n AS candidate, NOT (d = w AND w = n) AS disagreement FROM (SELECT doc_id, regexp_matches(text, '[0-9]{3}') AS d, contains(lower(text), 'the') AS w, length(text) > 1500 AS n FROM documents)")
+@query("set_05", "WITH " + places.NOTICES_SQL + " SELECT doc_id, candidate, disagreement FROM notice")
 def set_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of the verdicts of several detectors, and whether they differ."""
-    verdicts = F.array(F.col("text").rlike("[0-9]{3}"), F.lower("text").contains("the"), F.length("text") > 1500)
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", verdicts.alias("v"))
-    any_of, all_of = F.exists("v", lambda x: x), F.forall("v", lambda x: x)
-    return docs.select("doc_id", any_of.alias("candidate"), (any_of & ~all_of).alias("disagreement"))
+    return places.notices(spark, sf_dir).select("doc_id", sweeps.candidate().alias("candidate"), sweeps.disagreement().alias("disagreement"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import sweep
 from tidewater.operators import areas as A
+from tidewater.plans import places
 from tidewater.plans.base import query
 from tidewater.sources import bridge as B
 from tidewater.sources import feeds
@@ -121,11 +122,10 @@ def prj_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "supplier").select(key.alias("id"), number_or_null(text).alias("number"))
 
 
-@query("txt_08", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}')) AS dotted, len(regexp_extract_all(text, '[0-9]{4,}')) AS long FROM documents")
+@query("txt_08", "WITH " + places.NOTICES_SQL + " SELECT doc_id, signs::INTEGER AS signs, pairs::INTEGER AS pairs FROM notice")
 def txt_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of what looks like a coordinate."""
-    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    return B.table(spark, sf_dir, "documents").select("doc_id", count(r"[0-9]{1,3}\.[0-9]{1,3}").alias("dotted"), count(r"[0-9]{4,}").alias("long"))
+    """What looks like a coordinate in each text, and the pairs that are read."""
+    return places.notices(spark, sf_dir).select("doc_id", "signs", "pairs")
 
 
 @query("txt_16", "SELECT s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'current' END AS status, 'Body ' || s_suppkey AS body FROM supplier")
