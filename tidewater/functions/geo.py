@@ -158,3 +158,11 @@ def feature_collection(areas: Column) -> Column:
     features = F.transform(F.filter(areas, lambda a: F.size(a["points"]) > 0), feature)
     text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features")), {"ignoreNullFields": "false"})
     return F.when(F.size(features) > 0, text)
+
+
+def thinned(points: Column, most: int | Column) -> Column:
+    """``most`` elements of an array at even strides, both ends kept; a shorter array as it is."""
+    wanted = F.lit(most) if isinstance(most, int) else most
+    stride = (F.size(points) - 1) / F.nullif(wanted - 1, F.lit(0))
+    picked = F.transform(F.sequence(F.lit(0), F.greatest(wanted - 1, F.lit(0))), lambda i: F.get(points, F.floor(i * stride + 0.5).cast("int")))
+    return F.when(F.size(points) <= wanted, points).when(wanted < 2, F.slice(points, F.lit(1), wanted)).otherwise(picked)

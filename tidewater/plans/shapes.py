@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import sweep
+from tidewater.functions import geo, sweep
 from tidewater.operators import areas as A
 from tidewater.plans import places
 from tidewater.plans.base import query
@@ -103,13 +103,15 @@ def win_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p")).cast("long").alias("n"))
 
 
-@query("win_10", "SELECT s_suppkey AS id, 5 AS n, 0 AS first, 39 AS last FROM supplier")
+@query("win_10", """WITH o AS (SELECT o_orderkey AS id, 3 + o_orderkey * 7 % 200 AS n, 2 + o_orderkey % 40 AS most FROM orders),
+t AS (SELECT id, CASE WHEN n <= most THEN range(0, n) ELSE [floor(i * ((n - 1)::DOUBLE / (most - 1)) + 0.5)::BIGINT FOR i IN range(0, most)] END AS k FROM o)
+SELECT id, len(k)::INTEGER AS n, k[1]::INTEGER AS first, k[len(k)]::INTEGER AS last, list_sum(k)::BIGINT AS total FROM t""")
 def win_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thinning of long rings to a few vertices at even strides, both ends kept."""
-    wanted = 5
-    ring = F.sequence(F.lit(0), F.lit(39))
-    thin = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: F.element_at(ring, (F.floor(i * (39 / (wanted - 1)) + 0.5) + 1).cast("int")))
-    return B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.size(thin).alias("n"), F.element_at(thin, 1).alias("first"), F.element_at(thin, -1).alias("last"))
+    """Thinning of lines to some vertices at even strides, both ends kept; short lines stay as they are."""
+    k = F.col("o_orderkey")
+    line = F.sequence(F.lit(0), (2 + k * 7 % 200).cast("int"))
+    thin = B.table(spark, sf_dir, "orders").select(k.alias("id"), geo.thinned(line, (2 + k % 40).cast("int")).alias("t"))
+    return thin.select("id", F.size("t").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("prj_02", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey + 0.5 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE s_suppkey * 1e0 END AS number FROM supplier")
