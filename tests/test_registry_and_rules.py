@@ -102,6 +102,15 @@ def test_coordinates(spark, text, points):
     assert (found if found is None else [(round(p.lat, 6), round(p.lon, 6)) for p in found]) == points
 
 
+def test_tokens_of_a_line_are_found_once(spark):
+    """A plan that names the tokens in each step over them reads a line once for every pair of its tokens."""
+    df = spark.createDataFrame([("61° 30' N 4° 0' E, nord 62 grader, 30 minutter, aust 5 grader 0,5 minutter; 6330N-00430W 61°30' N 4°0' E 63° 1' 2\" S 5° 6' 7,2\" Vik 1,61° 0' N 2° 0' E",)], "t string")
+    plan = df.select(texts.all_coordinates(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 20 and plan.count("regexp_extract_all") == 4
+    found = df.select(texts.all_coordinates(F.col("t")).alias("p")).first()[0]
+    assert [(round(p.lat, 6), round(p.lon, 6)) for p in found] == [(62.5, 5.008333), (61.5, 4.0), (63.5, -4.5)]
+
+
 def test_numbers(spark):
     numbers = spark.createDataFrame([("1.234,5",), ("12 %",), ("x",), (None,), ("-3,25",)], "t string").select(locale_number(F.col("t"))).collect()
     assert [r[0] for r in numbers] == [1234.5, 12.0, None, None, -3.25]

@@ -109,10 +109,10 @@ def ring_area_deg2(ring: Column) -> Column:
     return F.abs(total) / 2
 
 
-def without_near_repeats(points: Column, eps: float = 1e-4) -> Column:
-    """Points of (lat, lon) in order, without those within ``eps`` degrees, in both directions, of one that stays."""
+def without_near_repeats(points: Column, none: Column | None = None, eps: float = 1e-4) -> Column:
+    """Points of (lat, lon) in order, without those within ``eps`` degrees, in both directions, of one that stays. (``none``: an empty array, where ``points`` costs.)"""
     near = lambda a, b: (F.abs(a["lat"] - b["lat"]) < eps) & (F.abs(a["lon"] - b["lon"]) < eps)
-    return F.aggregate(points, F.slice(points, 1, 0), lambda kept, p: F.when(F.exists(kept, lambda k: near(k, p)), kept).otherwise(F.array_append(kept, p)))
+    return F.aggregate(points, F.slice(points, 1, 0) if none is None else none, lambda kept, p: F.when(F.exists(kept, lambda k: near(k, p)), kept).otherwise(F.array_append(kept, p)))
 
 
 def rings_equal(a: Column, b: Column, eps: float = 1e-9) -> Column:

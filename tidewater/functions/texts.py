@@ -20,46 +20,40 @@ DEGREE_WORD, MINUTE_WORD = "grader", "minutter"
 #: A text falls into white space, numbers, words and single signs.
 TOKEN = r"(?s)\s+|\d+(?:[.,]\d*)?|\p{L}+|."
 
+# Written forms are patterns over a text with a mark before every token; white space may stand between tokens, or must (a new number).
+_MARK = "\u0001"
+_END, _GAP, _SPACE, _ANY = f"(?![^{_MARK}])", rf"(?:{_MARK}\s++)?", rf"{_MARK}\s++", rf"{_MARK}(\d[^{_MARK}]*+)"
 
-def tokens(text: Column) -> Column:
-    """The tokens of a text that count, each with its kind, a letter.
-
-    Numbers: ``n`` whole with up to three figures, ``k`` with four, ``l`` with five, ``f`` any other; upper case after white space. Words: ``y``
-    the letter of a latitude, ``P`` its word, ``O`` ``W`` ``A`` the words of a longitude, ``x`` another word that begins like one (``v`` with
-    V), ``g`` degrees, ``u`` minutes. Signs: ``d`` degrees, ``m`` minutes, ``s`` seconds, ``-``. Anything else is ``_``. White space goes, and so does
-    a comma or stop after a unit that is written out.
-    """
-    every = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-    def number(t: Column, spaced: Column) -> Column:
-        whole = t.rlike("^[0-9]+$")
-        kind = F.when(whole & (F.length(t) <= 3), "n").when(whole & (F.length(t) == 4), "k").when(whole & (F.length(t) == 5), "l").otherwise("f")
-        return F.when(spaced, F.upper(kind)).otherwise(kind)
-
-    def kind(t: Column, i: Column) -> Column:
-        low, first = F.lower(t), F.substring(F.lower(t), 1, 1)
-        spaced = F.coalesce(F.get(every, i - 1).rlike(r"^\s"), F.lit(True))
-        signs = F.element_at(F.create_map(*[F.lit(c) for c in "°d'm\"s--"]), t)
-        return (
-            F.when(t.rlike(r"^\s"), " ").when(t.rlike(r"^\d"), number(t, spaced)).when(low.isin("n", "s"), "y").when(low.isin(*NORTH_SOUTH), "P")
-            .when(low == EAST, "O").when(low == WEST, "W").when(low == EAST_NEW, "A").when(low == DEGREE_WORD, "g").when(low == MINUTE_WORD, "u")
-            .when(first.isin("e", "ø", "w"), "x").when(first == "v", "v").when(t.isin(".", ","), ",").otherwise(F.coalesce(signs, F.lit("_")))
-        )
-
-    kinds = F.filter(F.transform(every, lambda t, i: F.struct(kind(t, i).alias("kind"), t.alias("text"))), lambda t: t["kind"] != " ")
-    after_unit = lambda t, i: (t["kind"] == ",") & F.coalesce(F.get(kinds, i - 1)["kind"].isin("g", "u"), F.lit(False))
-    return F.filter(kinds, lambda t, i: ~after_unit(t, i))
-
-
-_ANY = "[nklfNKLF]"
-#: Written forms of a pair, from the most to the least exact, as kinds of tokens: a latitude and a longitude, each with the places of its
-#: degrees, minutes, seconds and hemisphere (in the compact form one number holds degrees and minutes).
+
+def _word(*words: str) -> str:
+    """One of some whole words in any case, as a group."""
+    either = ["".join(f"[{c}{c.upper()}]" for c in w) for w in words]
+    return f"{_MARK}({'|'.join(either)}){_END}"
+
+
+def _whole(figures: str) -> str:
+    return rf"{_MARK}(\d{{{figures}}}){_END}"
+
+
+def _sign(signs: str) -> str:
+    return f"{_MARK}[{signs}]"
+
+
+#: A comma or stop after a unit that is written out does not count.
+_UNIT = lambda word: _word(word).replace("(", "(?:", 1) + f"(?:{_GAP}{_sign('.,')})?"
+_NS, _EW, _EWV = f"{_MARK}([nNsS]){_END}", f"{_MARK}([eEøØwW])", f"{_MARK}([eEøØwWvV])"
+_LONG = _SPACE + _whole("1,3") + _GAP + _UNIT(DEGREE_WORD) + _SPACE + _ANY + _GAP
+#: From the most to the least exact: the pattern of a latitude and a longitude, and of each the groups of its degrees, minutes, seconds and hemisphere
+#: (in the compact form one number holds degrees and minutes).
 FORMS = {
-    "dms": (("[nN]", "d", "[nN]", "m", _ANY, "s", "y"), ("N", "d", "[nN]", "m", _ANY, "s", "[xO]"), (0, 2, 4, 6)),
-    "long": (("P", "N", "g", "[NKLF]", "u"), ("[OWA]", "N", "g", "[NKLF]", "u"), (1, 3, None, 0)),
-    "symbol": (("[nN]", "d", _ANY, "[md]", "y"), ("N", "d", _ANY, "[md]", "[xO]"), (0, 2, None, 4)),
-    "compact": (("[kK]", "y", "-"), ("[kKlL]", "[xOvW]"), (0, 0, None, 1)),
+    "dms": (_GAP.join([_whole("1,3"), _sign("°"), _whole("1,3"), _sign("'"), _ANY, _sign('"'), _NS]) + _SPACE + _GAP.join([_whole("1,3"), _sign("°"), _whole("1,3"), _sign("'"), _ANY, _sign('"'), _EW]), (1, 2, 3, 4), (5, 6, 7, 8)),
+    "long": (_word(*NORTH_SOUTH) + _LONG + _UNIT(MINUTE_WORD) + _GAP + _word(EAST, WEST, EAST_NEW) + _LONG + _word(MINUTE_WORD), (2, 3, None, 1), (5, 6, None, 4)),
+    "symbol": (_GAP.join([_whole("1,3"), _sign("°"), _ANY, _sign("'°"), _NS]) + _SPACE + _GAP.join([_whole("1,3"), _sign("°"), _ANY, _sign("'°"), _EW]), (1, 2, None, 3), (4, 5, None, 6)),
+    "compact": (_GAP.join([_whole("4"), _NS, _sign("-"), _whole("4,5"), _EWV]), (1, 1, None, 2), (3, 3, None, 4)),
 }
+#: What a marked text has wherever a form is in it, and what any text with a form has.
+_SIGNS_OF = {"dms": '(?s)°.*"', "long": _word(DEGREE_WORD), "symbol": "°", "compact": _GAP.join([_whole("4"), _NS, _sign("-")])}
+_ROUGHLY = ("°", f"(?i:{DEGREE_WORD})", r"\d{4}\s*[nNsS]\s*-")
 #: The words after which a notice says how it reads as a whole.
 CONSOLIDATED = r"(?is)^.*?forskriften lyder etter dette\s*:"
 
@@ -69,10 +63,10 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "‘’ʼ“”–— ", "'''\"\"-- "), "\r\n", "\n")
 
 
-def _degrees(found: Column, start: Column, places: tuple) -> Column:
-    text = lambda i: F.get(found, start + i)["text"]
+def _degrees(pair: Column, pattern: str, groups: tuple) -> Column:
+    text = lambda group: F.regexp_extract(pair, pattern, group)
     number = lambda t: F.replace(t, F.lit(","), F.lit(".")).try_cast("double")
-    degrees, minutes, seconds, hemisphere = places
+    degrees, minutes, seconds, hemisphere = groups
     if degrees == minutes:
         figures = text(degrees)
         value = number(F.substring(figures, F.lit(1), F.length(figures) - 2)) + number(F.right(figures, F.lit(2))) / 60
@@ -84,20 +78,15 @@ def _degrees(found: Column, start: Column, places: tuple) -> Column:
     return F.when(negative, -value).otherwise(value)
 
 
-def _points(found: Column, form: str) -> Column:
-    lat, lon, places = FORMS[form]
-    size, shape = len(lat) + len(lon), "".join(lat + lon)
-    kinds = F.array_join(F.transform(found, lambda t: t["kind"]), "")
+def _points(marked: Column, form: str) -> Column:
+    pattern, lat, lon = FORMS[form]
+    pairs = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
+    points = F.transform(pairs, lambda p: F.struct(_degrees(p, pattern, lat).alias("lat"), _degrees(p, pattern, lon).alias("lon")))
+    return F.filter(points, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
 
-    def places_of(between: Column) -> Column:
-        """Where the shapes begin: each after all that stands between the ones before it, and these themselves."""
-        n = F.size(between) - 1
-        before = lambda j: F.aggregate(F.slice(between, F.lit(1), j + 1), F.lit(0), lambda a, t: a + F.length(t)) + j * size
-        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), before)
 
-    starts = _bound(F.split(kinds, shape, -1), places_of)
-    points = F.transform(starts, lambda i: F.struct(_degrees(found, i, places).alias("lat"), _degrees(found, i + len(lat), places).alias("lon")))
-    return F.when(found.isNotNull(), F.filter(points, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180)))
+def _marked(text: Column) -> Column:
+    return F.regexp_replace(text, TOKEN, _MARK + "$0")
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -107,13 +96,15 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def coordinates(text: Column, form: str) -> Column:
     """Points (lat, lon) of all pairs of a written form in a text, in order; what is out of bounds or no number is left out."""
-    return _bound(tokens(text), lambda found: _points(found, form))
+    return _points(_marked(text), form)
 
 
 def all_coordinates(text: Column) -> Column:
-    """Points of all forms, form by form, near repeats (1e-4 degrees) left out: the first form's point stays."""
-    points = _bound(tokens(normalized(text)), lambda found: F.concat(*[_points(found, form) for form in FORMS]))
-    return geo.without_near_repeats(points)
+    """Points of all forms, form by form, near repeats (1e-4 degrees) left out: the first form's point stays. Texts are searched for the forms whose signs they have."""
+    plain, none = normalized(text), F.array().cast("array<struct<lat:double,lon:double>>")
+    points = _bound(_marked(plain), lambda m: F.concat(*[F.when(m.rlike(signs), _points(m, form)).otherwise(none) for form, signs in _SIGNS_OF.items()]))
+    # Not within a lambda: an aggregate there loses what it has kept.
+    return F.when(plain.rlike("|".join(_ROUGHLY)), geo.without_near_repeats(points, none)).when(text.isNotNull(), none)
 
 
 def consolidated(text: Column) -> Column:
