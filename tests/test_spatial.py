@@ -101,3 +101,30 @@ def test_nearest_with_few_features(spark):
     f = spark.createDataFrame([(7, 80.0, 170.0), (8, -80.0, 10.0)], "feature long, lat double, lon double")
     assert [(r["rank"], r.feature) for r in spatial.nearest(q, f, "query", "feature", 5).orderBy("rank").collect()] == [(1, 8), (2, 7)]
     assert spatial.nearest(q, f.limit(0), "query", "feature", 5).count() == 0 == spatial.nearest(q.limit(0), f, "query", "feature", 5).count()
+
+
+def test_rings_are_judged_many_at_a_time():
+    """As many pairs as a batch holds, with different numbers of corners, in one call for each pair of numbers."""
+    rng = np.random.default_rng(5)
+    square = np.array([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)])
+    shift = rng.uniform(-2, 2, (5000, 1, 2))
+    met = spatial._rings_meet(np.broadcast_to(square, (5000, 4, 2)), square[:3] * 0.5 + shift)
+    y, x = shift[:, 0, 0], shift[:, 0, 1]
+    # A triangle of half the side, its right angle above: what is left free is below its slope.
+    assert met[(np.abs(y - 0.25) < 0.7) & (np.abs(x - 0.25) < 0.2)].all() and not met[(y > 1) | (x > 1) | (y < -0.5) | (x < -0.5)].any()
+
+
+def test_queries_at_one_place_look_once(spark, rows, monkeypatch):
+    """Queries that share a place are searched for as one and all get its features; their keys may repeat."""
+    seen, written = [], spatial._written
+
+    def counting(df, label):
+        out = written(df, label)
+        seen.extend([out.count()] if label == "nearest-queries" else [])
+        return out
+
+    monkeypatch.setattr(spatial, "_written", counting)
+    asked = spark.createDataFrame([(i, 60.0 + i % 2, 5.0) for i in range(400)], "q long, lat double, lon double")
+    known = spark.createDataFrame([(1, 60.1, 5.0), (2, 61.2, 5.0)], "f long, lat double, lon double")
+    found = spatial.nearest(asked, known, "q", "f", 1)
+    assert rows(found.select("q", "rank", "f")) == sorted([(i, 1, 1 + i % 2) for i in range(400)], key=repr) and seen == [2]
