@@ -38,9 +38,10 @@ def by_depth() -> list[int]:
 def resolve_accounts(values: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, account, value`` -> a row for each report with a column ``a<id>`` for every account.
 
-    A stored value wins over the sum; a leaf that is not stored is 0.
+    A stored value wins over the sum; a leaf that is not stored is 0. Each report's rows meet before they become a wide one: wide rows, nearly all
+    of them null, shrink so far in a shuffle that one task would get very many.
     """
-    wide = values.groupBy(*keys).agg(*[F.max(F.when(F.col("account") == i, F.col("value"))).alias(f"s{i}") for i in (*LEAVES, *TOTALS)])
+    wide = values.repartition(*keys).groupBy(*keys).agg(*[F.max(F.when(F.col("account") == i, F.col("value"))).alias(f"s{i}") for i in (*LEAVES, *TOTALS)])
     wide = wide.withColumns({f"a{i}": F.coalesce(f"s{i}", F.lit(0.0)) for i in LEAVES})
     for total in by_depth():
         parts = [F.col(f"a{c}") for c in TOTALS[total]]
