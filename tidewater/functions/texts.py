@@ -103,7 +103,7 @@ def all_coordinates(text: Column) -> Column:
     """Points of all forms, form by form, near repeats (1e-4 degrees) left out: the first form's point stays. Texts are searched for the forms whose signs they have."""
     plain, none = normalized(text), F.array().cast("array<struct<lat:double,lon:double>>")
     points = _bound(_marked(plain), lambda m: F.concat(*[F.when(m.rlike(signs), _points(m, form)).otherwise(none) for form, signs in _SIGNS_OF.items()]))
-    # Not within a lambda: an aggregate there loses what it has kept.
+    # Not bound once more: over a lambda's variable the repeats were seen to stay (why was not found).
     return F.when(plain.rlike("|".join(_ROUGHLY)), geo.without_near_repeats(points, none)).when(text.isNotNull(), none)
 
 
