@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewater.operators import cases
@@ -157,3 +158,56 @@ def test_what_waits_too_long_is_reported(spark, tmp_path):
     finally:
         q.stop()
     assert seen[:2] == [(1, 10, "applied"), (3, 12, "pending")]
+
+
+class CountedState:
+    """One value and one map of a case, with the number of calls that would go to the engine."""
+
+    def __init__(self):
+        self.value, self.entries, self.calls, self.largest = None, {}, 0, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value, self.largest = value, max(self.largest, len(value[-1]))
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.entries[key]
+
+
+@pytest.mark.parametrize("n", [1, 12, 60, 300])
+def test_a_case_is_read_and_written_once_a_batch(n):
+    """As many calls for sixty commands as for one; a case with hundreds parked has them in the map, and its value stays small."""
+    rng = random.Random(n)
+    every = [Row(case_id=1, sequence=s, command_id=s * 10, predecessor=s * 10 - 10 if s > 1 else None, refuse=s % 3 == 0) for s in range(1, n + 1)]
+    every = every[:1] + rng.sample(every[1:], n - 1)
+    state = CountedState()
+    log = ordered.CommandLog(32, None)
+    log.init(state)
+    # The first command comes last, and all are delivered twice.
+    batches = [[*every[1:], *every[1:]], [*every[5:], every[0]], []]
+    got = [[tuple(r) for r in log.handleInputRows((1,), iter(b), None)] for b in batches]
+    assert got == [[], [(1, s, s * 10, "refused" if s % 3 == 0 else "applied", (s - 1) // 32 + 1) for s in range(1, n + 1)], []]
+    assert state.entries == {} and state.largest <= 64 * 32
+    assert (state.calls == 2 * len(batches)) == (n <= 65)
+    # Another command under the last sequence stops the case behind it.
+    again = [Row(case_id=1, sequence=n, command_id=7, predecessor=None, refuse=False), Row(case_id=1, sequence=n + 1, command_id=8, predecessor=n * 10, refuse=False)]
+    assert list(log.handleInputRows((1,), iter(again), None)) == [] and state.value[2]

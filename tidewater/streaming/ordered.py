@@ -2,66 +2,91 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 SCHEMA = "case_id long, sequence long, command_id long, outcome string, drain long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARKED = struct.Struct("<qqq???")
+_OUTCOME = Row("case_id", "sequence", "command_id", "outcome", "drain")
 
 
 class CommandLog(StatefulProcessor):
-    """The commands of one case: those whose turn has not come are parked under their sequence."""
+    """The commands of one case: those whose turn has not come are parked under their sequence.
+
+    The first ``AT_HAND`` of them lie in the value that says how far the case is, so a case is read once and written once a batch, whatever has
+    come for it; each call of the state goes to the engine and back. What is beyond lies in a map, so this value stays small.
+    """
+
+    AT_HAND = 64
 
     def __init__(self, per_drain: int, patience_ms: int | None):
         self.per_drain, self.patience_ms = per_drain, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "settled long, last long, stuck boolean")
+        self.at = handle.getValueState("at", "settled long, last long, stuck boolean, beyond long, near binary")
         self.parked = handle.getMapState("parked", "sequence long", "command_id long, predecessor long, refuse boolean, again boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        settled, last, stuck = self.at.get() if self.at.exists() else (0, None, False)
-        for frame in rows:
-            for sequence, command, predecessor, refuse in zip(frame["sequence"], frame["command_id"], frame["predecessor"], frame["refuse"], strict=True):
-                command, predecessor = int(command), None if pd.isna(predecessor) else int(predecessor)
-                place = (int(sequence),)
-                if int(sequence) <= settled:
-                    # The last sequence claimed by another command breaks the log; an earlier one is taken for a repeat.
-                    stuck = stuck or (int(sequence) == settled and command != last)
-                    continue
-                if self.parked.containsKey(place):
-                    held = self.parked.getValue(place)
-                    if held[0] != command:
-                        first = min((held[0], held[1], held[2]), (command, predecessor, bool(refuse)), key=lambda c: c[0])
-                        self.parked.updateValue(place, (*first, True))
+    @staticmethod
+    def _packed(near: dict[int, tuple]) -> bytes:
+        return b"".join(_PARKED.pack(sequence, command, predecessor or 0, predecessor is None, refuse, again) for sequence, (command, predecessor, refuse, again) in near.items())
+
+    def _read(self) -> tuple[int, int | None, bool, int, dict[int, tuple]]:
+        settled, last, stuck, beyond, near = self.at.get() or (0, None, False, 0, b"")
+        return settled, last, stuck, beyond, {s: (command, None if first else predecessor, refuse, again) for s, command, predecessor, first, refuse, again in _PARKED.iter_unpack(bytes(near))}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        settled, last, stuck, beyond, near = self._read()
+
+        def held(sequence: int) -> tuple | None:
+            return near.get(sequence) or (self.parked.getValue((sequence,)) if beyond else None)
+
+        for _, sequence, command, predecessor, refuse in rows:
+            if sequence <= settled:
+                # The last sequence claimed by another command breaks the log; an earlier one is taken for a repeat.
+                stuck = stuck or (sequence == settled and command != last)
+                continue
+            before, now = held(sequence), (command, predecessor, refuse, False)
+            if before is not None:
+                if before[0] == command:
                     continue
-                self.parked.updateValue(place, (command, predecessor, bool(refuse), False))
+                now = (*min(before[:3], now[:3], key=lambda c: c[0]), True)
+            if sequence in near or (before is None and len(near) < self.AT_HAND):
+                near[sequence] = now
+            else:
+                self.parked.updateValue((sequence,), now)
+                beyond += before is None
         done = []
-        while not stuck and self.parked.containsKey((settled + 1,)):
-            command, predecessor, refuse, again = self.parked.getValue((settled + 1,))
+        while not stuck and (turn := held(settled + 1)):
+            command, predecessor, refuse, again = turn
             if predecessor != last:
                 break
-            self.parked.removeKey((settled + 1,))
-            done.append((key[0], settled + 1, command, "refused" if refuse else "applied", settled // self.per_drain + 1))
             settled, last, stuck = settled + 1, command, again
-        self.at.update((settled, last, stuck))
+            if near.pop(settled, None) is None:
+                self.parked.removeKey((settled,))
+                beyond -= 1
+            done.append(_OUTCOME(key[0], settled, command, "refused" if refuse else "applied", (settled - 1) // self.per_drain + 1))
+        self.at.update((settled, last, stuck, beyond, self._packed(near)))
         if self.patience_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if any(True for _ in self.parked.keys()):
+            if near or beyond:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        if done:
-            yield pd.DataFrame(done, columns=["case_id", "sequence", "command_id", "outcome", "drain"])
+        yield from done
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = [(key[0], place[0], command[0], "pending", None) for place, command in self.parked.iterator()]
-        if waiting:
-            yield pd.DataFrame(sorted(waiting), columns=["case_id", "sequence", "command_id", "outcome", "drain"]).astype({"drain": "Int64"})
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        *_, beyond, near = self._read()
+        waiting = [(sequence, command[0]) for sequence, command in near.items()]
+        if beyond:
+            waiting += [(place[0], command[0]) for place, command in self.parked.iterator()]
+        for sequence, command in sorted(waiting):
+            yield _OUTCOME(key[0], sequence, command, "pending", None)
 
     def close(self) -> None:
         pass
@@ -78,7 +103,8 @@ def apply_as_they_come(commands: DataFrame, per_drain: int = 32, patience: str |
     delivered twice counts once. The session needs ``keyed_state`` while the query starts.
     """
     milliseconds = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
-    return commands.groupBy("case_id").transformWithStateInPandas(CommandLog(per_drain, milliseconds), SCHEMA, "append", "None" if patience is None else "ProcessingTime")
+    whole = commands.select("case_id", "sequence", "command_id", "predecessor", "refuse")
+    return whole.groupBy("case_id").transformWithState(CommandLog(per_drain, milliseconds), SCHEMA, "append", "None" if patience is None else "ProcessingTime")
 
 
 class keyed_state:
