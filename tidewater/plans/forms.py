@@ -148,7 +148,7 @@ def _corner_text(ring: str):
 def geo_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hulls, small and large, as the tile of their middle has them: inside it, over its edge, and around it."""
     x, y = A.tile_of(F.col("first.lon"), F.col("first.lat"), 8)
-    cut = _spread(B.closures(spark, sf_dir)).select("jm_number", A.tile_ring(A.convex_hull("points"), 8, x, y).alias("ring")).filter("ring IS NOT NULL")
+    cut = _spread(B.closures(spark, sf_dir)).select("jm_number", A.only_present(A.tile_ring(A.convex_hull("points"), 8, x, y)).alias("ring"))
     return cut.select("jm_number", F.size("ring").cast("long").alias("n"), A.turn(F.col("ring")).alias("area2"), _corner_text("ring").alias("corners"))
 
 
