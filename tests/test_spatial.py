@@ -128,3 +128,22 @@ def test_queries_at_one_place_look_once(spark, rows, monkeypatch):
     known = spark.createDataFrame([(1, 60.1, 5.0), (2, 61.2, 5.0)], "f long, lat double, lon double")
     found = spatial.nearest(asked, known, "q", "f", 1)
     assert rows(found.select("q", "rank", "f")) == sorted([(i, 1, 1 + i % 2) for i in range(400)], key=repr) and seen == [2]
+
+
+def test_rings_with_the_same_corners_are_judged_once(spark, rows, monkeypatch):
+    """Rows share a ring on both sides, keys repeat, a ring that begins elsewhere is another: each row has its pairs, each different ring one cover."""
+    seen, written = {}, spatial._written
+
+    def counting(df, label):
+        out = written(df, label)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(spatial, "_written", counting)
+    square = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
+    far, turned = [(y + 9.0, x) for y, x in square], square[1:] + square[:1]
+    left = [(i, (square, far)[i % 2]) for i in range(200)] + [(0, square), (900, turned), (901, None), (902, [])]
+    right = [(i, [(y + 0.5, x - 0.5) for y, x in square]) for i in range(7)] + [(7, [(8.5, 0.2), (9.5, 0.2), (9.0, 0.8)])]
+    found = spatial.meeting_pairs(spark.createDataFrame(left, RING).withColumnRenamed("id", "a"), spark.createDataFrame(right, RING).withColumnRenamed("id", "b"), "a", "b")
+    want = [(i, j) for i, ring in left for j in range(8) if ring and (ring is far) == (j == 7)]
+    assert rows(found) == sorted(want, key=repr) and (seen["cover-a"], seen["cover-b"], seen["cover-pairs"]) == (3, 2, 3)
