@@ -123,6 +123,23 @@ def test_areas_of_a_notice(spark):
     assert [(r.name, r.paragraph, len(r.points)) for r in found] == [("Nordfjord", None, 2), ("Nordfjord", 4, 1)]
 
 
+def test_notices_with_one_text_are_read_once(spark, rows, monkeypatch):
+    """Many notices share two texts, a key comes twice: each has the areas of its text, and each text is read once."""
+    seen, read = [], areas._text_areas
+
+    def counting(notices, *rest):
+        seen.append(notices.count())
+        return read(notices, *rest)
+
+    monkeypatch.setattr(areas, "_text_areas", counting)
+    north, south = "## Nord\n§ 4 Stengt\n61° 0' N 5° 0' E\n62° 0' N 5° 30' E", "## Sør\n61° 0' N 5° 0' E\n§ 5\n62° 0' N 5° 30' E"
+    notices = [(i, (north, south)[i % 2]) for i in range(200)] + [(0, north), (300, None), (301, "no points")]
+    found = areas.named_areas(spark.createDataFrame(notices, "id long, body string").repartition(3), "id")
+    assert found.columns == ["id", "segment", "name", "paragraph", "points"]
+    want = [(i, *area) for i, text in notices for area in {north: [("Nord", 4, 2)], south: [("Sør", None, 1), ("Sør", 5, 1)]}.get(text, [])]
+    assert rows(found.select("id", "name", "paragraph", F.size("points"))) == sorted(want, key=repr) and seen == [3]
+
+
 def test_shapes(spark):
     square = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (2.0, 2.0), (1.0, 3.0)]
     df = spark.createDataFrame([(1, square), (2, square[:2])], "id int, p array<struct<lat:double,lon:double>>")

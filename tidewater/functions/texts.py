@@ -63,8 +63,8 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "‘’ʼ“”–— ", "'''\"\"-- "), "\r\n", "\n")
 
 
-def _degrees(pair: Column, pattern: str, groups: tuple) -> Column:
-    text = lambda group: F.regexp_extract(pair, pattern, group)
+def _degrees(found: Column, groups: tuple) -> Column:
+    text = lambda group: F.get(found, F.lit(group - 1))
     number = lambda t: F.replace(t, F.lit(","), F.lit(".")).try_cast("double")
     degrees, minutes, seconds, hemisphere = groups
     if degrees == minutes:
@@ -81,7 +81,10 @@ def _degrees(pair: Column, pattern: str, groups: tuple) -> Column:
 def _points(marked: Column, form: str) -> Column:
     pattern, lat, lon = FORMS[form]
     pairs = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
-    points = F.transform(pairs, lambda p: F.struct(_degrees(p, pattern, lat).alias("lat"), _degrees(p, pattern, lon).alias("lon")))
+    # All groups of a pair at once; none of them has a mark in it.
+    groups = _MARK.join(f"${i}" for i in range(1, max(i for i in lat + lon if i) + 1))
+    found = F.transform(pairs, lambda p: F.split(F.regexp_replace(p, pattern, groups), _MARK))
+    points = F.transform(found, lambda g: F.struct(_degrees(g, lat).alias("lat"), _degrees(g, lon).alias("lon")))
     return F.filter(points, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import geo
-from tidewater.session import scratch
+from tidewater.session import written as _written
 
 #: The deepest cells have sides of about a kilometre.
 DEEPEST = 14
@@ -23,14 +23,6 @@ def _size(depth: Column) -> Column:
     return F.lit(180.0) / F.pow(F.lit(2.0), depth)
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written to the shared folder and read from there."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _index(degrees: Column, depth: Column, south: float) -> Column:
     """Column (``south`` = -180) or row (-90) of a coordinate; the last one takes the edge of the world."""
     cells = F.pow(F.lit(2.0), depth) * (-south / 90.0)
